@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "quality_rules", "lm_score", "quality_model")
+MODULES = ("language_id", "decontaminate", "mixing", "quality_rules", "near_dup", "lm_score", "quality_model")
 
 
 def queries() -> dict:
