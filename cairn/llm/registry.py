@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language_id", "decontaminate", "mixing", "quality_rules", "near_dup", "lm_score", "quality_model")
+MODULES = ("secret_scan", "html_extract", "language_id", "decontaminate", "mixing", "pii", "quality_rules", "near_dup", "lm_score", "quality_model")
 
 
 def queries() -> dict:

@@ -1,4 +1,75 @@
-STAGES = []
+"""From raw documents to a training mix: language, near duplicates, benchmark passages, secrets, source weights.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it leaves, with the columns of documents; the last adds
+what the mix takes of each. Every stage works on all that the one before it kept. Null and empty texts have no language and go in the first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+
+from cairn.llm import secret_scan
+from cairn.llm.common import staged, table
+from cairn.llm.decontaminate import contamination
+from cairn.llm.language_id import held, predict, train
+from cairn.llm.mixing import mix
+from cairn.llm.near_dup import near_duplicates
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; lang becomes the predicted one."""
+    own = docs.select(*COLUMNS)
+    model = train(own.select("doc_id", "text", "lang").where(~held(F.col("doc_id"))))
+    found = predict(own.select("doc_id", "text", "source", "n_chars", F.col("text").alias("body")), model, ["doc_id", "body", "source", "n_chars"])
+    return found.where("lang_pred <> 'und'").select("doc_id", F.col("body").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id."""
+    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+    return docs.select(*COLUMNS).join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not made up of benchmark passages to a twentieth or more."""
+    bad = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")).where("contaminated").select("doc_id")
+    return docs.select(*COLUMNS).join(bad.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by their kind; n_chars follows the text."""
+    vocabulary = secret_scan.VOCABULARY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [secret_scan.redact(t.as_py(), vocabulary) if t.is_valid else None for t in b.column("text")]
+            n = [len(new) if new is not None and new != old.as_py() else kept.as_py() for new, old, kept in zip(texts, b.column("text"), b.column("n_chars"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("lang"), b.column("source"), pa.array(n, pa.int64())], names=list(COLUMNS))
+
+    own = docs.select(*(F.col(c).cast("long" if c in ("doc_id", "n_chars") else "string").alias(c) for c in COLUMNS))
+    return own.mapInArrow(run, ST.StructType([ST.StructField(c, ST.LongType() if c in ("doc_id", "n_chars") else ST.StringType()) for c in COLUMNS]))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with size, the target of their source and the words taken of them (copies times size)."""
+    taken = mix(docs.select("doc_id", "source", "text")).where("taken > 0").select("doc_id", "size", "target", "taken").dropDuplicates(["doc_id"])
+    return docs.select(*COLUMNS).join(taken, "doc_id")
+
+
+STAGES = [("language", language), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("secrets", redact_secrets), ("mix", mix_sources)]
+#: hashes, signatures and trained models have no SQL; tests hold the stages against brute force
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(spark, stage(spark, docs, sf_dir), name)
+    return docs
