@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("access",)
+
 
 def queries() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= importlib.import_module(f"cairn.plans.{m}").Q
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= importlib.import_module(f"cairn.plans.{m}").O
+    return out
