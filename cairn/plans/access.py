@@ -21,46 +21,46 @@ def _sources(f):
 
 
 def _bool(name, column, text):
-    Q[name] = _sources(lambda s: s.select("id", "scope", column.alias("ok")))
+    Q[name] = _sources(lambda s: s.select("id", "scope", column().alias("ok")))
     O[name] = sql("sources", f"select id, scope, {text} as ok from sources")
 
 
-_scope, _perms = F.col("scope"), F.col("permissions")
-
 
 def _register() -> None:
-    _bool("acl_scope_visible", A.scope_visible(_scope, ME), _VIS)
-    _bool("acl_permissions_visible", A.permissions_visible(_perms, ME), _PERM)
-    _bool("acl_record_visible", A.record_visible(_scope, _perms, ME), _SEEN)
-    needed = F.array(_scope, F.concat(F.lit("team:"), (F.col("key") % 4).cast("string")))
-    _bool("acl_scope_list", A.scope_list_visible(F.when(F.col("key") % 6 == 0, F.array().cast("array<string>")).otherwise(needed), ME), f"key % 6 <> 0 and {_VIS} and ('team:' || (key % 4)) in ('team:1', 'team:2')")
-    _bool("acl_writable", A.permissions_writable(_perms, ME), f"coalesce(len(list_filter(permissions, lambda p: p <> 'public' and not list_contains({_HELD}, p))) = 0, false)")
-    Q["acl_actions"] = _sources(lambda s: s.select("id", *(A.action_allowed(_scope, a, ME).alias(f"can_{a}") for a in ("write", "verify", "delete")), F.lit(ME.has("propose")).alias("can_propose")))
+    _bool("acl_scope_visible", lambda: A.scope_visible(F.col("scope"), ME), _VIS)
+    _bool("acl_permissions_visible", lambda: A.permissions_visible(F.col("permissions"), ME), _PERM)
+    _bool("acl_record_visible", lambda: A.record_visible(F.col("scope"), F.col("permissions"), ME), _SEEN)
+    needed = lambda: F.array(F.col("scope"), F.concat(F.lit("team:"), (F.col("key") % 4).cast("string")))
+    _bool("acl_scope_list", lambda: A.scope_list_visible(F.when(F.col("key") % 6 == 0, F.array().cast("array<string>")).otherwise(needed()), ME), f"key % 6 <> 0 and {_VIS} and ('team:' || (key % 4)) in ('team:1', 'team:2')")
+    _bool("acl_writable", lambda: A.permissions_writable(F.col("permissions"), ME), f"coalesce(len(list_filter(permissions, lambda p: p <> 'public' and not list_contains({_HELD}, p))) = 0, false)")
+    Q["acl_actions"] = _sources(lambda s: s.select("id", *(A.action_allowed(F.col("scope"), a, ME).alias(f"can_{a}") for a in ("write", "verify", "delete")), F.lit(ME.has("propose")).alias("can_propose")))
     O["acl_actions"] = sql("sources", "select id, starts_with(scope, 'team:') as can_write, true as can_verify, scope = 'team:1' as can_delete, true as can_propose from sources")
-    _bool("acl_actor_grant", A.permissions_visible_for_actor(_perms, ME), f"{_PERM} or coalesce(list_contains(permissions, 'actor:a1'), false)")
-    box_scope, box = F.when(F.col("key") % 2 == 0, "public").otherwise(_scope), F.when(F.col("key") % 3 == 0, F.array()).otherwise(F.array(F.lit("team:0"), F.lit("team:9"), F.lit("actor:a1"))).cast("array<string>")
-    _bool("acl_covers", A.acl_covers(box_scope, box, _scope, _perms), "(key % 2 = 0 or true) and (key % 3 = 0 or coalesce(len(permissions) > 0 and not list_contains(permissions, 'public') and len(list_filter(permissions, lambda p: p not in ('team:0', 'team:9', 'actor:a1'))) = 0, false))")
-    Q["required_access"] = _sources(lambda s: s.select("id", F.array_join(A.required_access(_scope, _perms, ME), ",").alias("required")))
+    _bool("acl_actor_grant", lambda: A.permissions_visible_for_actor(F.col("permissions"), ME), f"{_PERM} or coalesce(list_contains(permissions, 'actor:a1'), false)")
+    box_scope = lambda: F.when(F.col("key") % 2 == 0, "public").otherwise(F.col("scope"))
+    box = lambda: F.when(F.col("key") % 3 == 0, F.array()).otherwise(F.array(F.lit("team:0"), F.lit("team:9"), F.lit("actor:a1"))).cast("array<string>")
+    _bool("acl_covers", lambda: A.acl_covers(box_scope(), box(), F.col("scope"), F.col("permissions")), "(key % 2 = 0 or true) and (key % 3 = 0 or coalesce(len(permissions) > 0 and not list_contains(permissions, 'public') and len(list_filter(permissions, lambda p: p not in ('team:0', 'team:9', 'actor:a1'))) = 0, false))")
+    Q["required_access"] = _sources(lambda s: s.select("id", F.array_join(A.required_access(F.col("scope"), F.col("permissions"), ME), ",").alias("required")))
     own = "case when scope in ('', 'public', 'agent:a1') then null else scope end"
     rest = f"case when permissions is null then '{A.MALFORMED}' else array_to_string(list_filter(permissions, lambda p: p <> 'public' and p <> scope and not (list_contains(permissions, 'actor:a1') and starts_with(p, 'actor:'))), ',') end"
     O["required_access"] = sql("sources", f"select id, concat_ws(',', {own}, nullif({rest}, '')) as required from sources")
-    other = F.when(F.col("key") % 2 == 0, F.array(F.lit("team:2"), F.lit("team:9"))).otherwise(F.array()).cast("array<string>")
-    Q["combine_permissions"] = _sources(lambda s: s.where(_perms.isNotNull()).select("id", F.array_join(A.combine_permissions(_perms, other), ",").alias("both")))
+    other = lambda: F.when(F.col("key") % 2 == 0, F.array(F.lit("team:2"), F.lit("team:9"))).otherwise(F.array()).cast("array<string>")
+    Q["combine_permissions"] = _sources(lambda s: s.where(F.col("permissions").isNotNull()).select("id", F.array_join(A.combine_permissions(F.col("permissions"), other()), ",").alias("both")))
     O["combine_permissions"] = sql("sources", "select id, array_to_string(permissions || list_filter(b, lambda x: not list_contains(permissions, x)), ',') as \"both\" from (select *, case when key % 2 = 0 then ['team:2', 'team:9'] else [] end as b from sources where permissions is not null)")
-    asked = F.when(F.col("key") % 3 == 0, F.array()).otherwise(F.array(_scope, F.lit("team:2"), F.lit("secret"))).cast("array<string>")
-    Q["scope_narrowing"] = _sources(lambda s: s.select("id", F.array_join(A.narrowed(asked, ME), ",").alias("scopes")))
+    asked = lambda: F.when(F.col("key") % 3 == 0, F.array()).otherwise(F.array(F.col("scope"), F.lit("team:2"), F.lit("secret"))).cast("array<string>")
+    Q["scope_narrowing"] = _sources(lambda s: s.select("id", F.array_join(A.narrowed(asked(), ME), ",").alias("scopes")))
     O["scope_narrowing"] = sql("sources", f"select id, case when key % 3 = 0 then array_to_string({_HELD}, ',') else concat_ws(',', case when {_VIS} then scope end, 'team:2') end as scopes from sources")
-    owner, session = F.when(F.col("key") % 2 == 0, "a1").otherwise("a2"), F.when(_scope.startswith("session:"), F.substring_index(_scope, ":", -1))
-    _bool("agent_memory_visible", A.memory_visible(_scope, _perms, owner, session, ME, "sess_1"), f"({_SEEN} or (key % 2 = 0 and starts_with(scope, 'session:') and ({_PERM} or coalesce(list_contains(permissions, 'actor:a1'), false)))) and (not starts_with(scope, 'session:') or scope = 'session:sess_1')")
-    _bool("session_gate", session.isNull() | (session == "sess_2"), "not starts_with(scope, 'session:') or scope = 'session:sess_2'")
-    by = F.when(F.col("key") % 3 == 0, "human").otherwise("agent")
-    Q["default_status"] = _sources(lambda s: s.select("id", A.default_status(by, _scope).alias("status")))
+    owner = lambda: F.when(F.col("key") % 2 == 0, "a1").otherwise("a2")
+    session = lambda: F.when(F.col("scope").startswith("session:"), F.substring_index(F.col("scope"), ":", -1))
+    _bool("agent_memory_visible", lambda: A.memory_visible(F.col("scope"), F.col("permissions"), owner(), session(), ME, "sess_1"), f"({_SEEN} or (key % 2 = 0 and starts_with(scope, 'session:') and ({_PERM} or coalesce(list_contains(permissions, 'actor:a1'), false)))) and (not starts_with(scope, 'session:') or scope = 'session:sess_1')")
+    _bool("session_gate", lambda: session().isNull() | (session() == "sess_2"), "not starts_with(scope, 'session:') or scope = 'session:sess_2'")
+    by = lambda: F.when(F.col("key") % 3 == 0, "human").otherwise("agent")
+    Q["default_status"] = _sources(lambda s: s.select("id", A.default_status(by(), F.col("scope")).alias("status")))
     O["default_status"] = sql("sources", "select id, case when key % 3 = 0 then 'verified' else 'proposed' end as status from sources")
-    key = F.concat(F.element_at(F.array(*map(F.lit, ("autosave_", "pref.", "last_hygiene_at", "note_"))), (F.col("key") % 4 + 1).cast("int")), F.when(F.col("key") % 4 == 2, "").otherwise(F.col("key").cast("string")))
-    content = F.when(F.col("key") % 5 == 0, F.concat(F.lit("**autosave_"), F.col("key").cast("string"), F.lit("**: kept"))).otherwise(F.lit("plain"))
-    Q["internal_keys"] = _sources(lambda s: s.select("id", (A.internal_key(key) | A.internal_key(F.regexp_extract(F.trim(content), r"^\*\*(.+?)\*\*:", 1))).alias("internal")))
+    key = lambda: F.concat(F.element_at(F.array(*map(F.lit, ("autosave_", "pref.", "last_hygiene_at", "note_"))), (F.col("key") % 4 + 1).cast("int")), F.when(F.col("key") % 4 == 2, "").otherwise(F.col("key").cast("string")))
+    content = lambda: F.when(F.col("key") % 5 == 0, F.concat(F.lit("**autosave_"), F.col("key").cast("string"), F.lit("**: kept"))).otherwise(F.lit("plain"))
+    Q["internal_keys"] = _sources(lambda s: s.select("id", (A.internal_key(key()) | A.internal_key(F.regexp_extract(F.trim(content()), r"^\*\*(.+?)\*\*:", 1))).alias("internal")))
     O["internal_keys"] = sql("sources", "select id, key % 4 in (0, 2) or key % 5 = 0 as internal from sources")
-    Q["scope_set_covers"] = _sources(lambda s: s.select("id", A.scope_set_covers(F.array(F.lit("team:1"), F.lit("team:2"), F.lit("session:sess_0")), F.array(_scope, F.lit("public"))).alias("covered")))
+    Q["scope_set_covers"] = _sources(lambda s: s.select("id", A.scope_set_covers(F.array(F.lit("team:1"), F.lit("team:2"), F.lit("session:sess_0")), F.array(F.col("scope"), F.lit("public"))).alias("covered")))
     O["scope_set_covers"] = sql("sources", "select id, scope in ('public', 'team:1', 'team:2', 'session:sess_0') as covered from sources")
 
 
@@ -70,7 +70,7 @@ _register()
 def list_sources(spark, d):
     """Visible sources with their status, newest first."""
     s, life = S.sources(spark, d), S.lifecycle(spark, d)
-    seen = s.where(A.record_visible(_scope, _perms, ME)).join(life, s["id"] == life["object_id"], "left").withColumn("status", F.coalesce("status", F.lit("active")))
+    seen = s.where(A.record_visible(F.col("scope"), F.col("permissions"), ME)).join(life, s["id"] == life["object_id"], "left").withColumn("status", F.coalesce("status", F.lit("active")))
     return seen.where(A.status_shown(F.col("status"))).select("id", "type", "scope", "status", "created_at_ms").orderBy(F.desc("created_at_ms"), "id").limit(5000)
 
 
@@ -81,11 +81,11 @@ def lifecycle_overlay(spark, d):
 
 def list_artifacts(spark, d):
     """Orders' claims stand for artifacts with a status of their own."""
-    return S.atoms(spark, d).where(A.record_visible(_scope, _perms, ME) & A.status_shown(F.col("status"))).select("id", "status", "scope", F.round("confidence", 6).alias("confidence")).orderBy(F.desc("confidence"), "id").limit(500)
+    return S.atoms(spark, d).where(A.record_visible(F.col("scope"), F.col("permissions"), ME) & A.status_shown(F.col("status"))).select("id", "status", "scope", F.round("confidence", 6).alias("confidence")).orderBy(F.desc("confidence"), "id").limit(500)
 
 
 def list_entities(spark, d):
-    return S.entities(spark, d).where(A.record_visible(_scope, _perms, ME)).select("id", "type", "name", "scope")
+    return S.entities(spark, d).where(A.record_visible(F.col("scope"), F.col("permissions"), ME)).select("id", "type", "name", "scope")
 
 
 def list_relations(spark, d):
@@ -119,14 +119,14 @@ def pack_ref_check(spark, d):
 
 def visible_owners(spark, d):
     """Memory rows whose owner is the actor or a shared owner of a granted scope."""
-    s = S.sources(spark, d).withColumn("owner", F.when(F.col("key") % 3 == 0, "a1").when(F.col("key") % 3 == 1, F.concat(F.lit("shared:"), _scope)).otherwise("a2"))
+    s = S.sources(spark, d).withColumn("owner", F.when(F.col("key") % 3 == 0, "a1").when(F.col("key") % 3 == 1, F.concat(F.lit("shared:"), F.col("scope"))).otherwise("a2"))
     owners = ["a1", "shared:public", *(f"shared:{x}" for x in ME.scopes)]
     return s.where(F.col("owner").isin(owners)).select("id", "owner")
 
 
 def redacted_entries(spark, d):
     """First visible sources as bullets of one context block a scope."""
-    s = S.sources(spark, d).where(A.record_visible(_scope, _perms, ME) & (F.length(F.trim("text")) > 0))
+    s = S.sources(spark, d).where(A.record_visible(F.col("scope"), F.col("permissions"), ME) & (F.length(F.trim("text")) > 0))
     from pyspark.sql import Window
 
     top = s.withColumn("n", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("created_at_ms"), "id"))).where("n <= 5")

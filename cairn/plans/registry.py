@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access",)
+MODULES = ("access", "search")
 
 
 def queries() -> dict:
