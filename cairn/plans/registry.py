@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "search")
+MODULES = ("access", "search", "vectors", "graph")
 
 
 def queries() -> dict:
