@@ -6,9 +6,9 @@ each way of leaving them out is a key. By the pigeonhole principle any two signa
 CHUNKS * (ERRORS + 1) - 1 = 15 of 40 symbols share a key; two sets of similarity 0.8 share none with a chance of 2.3e-5.
 
 Classes that share a key are not all paired. Each key has a hub, the class that meets most others; members are confirmed
-against their hub on full sets and joined into components. What is left (members of one key in different components) is
-paired only where the triangle inequality of the Jaccard distance allows a link: distances to a hub that differ by more
-than 0.2 rule it out exactly. No cap stands anywhere; copies cost one row each.
+against their hub on full sets and joined into components. What is left (members of one hub in different components) is
+compared block against block, and only where the triangle inequality of the Jaccard distance allows a link: distances to a hub that
+differ by more than 0.2 rule it out exactly. No cap stands anywhere; copies cost one row each, and of pairs only links are emitted.
 
 Texts that are null or without words have an empty set and link with nothing; so do rows with a null doc_id (their component is
 null and they are kept). Rows of one doc_id are one node. Other columns are ignored; an empty table gives none.
@@ -180,24 +180,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = staged(spark, confirm(stars, sets), "stars")
     link = "100 * i >= 80 * u"
     comp = components(stars.where(link))
-    more = staged(spark, confirm(_left_over(members, stars, comp), sets), "more")
-    if not more.where(link).isEmpty():
-        comp = components(stars.where(link).select("a", "b").unionByName(more.where(link).select("a", "b")))
+    more = staged(spark, links_left(members, stars, comp, sets), "more")
+    if not more.isEmpty():
+        comp = components(stars.where(link).select("a", "b").unionByName(more))
     named = classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     rows = scanned.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("s1")).alias("s1"), "s2")
     found = rows.join(named, ["s1", "s2"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _left_over(members: DataFrame, stars: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of one key, not of one component and not with its hub, whose distances to the hub differ by at most 0.2."""
-    known = members.where("rep <> hub").join(stars.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("i") / F.col("u")).alias("d")), ["hub", "rep"])
-    side = known.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), "d", F.least(F.floor(F.col("d") * 5), F.lit(4)).alias("bin"))
-    apart = side.where("d > 0.2")  # of two that have no link through the hub, one at least
-    reach = apart.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("d").alias("da"), F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("bin"))
-    other = side.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("d").alias("db"), "bin")
-    pairs = reach.join(other, ["key", "bin"]).where("ca <> cb and abs(da - db) <= 0.2 + 1e-9 and (a < b or db <= 0.2)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of sets, members of one component aside: counts of common shingles as one matrix product."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            members = {m["rep"]: m for m in row["x"] + row["y"]}
+            x, y = sorted({m["rep"] for m in row["x"]}), sorted({m["rep"] for m in row["y"]})
+            if len({m["comp"] for m in members.values()}) < 2:
+                continue
+            sets = {r: np.array(m["shingles"], np.int64) for r, m in members.items()}
+            n = {r: len(v) for r, v in sets.items()}
+            words, inv = np.unique(np.concatenate([sets[r] for r in (*x, *y)]), return_inverse=True)
+            common = np.zeros((len(x), len(y)), np.int64)
+            own = np.repeat(np.arange(len(x) + len(y)), [n[r] for r in (*x, *y)])
+            for lo in range(0, len(words), PANEL):  # a panel of shingles at a time: memory stays bounded
+                part = (inv >= lo) & (inv < lo + PANEL)
+                m = np.zeros((len(x) + len(y), min(PANEL, len(words) - lo)), np.float32)
+                m[own[part], inv[part] - lo] = 1
+                common += (m[: len(x)] @ m[len(x) :].T).astype(np.int64)
+            nx, ny = np.array([n[r] for r in x]), np.array([n[r] for r in y])
+            cx, cy = np.array([members[r]["comp"] for r in x]), np.array([members[r]["comp"] for r in y])
+            i, j = np.nonzero((100 * common >= 80 * (nx[:, None] + ny[None, :] - common)) & (cx[:, None] != cy[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[i]), pa.array(np.array(y, np.int64)[j])], names=["a", "b"])
+
+
+PANEL = 8192
+BLOCK = 60_000  # shingles
+
+
+def links_left(members: DataFrame, stars: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of members of one key's hub that are not of one component. Members of a hub are dealt to blocks of about BLOCK
+    shingles by their distance to the hub, and only blocks whose distances can be within 0.2 of each other meet; no pairs are emitted but links."""
+    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("i") / F.col("u")).alias("d"))
+    side = known.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    open_hubs = side.groupBy("hub").agg(F.max("d").alias("far"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("far > 0.2 and c0 <> c1").select("hub")
+    side = side.join(open_hubs, "hub", "left_semi").join(sets, "rep")
+    whole = side.groupBy("hub").agg(F.sum(F.size("shingles")).alias("all"))
+    side = side.join(whole, "hub").withColumn("bin", F.when(F.col("all") <= BLOCK, 0).otherwise(1 + F.least(F.floor(F.col("d") * 5 + 1e-9), F.lit(4))))
+    sizes = side.groupBy("hub", "bin").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).cast("int").alias("blocks"))
+    dealt = side.join(sizes, ["hub", "bin"]).select("hub", "bin", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.struct("rep", "comp", "shingles").alias("m"))
+    blocks = staged(members.sparkSession, dealt.groupBy("hub", "bin", "block").agg(F.collect_list("m").alias("m")), "blocks")  # bounded by BLOCK
+    mine = blocks.select("hub", "bin", "block")
+    other = mine.select("hub", F.col("bin").alias("bin2"), F.col("block").alias("block2"))
+    meet = mine.join(other, "hub").where("bin2 - bin in (0, 1) and (bin2 > bin or block2 >= block) and not (bin = 1 and bin2 = 1)")
+    first = meet.join(blocks.withColumnRenamed("m", "x"), ["hub", "bin", "block"])
+    both = first.join(blocks.select("hub", F.col("bin").alias("bin2"), F.col("block").alias("block2"), F.col("m").alias("y")), ["hub", "bin2", "block2"])
+    return both.select("x", "y").mapInArrow(_between, "a long, b long").distinct()
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
