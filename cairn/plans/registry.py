@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "search", "vectors", "graph")
+MODULES = ("access", "search", "vectors", "graph", "text")
 
 
 def queries() -> dict:
