@@ -60,7 +60,7 @@ def traverse(edges: DataFrame, start: str, depth: int, cut_lineage=lambda df: df
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str, most: int, cut_lineage=lambda df: df) -> DataFrame:
     """The first path in order of length, then of ids: (path array), or no row."""
     paths = edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
     seen = paths.select("id")
@@ -68,6 +68,6 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int) -> DataFram
         if not paths.where(F.col("id") == end).isEmpty():
             break
         step = paths.join(edges, "id").select(F.col("other").alias("id"), F.concat("path", F.array("other")).alias("path")).join(seen, "id", "left_anti")
-        paths = step.groupBy("id").agg(F.min("path").alias("path"))
+        paths = cut_lineage(step.groupBy("id").agg(F.min("path").alias("path")))
         seen = seen.unionByName(paths.select("id"))
     return paths.where(F.col("id") == end).select("path")

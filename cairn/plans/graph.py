@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import graphs as G
 from cairn.sources import tables as S
+from cairn.sources.staging import staged
 from cairn.sources.tables import sql
 
 Q, O = {}, {}
@@ -28,14 +29,14 @@ O["graph_neighbors"] = sql("relations", "").rstrip() + f", {_E} select id, count
 
 
 def graph_traverse(spark, d):
-    return G.traverse(_edges(spark, d), START, 3)
+    return G.traverse(staged(spark, _edges(spark, d), "edges"), START, 3, lambda df: staged(spark, df, "front"))
 
 
 O["graph_traverse"] = sql("relations", "").rstrip() + f", {_E}, h0 as (select '{START}' as id, 0 as hops)" + "".join(f", h{i} as (select * from h{i - 1} union all select distinct other, {i} from edges join h{i - 1} using (id) where hops = {i - 1} and other not in (select id from h{i - 1}))" for i in (1, 2, 3)) + " select id, hops from h3"
 
 
 def graph_path(spark, d):
-    return G.shortest_path(_edges(spark, d), START, END, 4).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+    return G.shortest_path(staged(spark, _edges(spark, d), "edges"), START, END, 4, lambda df: staged(spark, df, "paths")).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
 O["graph_path"] = sql("relations", "").rstrip() + f", {_E}, p0 as (select '{START}' as id, ['{START}'] as path)" + "".join(f", p{i} as (select other as id, list_append(path, other) as path from p{i - 1} join edges using (id) where not list_contains(path, other))" for i in (1, 2, 3, 4)) + f", hit as (select path from (select * from p1 union all select * from p2 union all select * from p3 union all select * from p4) where id = '{END}') select array_to_string(path, '>') as path, len(path) - 1 as hops from hit order by len(hit.path), hit.path limit 1"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "search", "vectors", "graph", "text")
+MODULES = ("access", "search", "vectors", "graph", "text", "feed", "streams")
 
 
 def queries() -> dict:

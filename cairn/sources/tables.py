@@ -85,8 +85,8 @@ def feed_rows(e: DataFrame) -> DataFrame:
     k = F.col("event_id")
     seq = F.when(k % 10 == 9, k - 5).otherwise(k)
     return e.select(
-        k.alias("id"), F.element_at(F.create_map(*sum(([F.lit(i), F.lit(t)] for i, t in enumerate(EVENT_TYPES)), [])), (k % len(EVENT_TYPES)).cast("int")).alias("event_type"), text_of("user_", F.col("user_id")).alias("actor_id"), text_of("key_", F.col("user_id") % 50).alias("object_id"), text_of("node-", k % 3).alias("origin"), seq.alias("sequence"),
-        F.concat(F.lit("origin:node-"), (k % 3).cast("string"), F.lit(":"), seq.cast("string")).alias("dedupe_key"), epoch_ms(F.col("ts")).alias("ts_ms"), "value", "props", scope_of(k).alias("scope"), F.when(k % 4 == 0, "pending").when(k % 4 == 1, "applying").otherwise("applied").alias("status"),
+        k.alias("id"), F.element_at(F.create_map(*sum(([F.lit(i), F.lit(t)] for i, t in enumerate(EVENT_TYPES)), [])), (k % len(EVENT_TYPES)).cast("int")).alias("event_type"), text_of("user_", F.col("user_id")).alias("actor_id"), text_of("key_", F.col("user_id") % 50).alias("object_id"), text_of("node-", seq % 3).alias("origin"), seq.alias("sequence"),
+        F.concat(F.lit("origin:node-"), (seq % 3).cast("string"), F.lit(":"), seq.cast("string")).alias("dedupe_key"), epoch_ms(F.col("ts")).alias("ts_ms"), "value", "props", scope_of(k).alias("scope"), F.when(k % 4 == 0, "pending").when(k % 4 == 1, "applying").otherwise("applied").alias("status"),
     )
 
 
@@ -107,7 +107,7 @@ SQL = {
     )
     + " union all select distinct 'ent_part_' || l_partkey, 'ent_supplier_' || l_suppkey, 'depends_on', 'part', 'supplier', l_partkey from lineitem where l_linenumber = 1",
     "messages": f"select 'sess_' || conv_id as session_id, conv_id, turn, case when turn % 9 = 8 then '__runtime_command__' else role end as role, coalesce(text, '') as content, {EPOCH} + conv_id * 100000 + turn * 1000 as created_at_ms from conversations",
-    "feed": f"select event_id as id, {_event_case} as event_type, 'user_' || user_id as actor_id, 'key_' || (user_id % 50) as object_id, 'node-' || (event_id % 3) as origin, case when event_id % 10 = 9 then event_id - 5 else event_id end as sequence, 'origin:node-' || (event_id % 3) || ':' || (case when event_id % 10 = 9 then event_id - 5 else event_id end) as dedupe_key, epoch_us(ts) // 1000 as ts_ms, value, props, {SCOPE.format(k='event_id')} as scope, case when event_id % 4 = 0 then 'pending' when event_id % 4 = 1 then 'applying' else 'applied' end as status from events",
+    "feed": f"select event_id as id, {_event_case} as event_type, 'user_' || user_id as actor_id, 'key_' || (user_id % 50) as object_id, 'node-' || ((case when event_id % 10 = 9 then event_id - 5 else event_id end) % 3) as origin, case when event_id % 10 = 9 then event_id - 5 else event_id end as sequence, 'origin:node-' || ((case when event_id % 10 = 9 then event_id - 5 else event_id end) % 3) || ':' || (case when event_id % 10 = 9 then event_id - 5 else event_id end) as dedupe_key, epoch_us(ts) // 1000 as ts_ms, value, props, {SCOPE.format(k='event_id')} as scope, case when event_id % 4 = 0 then 'pending' when event_id % 4 = 1 then 'applying' else 'applied' end as status from events",
 }
 
 
