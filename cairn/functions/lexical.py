@@ -49,8 +49,10 @@ def tokens(query: str, limit: int = 64) -> list[str]:
 
 def score(query: str, text: Column) -> Column:
     """How many of the query's tokens occur anywhere in the text."""
-    out, low = F.lit(0.0), folded(F.coalesce(text, F.lit("")))
-    for t in tokens(query):
+    asked, text = tokens(query), F.coalesce(text, F.lit(""))
+    simple = all(c in LOWER or c in "0123456789" for t in asked for c in t)
+    out, low = F.lit(0.0), F.lower(text) if simple else folded(text)  # lower() folds more letters, but none that such tokens hold
+    for t in asked:
         out = out + low.contains(t).cast("double")
     return out
 

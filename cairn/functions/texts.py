@@ -50,10 +50,15 @@ def atom(line: Column) -> Column:
     low = F.lower(line)
     rules = F.array(*(F.struct(F.lit(p.lower()).alias("p"), F.lit(k).alias("k"), F.lit(c).alias("c"), F.lit(t).alias("t"), F.lit(not p.endswith(":")).alias("inside")) for p, k, c, t in ATOM_RULES))
     first = F.try_element_at(F.filter(rules, lambda r: F.when(r["inside"], low.contains(r["p"])).otherwise(low.startswith(r["p"]))), F.lit(1))
-    made = F.transform(F.array(first), lambda r: F.struct(r["k"].alias("predicate"), F.trim(F.substring(line, F.instr(low, r["p"]) + F.length(r["p"]), F.lit(1 << 30))).alias("object"), r["c"].alias("confidence"), r["t"].alias("tags")))
+    made = F.transform(F.filter(F.array(first), lambda r: r.isNotNull()), lambda r: F.struct(r["k"].alias("predicate"), F.trim(F.substring(line, F.instr(low, r["p"]) + F.length(r["p"]), F.lit(1 << 30))).alias("object"), r["c"].alias("confidence"), r["t"].alias("tags")))
     return F.try_element_at(F.filter(made, lambda x: F.length(x["object"]) > 0), F.lit(1))
 
 
+def atoms(df: DataFrame, line: str = "line") -> DataFrame:
+    """The lines of df that make a claim, cleaned, with `atom`. Exploding the claim keeps filters from computing it again below."""
+    return df.withColumn(line, cleaned_line(F.col(line))).withColumn("atom", F.explode(F.filter(F.array(atom(F.col(line))), lambda x: x.isNotNull())))
+
+
 _TRIM = " \t\r\n\"'`.,;:()[]{}<>"
 
 
@@ -67,8 +72,8 @@ def endpoint(text: Column) -> Column:
 
 
 def relations(df: DataFrame, line: str = "line") -> DataFrame:
-    """df with `relation`: ends, type and confidence of `a -> type -> b`, `a -> b` or one of the phrases; null if there is none.
-    Lines that make a claim of another kind are no relations unless they say so."""
+    """The lines of df that state a relation, with `relation`: ends, type and confidence of `a -> type -> b`, `a -> b` or one of the
+    phrases. Lines that make a claim of another kind are no relations unless they say so."""
     none = F.lit(None).cast("struct<from_name: string, type: string, to_name: string>")
     ends = lambda a, t, b: F.struct(endpoint(a).alias("from_name"), t.alias("type"), endpoint(b).alias("to_name"))
     claim = "^(?i)(?:" + "|".join(re.escape(p) for p, *_ in ATOM_RULES if p.endswith(":")) + ")"
@@ -84,7 +89,7 @@ def relations(df: DataFrame, line: str = "line") -> DataFrame:
     scale = F.create_map(F.lit(1), F.lit(0.80), F.lit(2), F.lit(0.78), F.lit(0), F.lit(0.72))
     with_confidence = lambda x, more: F.struct(x["from_name"].alias("from_name"), x["type"].alias("type"), x["to_name"].alias("to_name"), F.round(scale[F.col("__said")] + more, 2).alias("confidence"))
     found = F.when(F.col("__said") < 0, None).when(whole(F.col("__arrow")), with_confidence(F.col("__arrow"), 0.04)).when(F.col("__met").isNotNull(), with_confidence(F.col("__met"), 0.0))
-    return out.withColumn("relation", found).drop("__t", "__said", "__body", "__p", "__arrow", "__met")
+    return out.withColumn("relation", F.explode(F.filter(F.array(found), lambda x: x.isNotNull()))).drop("__t", "__said", "__body", "__p", "__arrow", "__met")
 
 
 def section(line: Column) -> Column:

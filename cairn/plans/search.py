@@ -10,6 +10,7 @@ from cairn.functions import lexical as L
 from cairn.operators import greedy
 from cairn.plans.access import _SEEN, ME
 from cairn.sources import tables as S
+from cairn.sources.staging import staged
 from cairn.sources.tables import NOW, sql
 
 QUERY = "What is the tion of question thly and eaux"
@@ -280,24 +281,23 @@ def agent_memory_search(spark, d):
 O["agent_memory_search"] = sql("messages", "").rstrip() + f", {_MEM} select key, store, session_id, s + 0.5 as score, created_at_ms from (select *, {_lex_sql('key')} + {_lex_sql('content')} as s from mem) where s > 0 order by score desc, created_at_ms desc, store, key limit 200"
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of a fixed query; postings (id, term, tf), lengths (id, n)."""
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    mine = postings.where(F.col("term").isin(terms))
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))  # at most one row a query term
-    s = mine.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return s.groupBy("id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))).alias("score"))
+def bm25(words: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 of a fixed query; words (id, n, hits): number of words of each record, and those that the query names."""
+    stats = words.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    tf = words.select("id", "n", F.explode("hits").alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # at most one row a query term
+    docs, mean = F.lit(stats["docs"]), F.lit(stats["mean"])
+    idf = F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return tf.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))).alias("score"))
 
 
 TERMS = ["the", "tion", "with", "eaux", "thly", "und"]
 
 
 def bm25_search(spark, d):
-    w = S.sources(spark, d).select("id", F.regexp_extract_all(L.folded(F.col("text")), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    lengths = w.select("id", F.size("w").alias("n"))
-    postings = w.select("id", F.explode("w").alias("term")).where(F.col("term").isin(TERMS)).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return bm25(postings, lengths, TERMS).select("id", F.round("score", 6).alias("score"))
+    w = S.sources(spark, d).select("id", F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))  # one pass for both columns
+    words = staged(spark, w.select("id", F.size("w").alias("n"), F.filter("w", lambda x: x.isin(TERMS)).alias("hits")), "words")
+    return bm25(words).select("id", F.round("score", 6).alias("score"))
 
 
 O["bm25_search"] = sql("sources", "").rstrip() + f", w as (select id, regexp_extract_all({_T}, '[a-z]+') as w from sources), n as (select id, len(w) as n from w), p as (select id, term, count(*) as tf from (select id, unnest(w) as term from w) where term in ({', '.join(repr(t) for t in TERMS)}) group by 1, 2), df as (select term, count(*) as df from p group by 1), st as (select count(*) as docs, avg(n) as mean from n) select p.id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score from p join df using (term) join n using (id), st group by p.id"

@@ -27,8 +27,8 @@ _RULES = {p: (pr, c, t) for p, pr, c, t in X.ATOM_RULES} | {"Alice: we decided t
 
 
 def extract_atoms(spark, d):
-    a = lines(spark, d).select("id", X.atom(X.cleaned_line(F.col("line"))).alias("a")).where("a is not null")
-    return a.select("id", "a.predicate", "a.object", F.round("a.confidence", 2).alias("confidence"), "a.tags")
+    a = X.atoms(lines(spark, d))
+    return a.select("id", "atom.predicate", "atom.object", F.round("atom.confidence", 2).alias("confidence"), "atom.tags")
 
 
 def _by_prefix(i: int) -> str:
@@ -47,7 +47,7 @@ def _relation_lines(spark, d):
 
 
 def extract_relations(spark, d):
-    r = X.relations(_relation_lines(spark, d)).where("relation is not null")
+    r = X.relations(_relation_lines(spark, d))
     return r.select("id", "relation.from_name", "relation.type", "relation.to_name", "relation.confidence")
 
 

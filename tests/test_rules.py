@@ -80,8 +80,8 @@ def test_atoms(spark, line, want):
 
 @pytest.mark.parametrize("line, want", [("Gate depends on Harbour", "depends_on"), ("Relation: NP-42 -> implements -> ADR-7", "implements"), ("Decision: a -> b", None), ("ab -> cd", "related_to")])
 def test_relations(spark, line, want):
-    got = X.relations(spark.createDataFrame([(line,)], "line string")).first()["relation"]
-    assert (got and got["type"]) == want
+    got = X.relations(spark.createDataFrame([(line,)], "line string")).first()
+    assert (got and got["relation"]["type"]) == want
 
 
 def test_hygiene(spark):
