@@ -6,10 +6,13 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BROADCAST_ROWS = 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +22,17 @@ def fold_is(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def smallest_by_hash(rows: DataFrame, group: str, id_col: str, most: int, seed: int) -> DataFrame:
+    """The `most` rows of each group with the smallest id hash. Hashes that cannot be among them (above three times the share that
+    `most` is of the group, and then some) go before the rows are dealt by group, so that no task sees a large group whole."""
+    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"))
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 24) / F.lit(float(1 << 40))
+    first = sizes.limit(BROADCAST_ROWS + 1).count()  # few groups can be broadcast; many are joined by a shuffle, and are small then
+    near = rows.withColumn("h", share).join(F.broadcast(sizes) if first <= BROADCAST_ROWS else sizes, F.col(group) == F.col("g"))
+    near = near.where(F.col("h") * F.col("n") <= 3 * most + 50)
+    return near.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("h", id_col))).where(F.col("r") <= most).select(*rows.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one of our own only where the session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)

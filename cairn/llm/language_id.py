@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textops as T
-from cairn.llm.common import fold_is, table
+from cairn.llm.common import fold_is, smallest_by_hash, table
 
 ORDER = 4
 LETTER = np.zeros(256, dtype=bool)
@@ -48,9 +48,8 @@ class Model:
     """Frozen statistics of all languages: for each order, strings seen in any language with their costs in bits and what escaping from them costs."""
 
     def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]], order: int):
-        self.langs, self.order, self.keys, self.cost, self.escape = langs, order, [], [], []
+        self.langs, self.order, self.keys, self.cost, self.contexts, self.escape = langs, order, [], [], [], []
         n = len(langs)
-        totals: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k in range(order + 1):
             grams, c = counts[k]
             context = grams >> np.uint64(8)
@@ -58,35 +57,31 @@ class Model:
             total, distinct = np.zeros((len(ctx), n)), np.zeros((len(ctx), n))
             np.add.at(total, inv, c)
             np.add.at(distinct, inv, c > 0)
-            totals[k] = (ctx, total, distinct)
             with np.errstate(divide="ignore", invalid="ignore"):
                 own = -np.log2(c / (total + distinct)[inv])
                 esc = np.where(distinct > 0, -np.log2(distinct / (total + distinct)), 0.0)
             lower = self._at(k - 1, grams) if k else np.full((len(grams), n), 8.0)
             self.keys.append(grams)
             self.cost.append(np.where(c > 0, own, esc[inv] + lower).astype(np.float32))
-            if k:  # what a context of order k costs to leave stands with the string of order k-1 that it is
-                out = np.zeros((len(self.keys[k - 1]), n), dtype=np.float32)
-                at = np.searchsorted(self.keys[k - 1], ctx)
-                ok = (at < len(out)) & (self.keys[k - 1][np.minimum(at, len(out) - 1)] == ctx)
-                out[at[ok]] = esc[ok]
-                self.escape.append(out)
-            else:
+            self.contexts.append(ctx)
+            self.escape.append(esc.astype(np.float32))
+            if not k:
                 self.base = (esc[0] + 8.0).astype(np.float32)
 
     def _at(self, k: int, grams: np.ndarray) -> np.ndarray:
         """Costs of the shorter ends of strings; each end was counted wherever its string was."""
         return self.cost[k][np.searchsorted(self.keys[k], T.tail(grams, k + 1))]
 
-    def probes(self) -> list[T.Probe]:
-        return [T.Probe(k) for k in self.keys]
+    def probes(self) -> list[tuple[T.Probe, T.Probe]]:
+        """Look-up of strings and of contexts, for each order."""
+        return [(T.Probe(k), T.Probe(c)) for k, c in zip(self.keys, self.contexts, strict=True)]
 
-    def bits(self, key: np.ndarray, probes: list[T.Probe]) -> np.ndarray:
+    def bits(self, key: np.ndarray, probes: list[tuple[T.Probe, T.Probe]]) -> np.ndarray:
         """Cost of each packed string under each language."""
         out = np.zeros((len(key), len(self.langs)), dtype=np.float32)
         left, rest = None, key
         for k in range(self.order, -1, -1):
-            row = probes[k].find(T.tail(rest, k + 1))
+            row = probes[k][0].find(T.tail(rest, k + 1))
             hit = row >= 0
             if left is None:
                 out[hit] = self.cost[k][row[hit]]
@@ -98,9 +93,9 @@ class Model:
             if not len(left):
                 return out
             if k:
-                ctx = probes[k - 1].find(T.tail(rest >> np.uint64(8), k))
+                ctx = probes[k][1].find(T.tail(rest >> np.uint64(8), k))
                 seen = ctx >= 0
-                out[left[seen]] += self.escape[k - 1][ctx[seen]]
+                out[left[seen]] += self.escape[k][ctx[seen]]
         out[left] += self.base
         return out
 
@@ -125,8 +120,7 @@ def _packed(rows: DataFrame, order: int) -> Model | None:
 def train(docs: DataFrame, order: int = ORDER, per_language: int = 300) -> Model | None:
     """Model of `lang` from `text`; docs are training rows (doc_id, text, lang)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.select("doc_id", "lang", F.xxhash64(F.lit(3), "doc_id").alias("h")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language)
+    chosen = smallest_by_hash(rows.select("doc_id", "lang"), "lang", "doc_id", per_language, 3)
     sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # at most per_language ids a label
     counted = sample.mapInArrow(lambda it: _count(it, order), "lang string, k int, gram long, c long").groupBy("lang", "k", "gram").agg(F.sum("c").alias("c"))
     return _packed(counted, order)

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textops as T
-from cairn.llm.common import fold_is, table
+from cairn.llm.common import fold_is, smallest_by_hash, table
 
 CHUNK, STEP, WINDOW, STRIDE, DIM, FILTERS = 512, 256, 6, 2, 6, 24
 
@@ -122,8 +122,7 @@ def held(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 600) -> Network:
     """Network fitted to labels (doc_id, y), read only outside the held-out fold."""
     named = labels.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held(F.col("doc_id")))
-    first = Window.partitionBy("y").orderBy("h", "doc_id")
-    chosen = named.withColumn("h", F.xxhash64(F.lit(10), "doc_id")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_class).select("doc_id", "y")
+    chosen = smallest_by_hash(named, "y", "doc_id", per_class, 10).select("doc_id", "y")
     share = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     net = Network()
     ones, zeros = share.get(1, 0), share.get(0, 0)
