@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = staged(spark, confirm(stars, sets), "stars")
     link = "100 * i >= 80 * u"
     comp = components(stars.where(link))
-    more = staged(spark, links_left(members, stars, comp, sets), "more")
+    more = staged(spark, links_left(classes, stars, comp, sets), "more")
     if not more.isEmpty():
         comp = components(stars.where(link).select("a", "b").unionByName(more))
     named = classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
@@ -189,46 +189,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _block(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rep, comp, sizes and shingles of the members in one row."""
+    rep, comp, sets = column[i].values.flatten()
+    return rep.to_numpy(), comp.to_numpy(), np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+
+
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between two blocks of sets, members of one component aside: counts of common shingles as one matrix product."""
     for batch in batches:
-        for row in batch.to_pylist():
-            members = {m["rep"]: m for m in row["x"] + row["y"]}
-            x, y = sorted({m["rep"] for m in row["x"]}), sorted({m["rep"] for m in row["y"]})
-            if len({m["comp"] for m in members.values()}) < 2:
+        for r in range(batch.num_rows):
+            (rx, cx, nx, vx), (ry, cy, ny, vy) = _block(batch.column("x"), r), _block(batch.column("y"), r)
+            if len(np.unique(np.concatenate((cx, cy)))) < 2:
                 continue
-            sets = {r: np.array(m["shingles"], np.int64) for r, m in members.items()}
-            n = {r: len(v) for r, v in sets.items()}
-            words, inv = np.unique(np.concatenate([sets[r] for r in (*x, *y)]), return_inverse=True)
-            common = np.zeros((len(x), len(y)), np.int64)
-            own = np.repeat(np.arange(len(x) + len(y)), [n[r] for r in (*x, *y)])
+            words, inv = np.unique(np.concatenate((vx, vy)), return_inverse=True)
+            common = np.zeros((len(rx), len(ry)), np.float32)
+            own = np.repeat(np.arange(len(rx) + len(ry)), np.concatenate((nx, ny)))
             for lo in range(0, len(words), PANEL):  # a panel of shingles at a time: memory stays bounded
                 part = (inv >= lo) & (inv < lo + PANEL)
-                m = np.zeros((len(x) + len(y), min(PANEL, len(words) - lo)), np.float32)
+                m = np.zeros((len(rx) + len(ry), min(PANEL, len(words) - lo)), np.float32)
                 m[own[part], inv[part] - lo] = 1
-                common += (m[: len(x)] @ m[len(x) :].T).astype(np.int64)
-            nx, ny = np.array([n[r] for r in x]), np.array([n[r] for r in y])
-            cx, cy = np.array([members[r]["comp"] for r in x]), np.array([members[r]["comp"] for r in y])
+                common += m[: len(rx)] @ m[len(rx) :].T
+            common = common.astype(np.int64)
             i, j = np.nonzero((100 * common >= 80 * (nx[:, None] + ny[None, :] - common)) & (cx[:, None] != cy[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[i]), pa.array(np.array(y, np.int64)[j])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(rx[i]), pa.array(ry[j])], names=["a", "b"])
 
 
-PANEL = 8192
-BLOCK = 60_000  # shingles
+PANEL = 4096
+BLOCK = 60_000  # shingles, and MEMBER more for each member
+MEMBER = 60
 
 
-def links_left(members: DataFrame, stars: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links of members of one key's hub that are not of one component. Members of a hub are dealt to blocks of about BLOCK
-    shingles by their distance to the hub, and only blocks whose distances can be within 0.2 of each other meet; no pairs are emitted but links."""
+def links_left(classes: DataFrame, stars: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of members of one hub that are not of one component. Members are dealt to blocks of bounded size by their distance
+    to the hub, and only blocks whose distances can be within 0.2 of each other meet; no pairs are emitted but links. Members are
+    dealt as ids, and sets meet them by id, so that no task gathers a large hub's sets."""
+    spark = classes.sparkSession
     known = stars.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("i") / F.col("u")).alias("d"))
-    side = known.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_hubs = side.groupBy("hub").agg(F.max("d").alias("far"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("far > 0.2 and c0 <> c1").select("hub")
-    side = side.join(open_hubs, "hub", "left_semi").join(sets, "rep")
-    whole = side.groupBy("hub").agg(F.sum(F.size("shingles")).alias("all"))
-    side = side.join(whole, "hub").withColumn("bin", F.when(F.col("all") <= BLOCK, 0).otherwise(1 + F.least(F.floor(F.col("d") * 5 + 1e-9), F.lit(4))))
-    sizes = side.groupBy("hub", "bin").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).cast("int").alias("blocks"))
-    dealt = side.join(sizes, ["hub", "bin"]).select("hub", "bin", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.struct("rep", "comp", "shingles").alias("m"))
-    blocks = staged(members.sparkSession, dealt.groupBy("hub", "bin", "block").agg(F.collect_list("m").alias("m")), "blocks")  # bounded by BLOCK
+    known = known.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    known = staged(spark, known.join(classes.select("rep", (F.col("n") + MEMBER).alias("weight")), "rep"), "known")
+    hubs = known.groupBy("hub").agg(F.max("d").alias("far"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum("weight").alias("all"))
+    hubs = staged(spark, hubs.where("far > 0.2 and c0 <> c1").select("hub", "all"), "hubs")
+    side = known.join(hubs, "hub").withColumn("bin", F.when(F.col("all") <= BLOCK, 0).otherwise(1 + F.least(F.floor(F.col("d") * 5 + 1e-9), F.lit(4))))
+    side = staged(spark, side.drop("all"), "side")
+    sizes = staged(spark, side.groupBy("hub", "bin").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("blocks")), "sizes")
+    dealt = side.join(sizes, ["hub", "bin"]).select("hub", "bin", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep", "comp")
+    blocks = dealt.join(sets, "rep").groupBy("hub", "bin", "block").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m"))  # bounded by BLOCK
+    blocks = staged(spark, blocks, "blocks")
     mine = blocks.select("hub", "bin", "block")
     other = mine.select("hub", F.col("bin").alias("bin2"), F.col("block").alias("block2"))
     meet = mine.join(other, "hub").where("bin2 - bin in (0, 1) and (bin2 > bin or block2 >= block) and not (bin = 1 and bin2 = 1)")
