@@ -1,14 +1,14 @@
-"""Shared helpers: reading tables, fold membership, and tables written to cut lineage."""
+"""Shared helpers: reading tables, fold membership, bounded samples; `staged` writes a table to cut lineage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.staging import staged
+
+__all__ = ["fold_is", "smallest_by_hash", "staged", "table"]
+
 
 BROADCAST_ROWS = 10_000
 
@@ -31,33 +31,3 @@ def smallest_by_hash(rows: DataFrame, group: str, id_col: str, most: int, seed:
     near = rows.withColumn("h", share).join(F.broadcast(sizes) if first <= BROADCAST_ROWS else sizes, F.col(group) == F.col("g"))
     near = near.where(F.col("h") * F.col("n") <= 3 * most + 50)
     return near.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("h", id_col))).where(F.col("r") <= most).select(*rows.columns)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return str(known.get()).rstrip("/")
-    own = tempfile.mkdtemp(prefix="cairn-ckpt-")
-    spark.sparkContext.setCheckpointDir(own)
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hdfs = jvm.org.apache.hadoop.fs.Path(path)
-        hdfs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hdfs.getParent(), True)
-    except Exception:  # the session is gone at exit: nothing left to clean with
-        return
