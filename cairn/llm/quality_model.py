@@ -121,7 +121,7 @@ def held(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 600) -> Network:
     """Network fitted to labels (doc_id, y), read only outside the held-out fold."""
-    named = labels.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held(F.col("doc_id")))
+    named = labels.select("doc_id", "y").where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held(F.col("doc_id")))
     chosen = smallest_by_hash(named, "y", "doc_id", per_class, 10).select("doc_id", "y")
     share = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     net = Network()
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600) -> Network:
     if not ones or not zeros:
         net.constant = 0.5 if not ones + zeros else float(ones > 0)
         return net
-    got = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id", "text").toArrow()  # at most per_class of each
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id", "text").toArrow()  # at most per_class of each
     y = got.column("y").to_numpy().astype(np.float32)
     if len(y):
         net.fit([t.encode("utf-8") for t in got.column("text").to_pylist()], y)
