@@ -125,12 +125,18 @@ def agent_memory_reduce(spark, d):
     return f.groupBy("object_id").applyInPandas(fold, "object_id string, state string")
 
 
+def merge_object(spark, d):
+    """Fields of the merged objects, counted."""
+    return agent_memory_reduce(spark, d).select("object_id", F.size(F.json_object_keys("state")).cast("long").alias("fields"))
+
+
 def merge_string_set(spark, d):
     """Strings of a key in order of first writing."""
     f = S.feed(spark, d).where("event_type = 'agent_memory.merge_string_set'").select("object_id", F.struct("ts_ms", "id", F.concat(F.lit("t"), F.col("id") % 6).alias("s")).alias("x"))
     return f.groupBy("object_id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])), ",").alias("strings"))
 
 
+O["merge_object"] = sql("feed", "select object_id, 2 as fields from feed where event_type = 'agent_memory.merge_object' group by 1")
 O["merge_string_set"] = sql("feed", "select object_id, string_agg(s, ',' order by ts_ms, id) as strings from (select * from (select object_id, ts_ms, id, 't' || (id % 6) as s from feed where event_type = 'agent_memory.merge_string_set') qualify row_number() over (partition by object_id, s order by ts_ms, id) = 1) group by 1")
 
 
@@ -395,5 +401,5 @@ def export_jsonl(spark, d):
 
 O["export_jsonl"] = sql("atoms", "select id, '{\"id\":\"' || id || '\",\"predicate\":\"' || predicate || '\",\"object\":\"' || object || '\",\"status\":\"' || status || '\"}' as line from atoms where key % 10 = 0")
 
-for _f in (feed_since, feed_dedupe, agent_memory_state, tombstones, feed_operations, lifecycle_status, feed_frontier, feed_compact, feed_status, feed_redaction, agent_memory_reduce, merge_string_set, analytics_status, analytics_final, analytics_query, analytics_export, analytics_cursor, outbox_status, job_counts, session_history, session_merge, session_messages, session_page, usage_max, recall_signals, hygiene_decisions, hygiene_report, dedupe_atoms, conflict_scan, cache_freshness, cache_stats, lru_evict, rollout, artifact_validate, route_parse, diagnostics, export_jsonl):
+for _f in (feed_since, feed_dedupe, agent_memory_state, tombstones, feed_operations, lifecycle_status, feed_frontier, feed_compact, feed_status, feed_redaction, agent_memory_reduce, merge_object, merge_string_set, analytics_status, analytics_final, analytics_query, analytics_export, analytics_cursor, outbox_status, job_counts, session_history, session_merge, session_messages, session_page, usage_max, recall_signals, hygiene_decisions, hygiene_report, dedupe_atoms, conflict_scan, cache_freshness, cache_stats, lru_evict, rollout, artifact_validate, route_parse, diagnostics, export_jsonl):
     Q[_f.__name__] = _f
