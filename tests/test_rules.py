@@ -143,3 +143,31 @@ def test_stream_export(spark, tmp_path):
     for _ in range(2):
         FS.export(spark, FS.feed(spark, "/root/testdata/sf0.001/events.parque[t]"), out)
     assert spark.read.parquet(out).count() == 1000
+
+
+def test_codecs(spark):
+    from cairn.functions import codecs as K
+
+    assert [K.trimmed("über alles", n) for n in (20, 6, 5, 4, 2, 0)] == ["über alles", "üb...", "ü...", "...", "..", ""]
+    assert all(len(K.trimmed("ü" * 9, n).encode()) <= n for n in range(19))
+    row = spark.createDataFrame([('{"b": 1, "a": {"d": 2, "c": 3}}', [1.0, -2.5])], "j string, v array<float>")
+    got = row.select(K.canonical_json("j").alias("j"), K.bytes_to_vector(K.vector_to_bytes("v")).alias("v"), K.trim_utf8("j", 5).alias("t")).first()
+    assert (got["j"], got["v"], got["t"]) == ('{"a":{"c":3,"d":2},"b":1}', [1.0, -2.5], '{"...')
+
+
+def test_sinks(spark, tmp_path):
+    from cairn.streaming import sinks
+
+    relations = spark.createDataFrame([("a", "owns", "b"), ("a", "owns", "b"), ("c", "uses", "d")], "from_id string, type string, to_id string")
+    out = str(tmp_path)
+
+    def send(rows):
+        import uuid
+
+        with open(f"{out}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(r["key"] for r in rows))
+
+    sinks.write_batch(sinks.graph_upserts(relations), send, 1)
+    assert sorted(p.read_text() for p in tmp_path.iterdir()) == ["a|owns|b", "c|uses|d"]
+    chunk = spark.createDataFrame([("source", "s1", 2, "t", [0.5])], "object_type string, object_id string, ordinal int, text string, embedding array<float>")
+    assert sinks.vector_upserts(chunk).first()["key"] == "vec:6:source:s1:2"
