@@ -29,7 +29,7 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBER = r"(?<![A-Za-z0-9.,+])\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,4}+(?![A-Za-z0-9])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SPELLED = r"[A-Za-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({.](?:dot)?[\])}]?\x20?[A-Za-z0-9-]++)+"
+SPELLED = r"[A-Za-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({.](?:dot)?[\])}]?\x20?[A-Za-z0-9-]++)++"
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("number", "account", "spelled")
