@@ -136,7 +136,7 @@ def merge_string_set(spark, d):
     return f.groupBy("object_id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])), ",").alias("strings"))
 
 
-O["merge_object"] = sql("feed", "select object_id, 2 as fields from feed where event_type = 'agent_memory.merge_object' group by 1")
+O["merge_object"] = sql("feed", "select object_id, 2::bigint as fields from feed where event_type = 'agent_memory.merge_object' group by 1")
 O["merge_string_set"] = sql("feed", "select object_id, string_agg(s, ',' order by ts_ms, id) as strings from (select * from (select object_id, ts_ms, id, 't' || (id % 6) as s from feed where event_type = 'agent_memory.merge_string_set') qualify row_number() over (partition by object_id, s order by ts_ms, id) = 1) group by 1")
 
 

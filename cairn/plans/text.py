@@ -73,7 +73,7 @@ def evidence_ranges(spark, d):
     return s.select("id", (F.col("n") + 1).alias("line"), (upto - F.octet_length("line") - 1).alias("start"), (upto - 1).alias("end"))
 
 
-O["evidence_ranges"] = sql("sources", "select id, n as line, (u - strlen(l) - 1)::bigint as start, (u - 1)::bigint as \"end\" from (select id, n, l, sum(strlen(l) + 1) over (partition by id order by n) as u from (select id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from sources))")
+O["evidence_ranges"] = sql("sources", "select id, n::integer as line, (u - strlen(l) - 1)::bigint as start, (u - 1)::bigint as \"end\" from (select id, n, l, sum(strlen(l) + 1) over (partition by id order by n) as u from (select id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from sources))")
 
 
 def grounded_evidence(spark, d):

@@ -53,7 +53,7 @@ def vector_normalize(spark, d):
     return vectors(spark, d).select("id", F.round(n[0], 6).alias("first"), F.round(V.norm(n), 6).alias("norm"))
 
 
-O["vector_normalize"] = f"select vec_id as id, round(embedding[1]::double / sqrt(list_dot_product({_E}, {_E})), 6) as first, 1.0 as norm from embeddings"
+O["vector_normalize"] = f"select vec_id as id, round(embedding[1]::double / sqrt(list_dot_product({_E}, {_E})), 6) as first, 1.0::double as norm from embeddings"
 
 
 def _signed(spark, d):
