@@ -282,6 +282,30 @@ def test_tree_weighs_all_depths():
     assert np.allclose((10**whole).sum(axis=1), 1, atol=1e-3)
 
 
+def test_every_context_counts(spark, docs, texts):
+    """Scores are those of the tree of all counted contexts, however few strings the scan looks up."""
+    d = docs.select("doc_id", lm_score.held(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    counts = lm_score.staged(spark, lm_score.count(d.where("not held_out")), "counts")
+    strings = [(int(r["key"]), r["c"]) for r in counts.where(F.col("kind") == lm_score.GRAM).collect()]
+    levels = []
+    for k in range(lm_score.DEPTH + 1):
+        c = collections.defaultdict(lambda: np.zeros(256))
+        for key, n in strings:
+            c[key >> 8 & (1 << 8 * k) - 1][key & 255] += n
+        levels.append((np.array(sorted(c), np.uint64), np.array([c[x] for x in sorted(c)])))
+    whole = lm_score.Tree(levels)
+    probes = whole.probes()
+    for frequent in (40, 1 << 19):
+        model = lm_score.tree(counts, frequent=frequent)
+        assert len(model.often[0]) <= frequent
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(d, counts, model, 1, frequent).collect()}
+        assert len(got) == len(texts)
+        for i, t in texts.items():
+            text = b"\xff" * lm_score.DEPTH + low(t or "").encode() + b"\xff"
+            keys = np.array([int.from_bytes(text[j : j + lm_score.DEPTH + 1], "big") for j in range(len(text) - lm_score.DEPTH)], np.uint64)
+            assert got[i] == pytest.approx(whole.bits(keys, probes).astype(float).sum(), rel=1e-4, abs=1e-3), i
+
+
 def test_quality_model(spark, docs, texts, empty):
     rows = [(1000 + i, (" ".join(f"{w}!!" for w in t.upper().split()) if i % 2 else t)) for i, t in ((i, texts[i % 150]) for i in range(400))]
     both = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
