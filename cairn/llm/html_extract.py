@@ -8,6 +8,9 @@ adverts, forms, comments and footers in varied markup.
 
 Text is what an HTML reader shows: character references decoded, white space inside a block made one space, blocks trimmed and joined by
 two line feeds in page order; scripts, styles, comments and the head are never text; tags that are not closed are closed by what follows.
+Formulas are text of their block. Controls, drawings and fallbacks (`HIDDEN`) are no text from their start to the end tag that matches it, nested ones
+of one name included; one that nothing closes before its parent ends hides no more than what stands before the next block. Only scripts, styles, titles and
+text areas are raw, and run to the end of the page if they are not closed, as in a browser.
 
 Null and empty pages, and pages without content, give an empty text. Rows are judged one by one, equal rows alike; other columns
 are ignored; an empty table gives none.
@@ -33,9 +36,13 @@ TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: elements that do not end a block of text
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe object svg math select button audio video canvas".split())
+RAW = frozenset("script style title textarea".split())
+HIDDEN = frozenset("annotation annotation-xml noscript template iframe object svg select button audio video canvas".split())
+HIDES = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})[\s/>]", re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 ASIDE = frozenset("nav aside footer form header".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -48,7 +55,8 @@ class Page:
         self.parent, self.tag, self.words, self.blocks = [-1], ["#root"], [()], []
         stack: list[tuple[str, int]] = [("#root", 0)]
         buf: list[str] = []
-        linked, links, at = 0, 0, 0
+        linked, links, at, muted = 0, 0, 0, False
+        hidden = self._hidden(source) if HIDES.search(source) else {}
 
         def flush() -> None:
             nonlocal buf, linked
@@ -66,7 +74,7 @@ class Page:
 
         def take(text: str) -> None:
             nonlocal linked
-            if text:
+            if text and not muted:
                 buf.append(text)
                 linked += len(text) if links > 0 else 0
 
@@ -79,6 +87,8 @@ class Page:
             name = (m[2] or "").lower()
             if not name:
                 continue
+            if name not in INLINE and name not in HIDDEN and name not in ("option", "optgroup"):
+                muted = False
             if m[1]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == name:
@@ -86,17 +96,22 @@ class Page:
                         break
                 continue
             if name in INLINE:
-                if name == "br":
+                if name in ("br", "mtd"):
                     take(" ")
-                elif name not in VOID and not m[3].endswith("/"):
+                if name not in VOID and not m[3].endswith("/"):
                     links += name == "a"
                     stack.append((name, stack[-1][1]))
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                end = RAW_END[name].search(source, at)
                 at = end.end() if end else len(source)
                 take(" ")
                 continue
+            if name in HIDDEN:
+                take(" ")
+                at = hidden.get(m.start(), at)
+                muted = muted or m.start() not in hidden
+                continue
             if name in CLOSES_P:
                 self._close({"p"}, {"td", "th", "#root", "article", "div", "section"}, stack, pop_to)
             elif name in CLOSED_BY:
@@ -110,6 +125,43 @@ class Page:
                 stack.append((name, len(self.tag) - 1))
         flush()
 
+    @staticmethod
+    def _hidden(source: str) -> dict[int, int]:
+        """Where each hidden element starts that is closed before its parent ends, and where it ends."""
+        stack: list[tuple[str, int]] = []
+        out, at, foreign = {}, 0, 0
+
+        def pop_to(depth: int) -> None:
+            nonlocal foreign
+            foreign -= sum(t in ("svg", "math") for t, _ in stack[depth:])
+            del stack[depth:]
+
+        while m := TAG.search(source, at):
+            at = m.end()
+            name = (m[2] or "").lower()
+            if not name or name in VOID:
+                continue
+            own = (name in ("svg", "math") or foreign) and m[3].endswith("/")
+            if m[1] or name in ("button", "select"):  # neither holds another of its name
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] == name:
+                        if m[1] and name in HIDDEN:
+                            out[stack[depth][1]] = at
+                        pop_to(depth)
+                        break
+            if m[1]:
+                continue
+            if own:
+                if name in HIDDEN:
+                    out[m.start()] = at
+            elif name in RAW:
+                end = RAW_END[name].search(source, at)
+                at = end.end() if end else len(source)
+            else:
+                foreign += name in ("svg", "math")
+                stack.append((name, m.start()))
+        return out
+
     @staticmethod
     def _close(names: set, within: set, stack: list, pop_to) -> None:
         for depth in range(len(stack) - 1, 0, -1):

@@ -392,6 +392,19 @@ def test_html_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_after_unclosed_elements():
+    """No element hides the text behind it, and formulas are text."""
+    end = "The first line.\n\nThe last line, and it stays."
+    for inner in ("<svg/>", '<svg width="1" />', "<math/>", "<button>Press", "<select><option>One<option>Two", "<object data=x>", "<audio src=x>", "<canvas>", "<iframe src=x>", "<template>", "<noscript>",
+                  "<svg><svg><text>in</text></svg><text>out</text></svg>", "<object><object>a</object>b</object>", "<button>a<button>b</button>", "<svg><title/><text>no</text></svg>", "<SVG><path d=M0 /></SVG >", "<script>var a = '<p>'</script x>"):
+        page = html_extract.Page(f"<body><article><p>The first line.</p>{inner}<p>The last line, and it stays.</p></article></body>")
+        assert "\n\n".join(text for _, text, _ in page.blocks) == end, inner
+    for inner, want in (("so <math><msup><mi>x</mi><mn>2</mn></msup></math> holds", "so x2 holds"), ("<math><semantics><mi>y</mi><annotation>\\\\gamma</annotation></semantics></math> too", "y too"), ("a <button>b</button> c <svg/> d", "a c d")):
+        assert [text for _, text, _ in html_extract.Page(f"<article><p>{inner}</p></article>").blocks] == [want]
+    shown = html_extract.main_text("<body><article><h1>Head</h1><p>One <svg/> two, and three.</p><p>Where <math><mi>x</mi></math> is four.</p></article></body>", html_extract.trained())
+    assert shown == "Head\n\nOne two, and three.\n\nWhere x is four."
+
+
 def test_messages_are_marginals():
     """Odds by message passing equal those by summing over all labellings of a small tree."""
     import itertools
