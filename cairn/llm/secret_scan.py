@@ -2,7 +2,8 @@
 
 Base spans are those of three formats (assign, access, hex). The method adds spans of kind `random`: runs of key-like characters that
 hold a digit and a letter (or letters of both cases throughout), are no known digest or identifier, do not touch a base
-span, and take more than one token for every `chars_per_token` characters under the vocabulary.
+span, and take more than one token for every `chars_per_token` characters under the vocabulary. A run is judged whole (keys hold slashes);
+of one that is let off or touches a base span, each part of 16 or more characters between slashes and equals signs is judged by itself.
 
 Excluded as known: hexadecimal of a digest's length (32, 40, 48, 56, 64, 96, 128), UUIDs, dates and version numbers, paths and addresses, and identifiers
 made of words joined by separators or capitals. The vocabulary file is a parameter; it is read where the texts are, once a worker.
@@ -30,6 +31,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: a part of a run, with the padding at its end
+SEGMENT = re.compile(r"[^/=]{16,}(?:=+(?=/|\Z))?")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/+=-]*")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
@@ -66,14 +69,19 @@ def _known(run: str) -> bool:
     return not re.search(r"[0-9]", bare) and bool(WORDS.fullmatch(bare)) and len(re.findall(r"[A-Z]", bare)) <= len(bare) // 5
 
 
+def _random(run: str, vocabulary: str, chars_per_token: float) -> bool:
+    return not (run.islower() and run.isalpha() or _known(run)) and len(run) < chars_per_token * len(_encoding(vocabulary).encode_ordinary(run))
+
+
 def random_spans(text: str, taken: list[tuple[str, int, int]], vocabulary: str, chars_per_token: float) -> list[tuple[str, int, int]]:
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.islower() and run.isalpha() or any(a < m.end() and m.start() < z for _, a, z in taken) or _known(run):
-            continue
-        if len(run) < chars_per_token * len(_encoding(vocabulary).encode_ordinary(run)):
-            out.append(("random", m.start(), m.end()))
+        parts = [m.span()] + [(m.start() + s.start(), m.start() + s.end()) for s in SEGMENT.finditer(m[0]) if "/" in m[0] or "=" in m[0]]
+        for i, (start, end) in enumerate(parts):
+            if not any(a < end and start < z for _, a, z in taken) and _random(text[start:end], vocabulary, chars_per_token):
+                out.append(("random", start, end))
+                if i == 0:
+                    break
     return out
 
 

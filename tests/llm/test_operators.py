@@ -343,6 +343,23 @@ def test_secret_scan(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secrets_in_paths():
+    """A secret is found wherever in a path it stands, and the path is no secret."""
+    key, longer = "q9X2vLr8TzK4mWc7Yb3NfJ5p", "q9X2vLr8TzK4mWc7Yb3NfJ5pHs6Dg1Qw0ZxC4vBn"
+    for before, secret, after in (
+        ("com/services/T01AB2CD3/B04EF5GH6/", key, ""), ("com/api/reset/", longer, ""), ("com/api/v1/users/", key, "/settings/profile"), ("documentation/authentication/internationalization/", longer, "/configuration"),
+        ("internationalization_of_documentation_and_authentication/configuration/", key, ""), ("com/page/deadbeefdeadbeefdeadbeef/reset/", key, ""), ("com/path/of/", key + "==", ""),
+    ):
+        text = f"see https://example.{before}{secret}{after} now"
+        _, found = secret_scan.find(text)
+        assert [text[a:z] for _, a, z in found] == [secret], text
+        assert secret not in secret_scan.redact(text)
+    for plain in ("see example.com/documentation/internationalization/configuration-of-services/index", "at com/a/id/123e4567-e89b-12d3-a456-426614174000/D41D8CD98F00B204E9800998ECF8427E/x", "/usr/local/share/documentation/readme"):
+        assert secret_scan.find(plain)[1] == [], plain
+    whole = "aB3/xK9q/Zt7Wm/2LpQ8/vN4cR/6yHs1/Dg5Jf0/UeT"
+    assert [whole[a:z] for _, a, z in secret_scan.find(whole)[1]] == [whole]
+
+
 PERSONAL = [
     "mail a.b@c.de, x@y and q@w.e_r@t.yu end", "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8 and 010.001.000.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 12345678901234567890123", "call +49 (30) 1234-5678 or +1 23 or ++33 1 23 45 67 89.",
     "phone (212) 555-0182 on 2024-05-06", "ssn 123-45-6789 and page 123-456", "IBAN DE44 5001 0517 5407 3249 31", "write to anna[at]example[dot]org", "ünï é +442071838750 x@exämple.com 4242424242424242", "5" * 5000, "a" * 20000 + "@b.c", "x[at]y" + ".z" * 20000, "1.1.1.1" * 50,
