@@ -6,16 +6,18 @@ span, and take more than one token for every `chars_per_token` characters under
 of one that is let off or touches a base span, each part of 16 or more characters between slashes and equals signs is judged by itself.
 
 Excluded as known: hexadecimal of a digest's length (32, 40, 48, 56, 64, 96, 128), UUIDs, dates and version numbers, paths and addresses, and identifiers
-made of words joined by separators or capitals. The vocabulary file is a parameter; it is read where the texts are, once a worker.
+made of words joined by separators or capitals. The vocabulary file is a parameter; the driver reads it and broadcasts it (its size is that of the file),
+and each worker builds its encoder once.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Rows are judged one by one, equal rows alike; other
-columns are ignored; an empty table gives none.
+columns are ignored; an empty table gives none. Work on a text grows with its length, however long its runs and however many its matches.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,19 +36,27 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: a part of a run, with the padding at its end
 SEGMENT = re.compile(r"[^/=]{16,}(?:=+(?=/|\Z))?")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/+=-]*")
+#: a letter that belongs to no word: a small one alone, or a capital alone that no small letter follows
+LONE = re.compile(r"(?<![a-z])[a-z](?![a-z])|(?<![A-Z])[A-Z](?![A-Za-z])")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 KINDS = ("assign", "access", "hex", "random")
 #: splits a run into the pieces that a byte-pair vocabulary is applied to
 PIECES = r"[A-Za-z]+|[0-9]{1,3}|[^A-Za-z0-9]+"
+PIECE = 512
+
+
+def vocabulary_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: str | bytes):
+    """The encoder of a vocabulary file, given by its path or as what is in it."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    raw = vocabulary_bytes(vocabulary) if isinstance(vocabulary, str) else vocabulary
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
     return tiktoken.Encoding("secrets", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -66,19 +76,39 @@ def _known(run: str) -> bool:
         return True
     if run.count("/") > 2 and re.search(r"/[a-z]+/", run):
         return True
-    return not re.search(r"[0-9]", bare) and bool(WORDS.fullmatch(bare)) and len(re.findall(r"[A-Z]", bare)) <= len(bare) // 5
+    return not re.search(r"[0-9]", bare) and not LONE.search(bare) and len(re.findall(r"[A-Z]", bare)) <= len(bare) // 5
+
+
+def _tokens(run: str, vocabulary: str | bytes) -> int:
+    """Tokens of a run; long ones are encoded in pieces, so that the time grows with their length."""
+    return sum(len(_encoding(vocabulary).encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
+
+def _random(run: str, vocabulary: str | bytes, chars_per_token: float) -> bool:
+    return not (run.islower() and run.isalpha() or _known(run)) and len(run) < chars_per_token * _tokens(run, vocabulary)
 
 
-def _random(run: str, vocabulary: str, chars_per_token: float) -> bool:
-    return not (run.islower() and run.isalpha() or _known(run)) and len(run) < chars_per_token * len(_encoding(vocabulary).encode_ordinary(run))
+def _union(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, z in sorted((a, z) for _, a, z in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+    return starts, ends
 
 
-def random_spans(text: str, taken: list[tuple[str, int, int]], vocabulary: str, chars_per_token: float) -> list[tuple[str, int, int]]:
+def random_spans(text: str, taken: list[tuple[str, int, int]], vocabulary: str | bytes, chars_per_token: float) -> list[tuple[str, int, int]]:
     out = []
+    starts, ends = _union(taken)
+    touched = lambda a, z: (k := bisect_left(starts, z) - 1) >= 0 and ends[k] > a
     for m in RUN.finditer(text):
         parts = [m.span()] + [(m.start() + s.start(), m.start() + s.end()) for s in SEGMENT.finditer(m[0]) if "/" in m[0] or "=" in m[0]]
         for i, (start, end) in enumerate(parts):
-            if not any(a < end and start < z for _, a, z in taken) and _random(text[start:end], vocabulary, chars_per_token):
+            if not touched(start, end) and _random(text[start:end], vocabulary, chars_per_token):
                 out.append(("random", start, end))
                 if i == 0:
                     break
@@ -89,7 +119,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
-def find(text: str, vocabulary: str = VOCABULARY, chars_per_token: float = 2.0) -> tuple[list, list]:
+def find(text: str, vocabulary: str | bytes = VOCABULARY, chars_per_token: float = 2.0) -> tuple[list, list]:
     """Base spans and added spans of one text."""
     base = base_spans(text)
     return base, random_spans(text, base, vocabulary, chars_per_token)
@@ -98,12 +128,13 @@ def find(text: str, vocabulary: str = VOCABULARY, chars_per_token: float = 2.0)
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY, chars_per_token: float = 2.0) -> DataFrame:
     """doc_id and array of spans (kind, start, end), by start, for each row of docs (doc_id, text)."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds, starts, ends, n = [], [], [], [0]
             for text in b.column("text"):
-                base, more = find(text.as_py() or "", vocabulary, chars_per_token)
+                base, more = find(text.as_py() or "", shared.value, chars_per_token)
                 for k, a, z in sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])):
                     kinds.append(k)
                     starts.append(a)
@@ -115,7 +146,7 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, chars_per_token: float =
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, spans array<struct<kind: string, start: int, end: int>>")
 
 
-def redact(text: str, vocabulary: str = VOCABULARY, chars_per_token: float = 2.0) -> str:
+def redact(text: str, vocabulary: str | bytes = VOCABULARY, chars_per_token: float = 2.0) -> str:
     """text with each secret replaced by its kind; of an assignment the key stays and the value goes."""
     base, more = find(text, vocabulary, chars_per_token)
     out, at = [], 0
