@@ -9,8 +9,9 @@ adverts, forms, comments and footers in varied markup.
 Text is what an HTML reader shows: character references decoded, white space inside a block made one space, blocks trimmed and joined by
 two line feeds in page order; scripts, styles, comments and the head are never text; tags that are not closed are closed by what follows.
 Formulas are text of their block. Controls, drawings and fallbacks (`HIDDEN`) are no text from their start to the end tag that matches it, nested ones
-of one name included; one that nothing closes before its parent ends hides no more than what stands before the next block. Only scripts, styles, titles and
-text areas are raw, and run to the end of the page if they are not closed, as in a browser.
+of one name included; one that nothing closes before its parent ends hides no more than what stands before the next block, and nothing if it is written as self-closed. Only scripts, styles, titles and
+text areas are raw, and run to the end of the page if they are not closed, as in a browser. Tags are read by the rules of browsers: a stray quote is
+part of a name, quoted values may hold angle brackets, and a tag that the page ends in is no text. Work grows with the length of a page.
 
 Null and empty pages, and pages without content, give an empty text. Rows are judged one by one, equal rows alike; other columns
 are ignored; an empty table gives none.
@@ -32,7 +33,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import table
 
-TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>)""", re.S)
+#: a whole tag: end or start, name, attributes (a quote without its end is a character like others)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+\s*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>""")
+#: the same, in what is left of a page that ends within a tag
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>?+")
+NAMED = re.compile(r"</?[a-zA-Z]")
+COMMENT_END = re.compile(r"--!?>")
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: elements that do not end a block of text
@@ -48,29 +54,78 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+class Tags:
+    """The tags of a page one after the other, as a browser reads them, each character looked at a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.loose = source, False
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it ends an element, name, attributes) of the next tag; comments and declarations have no name."""
+        s = self.source
+        while (start := s.find("<", at)) >= 0:
+            if NAMED.match(s, start):
+                m = None if self.loose else TAG.match(s, start)
+                if m is None:  # no end of this tag: the page ends within it, or within a quotation of it
+                    self.loose = True
+                    m = LOOSE.match(s, start)
+                return start, m.end(), bool(m[1]), m[2].lower(), m[3]
+            if s.startswith("<!--", start):
+                if s.startswith((">", "->"), start + 4):
+                    return start, s.index(">", start + 4) + 1, False, "", ""
+                end = COMMENT_END.search(s, start + 4)
+                return start, end.end() if end else len(s), False, "", ""
+            if s.startswith(("<!", "<?", "</"), start):
+                return start, (s.find(">", start) + 1) or len(s), False, "", ""
+            at = start + 1
+        return None
+
+
+class Open:
+    """Open elements, innermost last, with where in the stack each name stands."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str, value: int) -> None:
+        self.at.setdefault(name, []).append(len(self.items))
+        self.items.append((name, value))
+
+    def pop(self) -> tuple[str, int]:
+        self.at[self.items[-1][0]].pop()
+        return self.items.pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost element of these names, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+
 class Page:
     """Block elements of a page in page order: `parent`, `tag`, `words` of class, id and role, and blocks of text (element, text, characters in links)."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.words, self.blocks = [-1], ["#root"], [()], []
-        stack: list[tuple[str, int]] = [("#root", 0)]
+        stack = Open()
+        stack.push("#root", 0)
         buf: list[str] = []
         linked, links, at, muted = 0, 0, 0, False
         hidden = self._hidden(source) if HIDES.search(source) else {}
+        tags = Tags(source)
 
         def flush() -> None:
             nonlocal buf, linked
             text = " ".join(html.unescape("".join(buf)).split())
             if text:
-                self.blocks.append((stack[-1][1], text, min(linked, len(text))))
+                self.blocks.append((stack.items[-1][1], text, min(linked, len(text))))
             buf, linked = [], 0
 
         def pop_to(depth: int) -> None:
             nonlocal links
-            links -= sum(t == "a" for t, _ in stack[depth:])
-            if any(t not in INLINE for t, _ in stack[depth:]):
-                flush()
-            del stack[depth:]
+            while len(stack.items) > depth:
+                if stack.items[-1][0] not in INLINE:
+                    flush()
+                links -= stack.pop()[0] == "a"
 
         def take(text: str) -> None:
             nonlocal linked
@@ -79,28 +134,26 @@ class Page:
                 linked += len(text) if links > 0 else 0
 
         while True:
-            m = TAG.search(source, at)
-            take(source[at : m.start()] if m else source[at:])
-            if not m:
+            found = tags.after(at)
+            take(source[at : found[0]] if found else source[at:])
+            if not found:
                 break
-            at = m.end()
-            name = (m[2] or "").lower()
+            start, at, ends, name, attrs = found
             if not name:
                 continue
             if name not in INLINE and name not in HIDDEN and name not in ("option", "optgroup"):
                 muted = False
-            if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == name:
-                        pop_to(depth)
-                        break
+            if ends:
+                depth = stack.last((name,))
+                if depth > 0:
+                    pop_to(depth)
                 continue
             if name in INLINE:
                 if name in ("br", "mtd"):
                     take(" ")
-                if name not in VOID and not m[3].endswith("/"):
+                if name not in VOID and not attrs.endswith("/"):
                     links += name == "a"
-                    stack.append((name, stack[-1][1]))
+                    stack.push(name, stack.items[-1][1])
                 continue
             if name in RAW:
                 end = RAW_END[name].search(source, at)
@@ -109,68 +162,52 @@ class Page:
                 continue
             if name in HIDDEN:
                 take(" ")
-                at = hidden.get(m.start(), at)
-                muted = muted or m.start() not in hidden
+                at = hidden.get(start, at)
+                muted = muted or start not in hidden and not attrs.endswith("/")
                 continue
-            if name in CLOSES_P:
-                self._close({"p"}, {"td", "th", "#root", "article", "div", "section"}, stack, pop_to)
-            elif name in CLOSED_BY:
-                self._close(*CLOSED_BY[name], stack, pop_to)
+            closed, within = (("p",), ("td", "th", "#root", "article", "div", "section")) if name in CLOSES_P else CLOSED_BY.get(name, ((), ()))
+            depth = stack.last(closed)
+            if depth > 0 and depth > stack.last(within):
+                pop_to(depth)
             flush()
             if name not in VOID:
-                attrs = " ".join(a or b or c for _, a, b, c in ATTR.findall(m[3])) if m[3] else ""
-                self.parent.append(stack[-1][1])
+                said = " ".join(a or b or c for _, a, b, c in ATTR.findall(attrs)) if attrs else ""
+                self.parent.append(stack.items[-1][1])
                 self.tag.append(name)
-                self.words.append(tuple({w.lower() for w in WORD.findall(attrs)}))
-                stack.append((name, len(self.tag) - 1))
+                self.words.append(tuple({w.lower() for w in WORD.findall(said)}))
+                stack.push(name, len(self.tag) - 1)
         flush()
 
     @staticmethod
     def _hidden(source: str) -> dict[int, int]:
         """Where each hidden element starts that is closed before its parent ends, and where it ends."""
-        stack: list[tuple[str, int]] = []
+        stack, tags = Open(), Tags(source)
         out, at, foreign = {}, 0, 0
-
-        def pop_to(depth: int) -> None:
-            nonlocal foreign
-            foreign -= sum(t in ("svg", "math") for t, _ in stack[depth:])
-            del stack[depth:]
-
-        while m := TAG.search(source, at):
-            at = m.end()
-            name = (m[2] or "").lower()
+        while found := tags.after(at):
+            start, at, ends, name, attrs = found
             if not name or name in VOID:
                 continue
-            own = (name in ("svg", "math") or foreign) and m[3].endswith("/")
-            if m[1] or name in ("button", "select"):  # neither holds another of its name
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        if m[1] and name in HIDDEN:
-                            out[stack[depth][1]] = at
-                        pop_to(depth)
-                        break
-            if m[1]:
+            own = (name in ("svg", "math") or foreign) and attrs.endswith("/")
+            if ends or name in ("button", "select"):  # neither holds another of its name
+                depth = stack.last((name,))
+                if depth >= 0:
+                    if ends and name in HIDDEN:
+                        out[stack.items[depth][1]] = at
+                    while len(stack.items) > depth:
+                        foreign -= stack.pop()[0] in ("svg", "math")
+            if ends:
                 continue
             if own:
                 if name in HIDDEN:
-                    out[m.start()] = at
+                    out[start] = at
             elif name in RAW:
                 end = RAW_END[name].search(source, at)
                 at = end.end() if end else len(source)
             else:
                 foreign += name in ("svg", "math")
-                stack.append((name, m.start()))
+                stack.push(name, start)
         return out
 
-    @staticmethod
-    def _close(names: set, within: set, stack: list, pop_to) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in within:
-                return
-            if stack[depth][0] in names:
-                pop_to(depth)
-                return
-
     def features(self) -> list[list[str]]:
         n = len(self.tag)
         chars, linked, depth, named = [0] * n, [0] * n, [0] * n, [()] * n
