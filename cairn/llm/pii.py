@@ -1,12 +1,13 @@
 """Personal data: candidate spans judged by gradient-boosted trees, all in DataFrame functions.
 
 Base spans (email, ip, card, phone) follow fixed formats and always stay. Besides, high-recall generators propose spans that may overlap
-(local phone numbers, national identity numbers, bank accounts, spelled-out addresses); boosted trees score them from format and context
-features, and a threshold calibrated on examples set aside selects those to redact, where they do not overlap a base span.
+(local phone numbers, bank accounts, spelled-out addresses, dates of birth, document numbers, postal addresses, handles, long digit strings);
+boosted trees score them from format and context features, and a threshold calibrated on examples set aside selects those to redact,
+where they do not overlap a base span.
 
-The trees are fitted on the driver to a fixed set of example candidates generated by rule (some hundred rows, whatever the
-corpus), whose features come from the same column expressions, and are then written out as CASE expressions: the texts are scored
-in the JVM without Python. Positions come from the pieces between matches, so each pattern runs once or, where it matches, twice.
+The trees are fitted on the driver to a fixed set of example candidates generated by rule (`EXAMPLES`, whatever the corpus), whose features come
+from the same column expressions, and are then written out as CASE expressions: the texts are scored in the JVM without Python.
+Positions are running sums of the lengths of matches and of the pieces between them, taken in doubling steps (n log n for n matches).
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Rows are judged one by one, equal rows alike; other
 columns are ignored; an empty table gives none.
@@ -14,9 +15,10 @@ columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
-import math
 import random
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,21 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBER = r"(?<![A-Za-z0-9.,+])\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,4}+(?![A-Za-z0-9])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SPELLED = r"[A-Za-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({.](?:dot)?[\])}]?\x20?[A-Za-z0-9-]++)++"
+SPELLED = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({.](?:dot)?[\])}]?\x20?[A-Za-z0-9-]++)++"
+BIRTH = r"(?<![A-Za-z0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2})(?![A-Za-z0-9])"
+PAPER = r"(?<![A-Za-z0-9])[A-Z]{1,3}[0-9]{6,10}(?![A-Za-z0-9])"
+ADDRESS = (
+    r"(?<![A-Za-z0-9])[0-9]{1,5}\x20(?:[A-Z][A-Za-z]{2,20}\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Place|Square)(?![A-Za-z])"
+    r"|(?<![A-Za-z])(?:[A-Z][a-zäöüß]{2,20}(?:straße|strasse|str\.|weg|platz|gasse)|(?:rue|avenue|calle|avenida|plaza)\x20(?:de\x20)?(?:la\x20|los\x20|las\x20)?[A-Z][a-zà-ÿ]{2,20}),?\x20[0-9]{1,4}(?![0-9])"
+)
+HANDLE = r"(?<![A-Za-z0-9._%+/@-])@[A-Za-z0-9_]{3,30}(?![A-Za-z0-9_@.-])"
+DIGITS = r"(?<![A-Za-z0-9.,+-])[0-9]{12,19}(?![A-Za-z0-9])"
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("number", "account", "spelled")
+ADDED = ("number", "account", "spelled", "birth", "paper", "address", "handle", "digits")
+EXAMPLES = 900
 CONTEXT = 24
-FEATURES = ("digits", "length", "groups", "first_group", "last_group", "parens", "dashes", "dots", "slashes", "spaces", "date", "cue_phone", "cue_id", "cue_bank", "cue_count", "money", "kind_account", "kind_spelled")
+FEATURES = ("digits", "length", "groups", "first_group", "last_group", "parens", "dashes", "dots", "slashes", "spaces", "date", "first_one", "cue_phone", "cue_id", "cue_bank", "cue_birth", "cue_place", "cue_person", "cue_count", "money", *(f"is_{k}" for k in ADDED))
 
 
 def _matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
@@ -42,18 +53,27 @@ def _matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
     return found if guard is None else F.when(guard, found).otherwise(F.array().cast("array<string>"))
 
 
-def _placed(found: str, text: Column, pattern: str, kind: int) -> Column:
-    """Spans (start, kind, end, match) of the matches in column `found`."""
-    pieces = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.col(found).alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>").alias("out"))
+def _running(values: str, n: str, op: str) -> str:
+    """SQL: of each of n values the result of `op` (over x and y) over it and all before it, in doubling steps."""
+    steps = ", ".join(str(1 << j) for j in range(31))
+    return f"aggregate(filter(array({steps}), s -> s < {n}), {values}, (acc, s) -> transform(acc, (x, i) -> {op.replace('y', 'get(acc, i - s)')}))"
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["p"])
-        z = a + F.length(x["m"])
-        return F.struct(z.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), z.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+def _pieces(found: str, text: Column, pattern: str) -> Column:
+    """What stands before, between and after the matches in column `found`."""
+    return F.when(F.size(found) > 0, F.split(text, pattern, -1))
+
+
+def _placed(found: str, pieces: str, kind: int, context: bool = False) -> Column:
+    """Spans (start, kind, end, m) of the matches in column `found`; with context also what stands before and after each."""
+    n = f"size({found})"
+    ends = _running(f"transform(arrays_zip({found}, slice({pieces}, 1, {n})), x -> length(x.{found}) + length(x.`1`))", n, "x + coalesce(y, 0)")
+    span = f"'start', x.`1` - length(x.{found}), 'kind', {kind}, 'end', x.`1`, 'm', x.{found}"
+    around = ""
+    if context:  # the pieces on both sides, and the matches beyond them
+        around = f", slice(concat(array(''), {found}), 1, {n}), slice({pieces}, 1, {n}), slice({pieces}, 2, {n}), slice(concat({found}, array('')), 2, {n})"
+        span += f", 'before', lower(substring(concat(x.`2`, x.`3`), -{CONTEXT}, {CONTEXT})), 'after', lower(substring(concat(x.`4`, x.`5`), 1, 8))"
+    return F.expr(f"case when {n} > 0 then transform(arrays_zip({found}, {ends}{around}), x -> named_struct({span})) else array() end")
 
 
 def _digits(m: Column) -> Column:
@@ -84,100 +104,117 @@ def base_spans(docs: DataFrame) -> DataFrame:
     guards = {"email": text.contains("@"), "ip": text.contains("."), "card": None, "phone": text.contains("+")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     out = docs.select("*", *(_matches(text, patterns[k], guards[k]).alias(f"m_{k}") for k in BASE))
-    out = out.select("doc_id", "text", *(F.filter(_placed(f"m_{k}", text, patterns[k], i), _valid(k)).alias(f"s_{k}") for i, k in enumerate(BASE)))
+    out = out.select("*", *(_pieces(f"m_{k}", text, patterns[k]).alias(f"p_{k}") for k in BASE))
+    out = out.select("doc_id", "text", *(F.filter(_placed(f"m_{k}", f"p_{k}", i), _valid(k)).alias(f"s_{k}") for i, k in enumerate(BASE)))
     return out.select("doc_id", "text", F.array_sort(F.concat(*(f"s_{k}" for k in BASE))).alias("base"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs with `found`: spans that the generators propose; kinds go on from those of the base."""
+    """docs with `found`: spans that the generators propose, with what stands around them; kinds go on from those of the base."""
     text = F.col("text")
-    patterns = {"number": NUMBER, "account": ACCOUNT, "spelled": SPELLED}
-    guards = {"number": text.rlike("[0-9][\\x20./)-]+[0-9]"), "account": text.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}"), "spelled": text.rlike("[\\[({]at[\\])}]")}
+    patterns = {"number": NUMBER, "account": ACCOUNT, "spelled": SPELLED, "birth": BIRTH, "paper": PAPER, "address": ADDRESS, "handle": HANDLE, "digits": DIGITS}
+    guards = {
+        "number": text.rlike("[0-9][\\x20./)-]+[0-9]"), "account": text.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}"), "spelled": text.rlike("[\\[({]at[\\])}]"), "birth": text.rlike("[0-9][./-][0-9]{1,2}[./-][0-9]"),
+        "paper": text.rlike("[A-Z][0-9]{6}"), "address": text.rlike("[0-9]\\x20[A-Z]|[a-zß.],?\\x20[0-9]"), "handle": text.contains("@"), "digits": text.rlike("[0-9]{12}"),
+    }
     out = docs.select("*", *(_matches(text, patterns[k], guards[k]).alias(f"m_{k}") for k in ADDED))
-    placed = F.concat(*(_placed(f"m_{k}", text, patterns[k], len(BASE) + i) for i, k in enumerate(ADDED)))
-    return out.withColumn("found", placed).drop(*(f"m_{k}" for k in ADDED))
+    out = out.select("*", *(_pieces(f"m_{k}", text, patterns[k]).alias(f"p_{k}") for k in ADDED))
+    placed = F.concat(*(_placed(f"m_{k}", f"p_{k}", len(BASE) + i, True) for i, k in enumerate(ADDED)))
+    return out.withColumn("found", placed).drop(*(f"{c}_{k}" for k in ADDED for c in "mp"))
 
 
-def features(span: Column, text: Column) -> list[Column]:
+def features(span: Column) -> list[Column]:
     """Numbers of a span that the trees see, as FEATURES."""
-    m = span["m"]
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT))))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(8)))
+    m, before, after = span["m"], span["before"], span["after"]
     n = lambda c: (F.length(m) - F.length(F.translate(m, c, ""))).cast("int")
     flag = lambda c: c.cast("int")
     return [
         F.length(_digits(m)), F.length(m), F.size(F.split(m, r"[^A-Za-z0-9]+")), F.length(F.regexp_extract(m, "[0-9]+", 0)), F.length(F.regexp_extract(m, "([0-9]+)[^0-9]*$", 1)),
-        n("()"), n("-"), n("."), n("/"), n(" "), flag(m.rlike(r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{2}(?:[./-][0-9]{2})?|[0-9]{2}[./-][0-9]{2}[./-](?:19|20)[0-9]{2})")),
-        flag(before.rlike(r"(?:phone|tel|call|mobile|fax|cell|kontakt|contact|whatsapp)[^a-z]")), flag(before.rlike(r"(?:ssn|social|passport|insurance|id|tax)[^a-z]")),
-        flag(before.rlike(r"(?:iban|account|bank|konto|cuenta|compte)[^a-z]")), flag(before.rlike(r"(?:version|page|section|room|isbn|chapter|no\.|nr\.|#|year|order)[^a-z]*$")),
-        flag(before.rlike(r"[$€£]\x20?$") | after.rlike(r"^\x20?(?:%|usd|eur|km|kg|mb|dollars)")), flag(span["kind"] == len(BASE) + 1), flag(span["kind"] == len(BASE) + 2),
+        n("()"), n("-"), n("."), n("/"), n(" "), flag(m.rlike(r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{2}(?:[./-][0-9]{2})?|[0-9]{2}[./-][0-9]{2}[./-](?:19|20)[0-9]{2})")), flag(m.rlike("^(?:1[4-9]|20)[0-9]")),
+        flag(before.rlike(r"(?:phone|tel|call|mobile|fax|cell|kontakt|contact|whatsapp)[^a-z]")), flag(before.rlike(r"(?:ssn|social|passport|insurance|id|tax|licen[cs]e|ausweis|dni)[^a-z]")),
+        flag(before.rlike(r"(?:iban|account|bank|konto|cuenta|compte|card|karte|carte|tarjeta)[^a-z]")), flag(before.rlike(r"(?:born|birth|dob|geboren|geb\.|naci|nacimiento|née?|naissance)[^a-z]")),
+        flag(before.rlike(r"(?:live[sd]?|address|at|wohnt|adresse|vive en|habite|ship to|deliver to)[^a-z]+$")), flag(before.rlike(r"(?:follow|user|by|dm|handle|profile|ask|ping|instagram|twitter)[^a-z]+$")),
+        flag(before.rlike(r"(?:version|page|section|room|isbn|chapter|no\.|nr\.|#|year|order|part|flight|model|at line|time|stamp)[^a-z]*$")), flag(before.rlike(r"[$€£]\x20?$") | after.rlike(r"^\x20?(?:%|usd|eur|km|kg|mb|dollars|ms)")),
+        *(flag(span["kind"] == len(BASE) + i) for i in range(len(ADDED))),
     ]
 
 
-def examples(count: int = 360, seed: int = 6) -> list[tuple[int, str, int]]:
+def examples(count: int = EXAMPLES, seed: int = 6) -> list[tuple[int, str, int]]:
     """(index, text, 1 if its candidate is personal) made by rule."""
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    filler = ("the report says", "we walked along", "and later", "in the end", "as of today", "der bericht", "en la casa")
+    c = lambda *xs: r.choice(xs)
+    up = lambda n: "".join(r.choice("ABCDEFGHJKLMNPRSTUVXYZ") for _ in range(n))
+    name = lambda: c("Maple", "Hill", "Garden", "Station", "Church", "Lindo", "Bergen", "Mozart")
+    day, month, year = lambda: f"{r.randint(1, 28):02}", lambda: f"{r.randint(1, 12):02}", lambda: str(r.randint(1920, 2024))
+    filler = ("the report says", "we walked along", "and later", "in the end", "as of today", "der bericht", "en la casa", "ouéré ment", "tion the", "los de una")
     person = (
-        lambda: f"{r.choice(('phone', 'tel.', 'call me at', 'mobile:', 'contact'))} ({d(3)}) {d(3)}-{d(4)}", lambda: f"{r.choice(('phone', 'call', 'fax:'))} {d(3)}-{d(3)}-{d(4)}",
-        lambda: f"{r.choice(('tel:', 'mobile', 'cell'))} {d(4)} {d(3)} {d(3)}", lambda: f"{r.choice(filler)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"{r.choice(('ssn', 'social', 'id:', 'tax id'))} {d(3)}-{d(2)}-{d(4)}",
-        lambda: f"{r.choice(('iban', 'account', 'bank', 'pay to'))} {r.choice(('DE', 'FR', 'ES', 'GB'))}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", lambda: f"{r.choice(('write to', 'mail', 'ask'))} {r.choice(('anna', 'j.doe', 'max'))}[at]example{r.choice(('[dot]', ' (dot) '))}org",
+        lambda: f"{c('phone', 'tel.', 'call me at', 'mobile:', 'contact')} ({d(3)}) {d(3)}-{d(4)}", lambda: f"{c('phone', 'call', 'fax:')} {d(3)}-{d(3)}-{d(4)}", lambda: f"{c('tel:', 'mobile', 'cell')} {d(4)} {d(3)} {d(3)}",
+        lambda: f"{c(*filler)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"{c('ssn', 'social', 'id:', 'tax id')} {d(3)}-{d(2)}-{d(4)}", lambda: f"{c('iban', 'account', 'bank', 'pay to')} {c('DE', 'FR', 'ES', 'GB')}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}",
+        lambda: f"{c('write to', 'mail', 'ask')} {c('anna', 'j.doe', 'max')}[at]example{c('[dot]', ' (dot) ')}org", lambda: f"{c('born', 'born on', 'date of birth:', 'dob', 'geboren am', 'née le', 'naci')} {c(f'{day()}.{month()}.{year()}', f'{year()}-{month()}-{day()}', f'{month()}/{day()}/{year()}')}",
+        lambda: f"{c('passport', 'passport no:', 'id card', 'driving licence', 'ausweis', 'dni')} {up(r.randint(1, 2))}{d(r.randint(6, 9))}", lambda: f"{c('lives at', 'address:', 'ship to', 'deliver to', *filler)} {d(r.randint(1, 4))} {name()} {c('Street', 'Road', 'Avenue', 'Lane')}",
+        lambda: f"{c('wohnt', 'adresse', *filler)} {name()}{c('straße', 'weg', 'platz')} {r.randint(1, 200)}", lambda: f"{c('habite', 'vive en', *filler)} {c('rue de', 'calle', 'avenue')} {name()} {r.randint(1, 200)}",
+        lambda: f"{c('follow', 'dm', 'ping', 'by', 'instagram', 'twitter:', 'ask')} @{c('anna', 'j_doe', 'max')}{c('', d(2), '_x')}", lambda: f"{c('card', 'account', 'bank', 'konto', *filler, *filler)} {c('3', '4', '5', '6', '7', '9')}{d(15)}", lambda: f"{c('card', 'account', 'carte')} {d(r.randint(13, 19))}",
     )
     other = (
-        lambda: f"{r.choice(filler)} {r.randint(1900, 2030)}-{d(2)}-{d(2)}", lambda: f"{r.choice(filler)} {d(2)}.{d(2)}.{r.randint(1900, 2030)}", lambda: f"version {d(2)}.{d(2)}.{d(2)}",
-        lambda: f"$ {d(3)} {d(3)}", lambda: f"{r.choice(filler)} {d(2)}/{d(2)}", lambda: f"page {d(3)}-{d(3)}", lambda: f"isbn {d(3)}-{d(2)}-{d(5)}-{d(3)}", lambda: f"{r.choice(filler)} {d(3)} {d(3)} km", lambda: f"{r.choice(filler)} {d(2)} {d(2)} {d(2)}",
-        lambda: f"order {d(3)}-{d(4)}", lambda: f"part AB{d(2)} {'X' * 4} {d(4)} {'Q' * 4}",
+        lambda: f"{c(*filler)} {year()}-{month()}-{day()}", lambda: f"{c(*filler)} {day()}.{month()}.{year()}", lambda: f"{c(*filler)} {r.randint(1, 9)}/{day()}/{year()}", lambda: f"version {d(2)}.{d(2)}.{d(2)}",
+        lambda: f"$ {d(3)} {d(3)}", lambda: f"{c(*filler)} {d(2)}/{d(2)}", lambda: f"page {d(3)}-{d(3)}", lambda: f"isbn {d(3)}-{d(2)}-{d(5)}-{d(3)}", lambda: f"{c(*filler)} {d(3)} {d(3)} km", lambda: f"{c(*filler)} {d(2)} {d(2)} {d(2)}",
+        lambda: f"order {d(3)}-{d(4)}", lambda: f"part AB{d(2)} {'X' * 4} {d(4)} {'Q' * 4}", lambda: f"{c('part', 'model', 'flight', 'order', *filler)} {up(r.randint(1, 3))}{d(r.randint(6, 10))}", lambda: f"{c('time', 'stamp', 'at', *filler)} 1{c('4', '5', '6', '7')}{d(11)}",
+        lambda: f"{c('time', 'stamp', *filler)} {year()}{month()}{day()}{d(6)}", lambda: f"{c('decorate with', 'annotate', 'java', 'import', 'use the')} @{c('Override', 'param', 'return', 'media')}", lambda: f"{c('isbn', 'part', 'order')} {d(r.randint(12, 14))}",
     )
-    return [(i, r.choice(person if i % 2 else other)(), i % 2) for i in range(count)]
+    return [(i, (lambda t: t + c("", " and", ".", ", or"))(r.choice(person if i % 2 else other)()), i % 2) for i in range(count)]
 
 
-def fit_trees(rows: list[list[float]], labels: list[int], rounds: int = 24, rate: float = 0.3, depth: int = 2) -> list:
+def fit_trees(rows: list[list[float]], labels: list[int], rounds: int = 32, rate: float = 0.3, depth: int = 3) -> list:
     """Gradient-boosted trees for the logistic loss; a tree is a leaf value or (feature, limit, below or at, above)."""
-    score, trees = [0.0] * len(rows), []
+    x, y, score, trees = np.asarray(rows, float).reshape(len(rows), len(FEATURES)), np.asarray(labels, float), np.zeros(len(rows)), []
 
-    def grow(own: list[int], grad: list[float], hess: list[float], left: int):
-        g, h = sum(grad[i] for i in own), sum(hess[i] for i in own)
+    def grow(own: np.ndarray, grad: np.ndarray, hess: np.ndarray, left: int):
+        g, h = grad[own].sum(), hess[own].sum()
         best = (1e-6, None)
-        for f in range(len(FEATURES)) if left else ():
-            for limit in sorted({rows[i][f] for i in own})[:-1]:
-                low = [i for i in own if rows[i][f] <= limit]
-                gl, hl = sum(grad[i] for i in low), sum(hess[i] for i in low)
+        for f in range(len(FEATURES)) if left and len(own) else ():
+            order = own[np.argsort(x[own, f], kind="stable")]
+            cut = np.flatnonzero(np.diff(x[order, f]))
+            if len(cut):
+                gl, hl = grad[order].cumsum()[cut], hess[order].cumsum()[cut]
                 gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                if gain > best[0]:
-                    best = (gain, (f, limit, low))
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (gain[k], (f, float(x[order[cut[k]], f])))
         if best[1] is None:
-            return rate * g / (h + 1)
-        f, limit, low = best[1]
-        kept = set(low)
-        return (f, limit, grow(low, grad, hess, left - 1), grow([i for i in own if i not in kept], grad, hess, left - 1))
+            return float(rate * g / (h + 1))
+        f, limit = best[1]
+        low = x[own, f] <= limit
+        return (f, limit, grow(own[low], grad, hess, left - 1), grow(own[~low], grad, hess, left - 1))
 
     for _ in range(rounds):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        t = grow(list(range(len(rows))), [y - q for y, q in zip(labels, p, strict=True)], [q * (1 - q) for q in p], depth)
+        p = 1 / (1 + np.exp(-score))
+        t = grow(np.arange(len(x)), y - p, p * (1 - p), depth)
         trees.append(t)
-        score = [s + value(t, x) for s, x in zip(score, rows, strict=True)]
+        score = score + [value(t, v) for v in x]
     return trees
 
 
-def value(tree, x: list[float]) -> float:
+def value(tree, x) -> float:
     while isinstance(tree, tuple):
         tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
     return tree
 
 
-def _column(tree, x: Column) -> Column:
+def _sql(tree, of: str) -> str:
+    """A tree as SQL over the features of the struct `of`."""
     if not isinstance(tree, tuple):
-        return F.lit(float(tree))
-    return F.when(x[FEATURES[tree[0]]] <= tree[1], _column(tree[2], x)).otherwise(_column(tree[3], x))
+        return f"{tree!r}D"
+    return f"case when {of}.{FEATURES[tree[0]]} <= {tree[1]!r}D then {_sql(tree[2], of)} else {_sql(tree[3], of)} end"
 
 
+@lru_cache(maxsize=4)
 def model(spark: SparkSession, precision: float = 0.98) -> tuple[list, float]:
     """Trees, and the least score at which the examples set aside reach the precision."""
     made = examples()
     shown = spark.sql("select * from values " + ", ".join(f"({i}L, '{t}')" for i, t, _ in made) + " as t(doc_id, text)")
-    found = candidates(shown).select("doc_id", F.explode("found").alias("s"), "text")
-    got = found.select("doc_id", *(f.alias(n) for f, n in zip(features(F.col("s"), F.col("text")), FEATURES, strict=True))).collect()
+    found = candidates(shown).select("doc_id", F.explode("found").alias("s"))
+    got = found.select("doc_id", *(f.alias(n) for f, n in zip(features(F.col("s")), FEATURES, strict=True))).collect()  # a fixed number of rows
     rows, labels = [[float(r[n]) for n in FEATURES] for r in sorted(got)], [made[r["doc_id"]][2] for r in sorted(got)]
     ids = [r["doc_id"] for r in sorted(got)]
     train = [k for k, i in enumerate(ids) if i % 3 or i % 2 and i % 9 == 0]
@@ -191,16 +228,26 @@ def model(spark: SparkSession, precision: float = 0.98) -> tuple[list, float]:
     return trees, max(limit - 1e-9, 0.0)
 
 
+def _free() -> Column:
+    """`found` without the spans that overlap one of `base`. Ends of found spans and starts of base spans are walked in order, with the
+    farthest end of a base span so far."""
+    asked = "transform(found, s -> named_struct('at', s.end, 'what', 0, 'other', s.start, 'span', s))"
+    starts = "transform(base, s -> named_struct('at', s.start, 'what', 1, 'other', s.end, 'span', cast(null as struct<start:int,kind:int,end:int,m:string,before:string,after:string>)))"
+    walk = f"array_sort(concat({asked}, {starts}))"
+    far = _running(f"transform({walk}, e -> if(e.what = 1, e.other, -1))", "size(base) + size(found)", "greatest(x, y)")
+    kept = f"transform(filter(arrays_zip({walk}, {far}), z -> z.`0`.what = 0 and z.`1` <= z.`0`.other), z -> z.`0`.span)"
+    return F.expr(f"case when size(base) = 0 or size(found) = 0 then found else {kept} end")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans (start, kind, end, m): base spans, and the others that the trees select."""
     trees, limit = model(docs.sparkSession)
     rows = candidates(base_spans(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))))
-    free = F.filter("found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.select("doc_id", "base", "text", free.alias("found"))
-    seen = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["m"].alias("m"), *(f.alias(n) for f, n in zip(features(s, F.col("text")), FEATURES, strict=True))))
+    rows = rows.select("doc_id", "base", _free().alias("found"))
+    seen = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["m"].alias("m"), *(f.alias(n) for f, n in zip(features(s), FEATURES, strict=True))))
     rows = rows.select("doc_id", "base", F.when(F.size("found") > 0, seen).alias("seen"))
-    score = lambda x: sum((_column(t, x) for t in trees), F.lit(0.0))
-    chosen = F.transform(F.filter("seen", lambda x: score(x) >= limit), lambda x: F.struct(*(x[k].alias(k) for k in ("start", "kind", "end", "m"))))
+    likely = F.expr(f"filter(seen, x -> {' + '.join(_sql(t, 'x') for t in trees)} >= {limit!r}D)")
+    chosen = F.transform(likely, lambda x: F.struct(*(x[k].alias(k) for k in ("start", "kind", "end", "m"))))
     return rows.select("doc_id", "base", F.array_sort(F.when(F.col("seen").isNull(), F.col("base")).otherwise(F.concat("base", chosen))).alias("spans"))
 
 

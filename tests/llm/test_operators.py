@@ -363,6 +363,7 @@ def test_secrets_in_paths():
 PERSONAL = [
     "mail a.b@c.de, x@y and q@w.e_r@t.yu end", "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8 and 010.001.000.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 12345678901234567890123", "call +49 (30) 1234-5678 or +1 23 or ++33 1 23 45 67 89.",
     "phone (212) 555-0182 on 2024-05-06", "ssn 123-45-6789 and page 123-456", "IBAN DE44 5001 0517 5407 3249 31", "write to anna[at]example[dot]org", "ünï é +442071838750 x@exämple.com 4242424242424242", "5" * 5000, "a" * 20000 + "@b.c", "x[at]y" + ".z" * 20000, "1.1.1.1" * 50,
+    "a.b@c.de call 212-555-0182 " * 20000, "a" * 100000 + "[at]b.c",
 ]
 
 
@@ -436,3 +437,39 @@ def test_messages_are_marginals():
             (on if y[i] else off)[i] += math.exp(s)
     want = [math.log(a / b) for a, b in zip(on, off, strict=True)]
     assert np.allclose(m.odds(parent, feats), want) and np.allclose(m.marginals(parent, feats)[0], want)
+
+
+def test_long_texts():
+    """Work on a text grows with its length: runs, matches and tags by the hundred thousand."""
+    import time
+
+    n = 100_000
+    began = time.time()
+    old = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/+=-]*")
+    r = np.random.default_rng(4)
+    for _ in range(3000):  # words joined by separators or capitals, told without trying all ways to part them
+        run = "".join(r.choice(list("abAB_"), size=r.integers(1, 9))).strip("_")
+        assert not run or bool(old.fullmatch(run)) == (not secret_scan.LONE.search(run)), run
+    for text in ("abcdefghij" * (n // 10) + "Q", "aB3" * n, "/abc" * n, "password=abcdef1 " * n, "token" + " " * n, "aB3xK9qZt7Wm2LpQ8vN4 " * n):
+        assert len(secret_scan.find(text)[0]) == (n if text.startswith("pass") else 0)
+    for page in ("<a " * n, "<b>" * n + "</i>" * n, "<div>" * n + "<p>x" * n, "<!--" * n, '<a x="' * n, "<" * n, "<svg>" * n, "<p " + "a=b " * n + ">x", "&amp;" * n, "<ul>" + "<blockquote>" * n + "<li>" * n):
+        html_extract.main_text(page, html_extract.Model())
+    assert time.time() - began < 40
+
+
+def test_html_tags():
+    """Tags as browsers read them: no markup in the text, and no text lost to a stray quote."""
+    for source, want in (
+        ('<p class="x"">one</p><p>two</p>', ["one", "two"]), ("<p title='a>b'>z</p>", ["z"]), ('<p class="x>Text</p>more', ["Text", "more"]), ('<p>tail <a href="foo', ["tail"]), ("<p>x<!-->y", ["xy"]), ("<p>x<!-- y --!>z", ["xz"]), ("<p>a < b <= c", ["a < b <= c"]),
+        ('<p>One <svg class="i"/> two</p><p>Second', ["One two", "Second"]), ('<p>One <iframe src="x"/> two</p><p>Second', ["One two", "Second"]), ("<p>1</></p ><p/>2", ["1", "2"]),
+    ):
+        assert [text for _, text, _ in html_extract.Page(source).blocks] == want, source
+
+
+def test_personal_spans_on_new_examples(spark):
+    """Added spans on examples of another seed: precision and recall."""
+    made = pii.examples(600, 99)
+    found = pii.find(spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string"))
+    got = {r["doc_id"]: r["n"] for r in found.select("doc_id", F.size("spans").alias("n")).collect()}
+    hit, wrong = sum(bool(got[i]) for i, _, y in made if y), sum(bool(got[i]) for i, _, y in made if not y)
+    assert hit >= 0.95 * 300 and wrong <= 0.03 * 300
