@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textops as T
-from cairn.llm.common import fold_is, smallest_by_hash, table
+from cairn.llm.common import BROADCAST_ROWS, fold_is, smallest_by_hash, staged, table
 
 ORDER = 4
 LETTER = np.zeros(256, dtype=bool)
@@ -120,8 +120,9 @@ def _packed(rows: DataFrame, order: int) -> Model | None:
 def train(docs: DataFrame, order: int = ORDER, per_language: int = 300) -> Model | None:
     """Model of `lang` from `text`; docs are training rows (doc_id, text, lang)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = smallest_by_hash(rows.select("doc_id", "lang"), "lang", "doc_id", per_language, 3)
-    sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # at most per_language ids a label
+    chosen = smallest_by_hash(rows.select("doc_id", "lang"), "lang", "doc_id", per_language, 3).select("doc_id").distinct()
+    chosen = staged(rows.sparkSession, chosen, "chosen")  # at most per_language ids a label; many labels make a shuffled join
+    sample = rows.join(F.broadcast(chosen) if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else chosen, "doc_id", "left_semi").select("lang", "text")
     counted = sample.mapInArrow(lambda it: _count(it, order), "lang string, k int, gram long, c long").groupBy("lang", "k", "gram").agg(F.sum("c").alias("c"))
     return _packed(counted, order)
 

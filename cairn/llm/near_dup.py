@@ -105,11 +105,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keyed[lo:hi][enough] = CHUNKS * SIZE
         flat = np.concatenate(keys).ravel().view(np.int64) if keys else np.zeros(0, np.int64)
         per = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(keyed))).astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), per], names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), per], names=["row", "doc_id", "n_shingles", "s1", "s2", "keys"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+def scan(docs: DataFrame, key: str | None = None) -> DataFrame:
+    row = F.col(key).cast("long") if key else F.lit(None).cast("long")
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, "row long, doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def _marked(s1: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -163,10 +164,10 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long, i long, u long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): n_shingles, component_id, kept; and where one is named the column `key` of numbers, with `text_class`, equal for equal sets of shingles."""
     spark = docs.sparkSession
-    scanned = staged(spark, scan(docs), "scanned")
+    scanned = staged(spark, scan(docs, key), "scanned")
     real = scanned.where("n_shingles > 0 and doc_id is not null")
     classes = staged(spark, real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     keyed = classes.where(F.col("n") >= LEAST).select("rep", F.explode("keys").alias("key"))
@@ -184,9 +185,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         comp = components(stars.where(link).select("a", "b").unionByName(more))
     named = classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
-    rows = scanned.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("s1")).alias("s1"), "s2")
+    rows = scanned.select("row", "doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("s1")).alias("s1"), "s2")
     found = rows.join(named, ["s1", "s2"], "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = [F.col("row").alias(key), F.col("s1").alias("text_class")] if key else []
+    return found.select(*named, "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _block(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

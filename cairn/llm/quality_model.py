@@ -3,7 +3,7 @@
 Bytes are embedded, filters run over windows of bytes, each overlapping chunk of a text is max-pooled to one
 value a filter and scored linearly, and a text's score is the logistic of the mean of its chunk scores. Chunks
 cover the whole text, whatever its length. Training runs on the driver on at most `per_class` labelled texts of
-each class (smallest id hash; a documented bound) outside the held-out fold; scoring runs where the texts are.
+each class (smallest id hash) and `bytes_per_class` bytes of them, in order of id (documented bounds), outside the held-out fold; scoring runs where the texts are.
 
 Null and empty texts are one chunk of padding and get that chunk's score. Rows are judged one by one; labels that
 are null or repeated with nulls do not train; with no label, or one class only, every score is that class's share
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import textops as T
@@ -119,7 +119,7 @@ def held(doc_id: Column) -> Column:
     return fold_is(doc_id, 3, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 600) -> Network:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, bytes_per_class: int = 1 << 25) -> Network:
     """Network fitted to labels (doc_id, y), read only outside the held-out fold."""
     named = labels.select("doc_id", "y").where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held(F.col("doc_id")))
     chosen = smallest_by_hash(named, "y", "doc_id", per_class, 10).select("doc_id", "y")
@@ -129,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600) -> Network:
     if not ones or not zeros:
         net.constant = 0.5 if not ones + zeros else float(ones > 0)
         return net
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id", "text").toArrow()  # at most per_class of each
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    run = Window.partitionBy("y").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # per_class ids of each
+    bounded = texts.withColumn("upto", F.sum(F.octet_length("text")).over(run)).withColumn("n", F.count("*").over(run)).where((F.col("upto") <= bytes_per_class) & (F.col("n") <= per_class))
+    got = bounded.select("doc_id", "y", "text").orderBy("doc_id", "text").toArrow()
     y = got.column("y").to_numpy().astype(np.float32)
     if len(y):
         net.fit([t.encode("utf-8") for t in got.column("text").to_pylist()], y)

@@ -56,6 +56,32 @@ def test_bad_hosts(spark):
     assert not got[100] and all(got[1000 + i] for i in range(400))
 
 
+def test_host_verdicts(spark, docs, texts, made):
+    """Kept by hand: prior by moments, posterior bound, odds of a document's own rules."""
+    junk = " ".join(f"w{i}##" for i in range(60))
+    more = [(2000 + i, junk if i % 3 else " ".join(f"x{j}" for j in range(60)), "en", "shady" if i < 90 else "host1") for i in range(96)]
+    rows = [*made, *more]
+    got = {r["doc_id"]: r for r in quality_rules.judge(quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    n, f = collections.Counter(), collections.Counter()
+    for i, _, _, h in rows:
+        r = got[i]
+        bad = r["base_failed"] or r["n_symbols"] > 0.2 * r["word_chars"] or r["n_dup_lines"] > 0.3 * r["n_lines"]
+        assert r["failed"] == bad
+        n[h] += 1
+        f[h] += bad
+    total, failed = sum(n.values()), sum(f.values())
+    mean = failed / total
+    spread = sum(n[h] * (f[h] / n[h]) ** 2 for h in n) / total - mean**2
+    between = (spread - mean * (1 - mean) * (len(n) - 1) / total) / (1 - sum(v * v for v in n.values()) / total**2)
+    strength = min(max(mean * (1 - mean) / between - 1 if between > 0 else 100.0, 1.0), 100.0)
+    for i, _, _, h in rows:
+        rate = (f[h] + mean * strength) / (n[h] + strength)
+        low = max(0.0, rate - 1.28 * math.sqrt(rate * (1 - rate) / (n[h] + strength + 1)))
+        assert got[i]["host_rate"] == pytest.approx(rate)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and low * (50 if got[i]["failed"] else 0.5) <= 1 - low), i
+    assert not got[2001]["kept"] and got[2000]["kept"]
+
+
 def test_language_id(spark, docs, texts, empty):
     twice = docs.unionByName(docs.where("doc_id < 5")).withColumn("score", F.lit(7)).withColumn("held_out", F.lit("x"))
     got = language_id.identify(twice.select("doc_id", "text", "lang")).collect()
@@ -122,15 +148,19 @@ def test_decontaminate(spark, docs, texts, empty):
 
 
 def test_mixing(spark, docs, made, empty):
-    got = {r["doc_id"]: r for r in mixing.mix(docs.withColumn("size", F.lit("x")).withColumn("target", F.lit(1))).collect()}
-    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(7)).collect()}
-    assert {k: r["taken"] for k, r in got.items()} == again and len(got) == len(made)
-    size, taken = collections.Counter(), collections.Counter()
-    for i, t, _, s in made:
-        assert got[i]["size"] == len(graphic(t))
-        assert got[i]["taken"] % max(1, got[i]["size"]) == 0 and got[i]["taken"] <= 3 * got[i]["size"]
-        size[s] += len(graphic(t))
-        taken[s] += got[i]["taken"]
+    """Targets, certain copies and the order sample by hand, repeated rows included."""
+    more = [(7, " ".join(["same"] * 10), "en", "host2")] * 200 + [(None, "a b c", "en", "host0")] * 3
+    both = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("size", F.lit("x")).withColumn("target", F.lit(1))
+    rows = mixing.mix(both).collect()
+    again = mixing.mix(both.repartition(7)).collect()
+    assert collections.Counter(map(tuple, rows)) == collections.Counter(map(tuple, again)) and len(rows) == len(made) + len(more)
+    size, units = collections.Counter(), collections.defaultdict(list)
+    nth: collections.Counter = collections.Counter()
+    for i, t, _, s in [*made, *more]:
+        k = len(graphic(t))
+        size[s] += k
+        units[s].append((i, nth[i, s, k], k))
+        nth[i, s, k] += 1
     names = sorted(s for s in size if s is not None) + [None]
     weight, target, open_ = {s: k % 3 + 1 for k, s in enumerate(names)}, {}, set(names)
     while True:
@@ -143,10 +173,41 @@ def test_mixing(spark, docs, made, empty):
             target[s] = 3 * size[s]
             open_.discard(s)
     target |= share
-    for i, _, _, s in made:
-        assert got[i]["target"] == pytest.approx(target[s]) and got[i]["source_size"] == size[s]
+    asked = spark.createDataFrame([(s, *u) for s in names for u in units[s]], "s string, i long, nth long, k long")
+    u = {(r["s"], r["i"], r["nth"], r["k"]): r["u"] for r in asked.select("*", ((F.shiftrightunsigned(F.xxhash64(F.lit(5), "i", "nth"), 14) + 0.5) / float(1 << 50)).alias("u")).collect()}
+    want: collections.Counter = collections.Counter()
+    for s in names:
+        g = lambda k: 1 + 0.5 * min(int(math.log2(k + 1)), 16) / 16
+        lo, hi = 0.0, 4.0
+        for _ in range(200):  # the scale at which the source gives its target
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(k * min(3.0, mid * g(k)) for _, _, k in units[s] if k) < target[s] else (lo, mid)
+        e = {k: min(3.0, hi * g(k)) for _, _, k in units[s] if k}
+        gap = target[s] - sum(math.floor(e[k] + 1e-9) * k for _, _, k in units[s] if k)
+        odds = lambda x: math.log(x / (1 - x))
+        line = sorted((odds(u[s, i, n, k]) - odds(e[k] % 1), i is None, i, n, k) for i, n, k in units[s] if k and 1e-9 < e[k] % 1 < 1 - 1e-9)
+        at, drawn = 0, set()
+        for _ in range(4):
+            lim, last = gap, at
+            for j in range(at, len(line)):
+                if line[j][-1] <= lim:
+                    if line[j][-1] > gap:
+                        break
+                    gap -= line[j][-1]
+                    drawn.add(j)
+                    last = j + 1
+            else:
+                last = len(line) if any(x[-1] <= lim for x in line[at:]) else at
+            at = last
+        drawn |= set([j for j in range(len(line)) if j not in drawn and line[j][-1] < 2 * gap][:1])
+        extra = collections.Counter((line[j][2], line[j][-1], line[j][3]) for j in drawn)
+        for i, n, k in units[s]:
+            want[i, k, size[s], (math.floor(e[k] + 1e-9) + extra[i, k, n]) * k if k else 0] += 1
+    assert collections.Counter((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in rows) == want
+    by = {size[s]: s for s in names}
     for s in names:
-        assert abs(taken[s] - target[s]) <= max(30, 0.02 * target[s]), s
+        assert all(r["target"] == pytest.approx(target[s]) and r["taken"] <= 3 * r["size"] for r in rows if by[r["source_size"]] == s)
+        assert abs(sum(r["taken"] for r in rows if by[r["source_size"]] == s) - target[s]) <= max(30, 0.02 * target[s], max(k for _, _, k in units[s]) / 2), s  # half a document at most
     assert mixing.mix(empty).count() == 0
 
 
@@ -222,9 +283,8 @@ def test_lm_score(spark, docs, texts, empty):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in c for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r["score"] < 0
     assert lm_score.tree(lm_score.count(empty.select("text"))).table.shape[1] == 256
-    plain = got[[i for i in texts if texts[i] and len(texts[i]) > 300 and i < 150][0]]
-    junk = sum(ord(ch) % 7 for ch in "x") + plain["score"]
-    assert junk < 0
+    held = [i for i in texts if i < 150 and got[i]["held_out"]]
+    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)  # a model of spelling knows words that it has not seen
 
 
 def test_tree_weighs_all_depths():
