@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it leaves, with the columns of documents; the last adds
 what the mix takes of each. Every stage works on all that the one before it kept. Null and empty texts have no language and go in the first.
+
+Decisions are met row by row: a stage that joins them back numbers its rows in a written copy first, so rows with null or repeated ids are
+judged by their own texts and none is lost. Of rows that share an id and a text one stays.
 """
 
 from __future__ import annotations
@@ -31,25 +34,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("lang_pred <> 'und'").select("doc_id", F.col("body").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return staged(spark, docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates: that with the least id. A null id is in no group."""
+    rows = _numbered(spark, docs)
+    found = staged(spark, near_duplicates(rows.select("row", "doc_id", "text"), "row").select("row", "component_id", "text_class", "kept"), "found")
+    first = found.where("kept and component_id is not null").groupBy("component_id", "text_class").agg(F.min("row").alias("row")).select("row")
+    stay = first.unionByName(found.where("kept and component_id is null").select("row"))
+    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not made up of benchmark passages to a twentieth or more."""
-    bad = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")).where("contaminated").select("doc_id")
-    return docs.select(*COLUMNS).join(bad.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(spark, docs)
+    found = contamination(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by their kind; n_chars follows the text."""
-    vocabulary = secret_scan.VOCABULARY
+    shared = spark.sparkContext.broadcast(secret_scan.vocabulary_bytes(secret_scan.VOCABULARY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [secret_scan.redact(t.as_py(), vocabulary) if t.is_valid else None for t in b.column("text")]
+            texts = [secret_scan.redact(t.as_py(), shared.value) if t.is_valid else None for t in b.column("text")]
             n = [len(new) if new is not None and new != old.as_py() else kept.as_py() for new, old, kept in zip(texts, b.column("text"), b.column("n_chars"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("lang"), b.column("source"), pa.array(n, pa.int64())], names=list(COLUMNS))
 
@@ -59,8 +70,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with size, the target of their source and the words taken of them (copies times size)."""
-    taken = mix(docs.select("doc_id", "source", "text")).where("taken > 0").select("doc_id", "size", "target", "taken").dropDuplicates(["doc_id"])
-    return docs.select(*COLUMNS).join(taken, "doc_id")
+    rows = _numbered(spark, docs)
+    taken = mix(rows.select("row", "doc_id", "source", "text"), key="row").where("taken > 0").select("row", "size", "target", "taken")
+    return rows.join(taken, "row").select(*COLUMNS, "size", "target", "taken")
 
 
 STAGES = [("language", language), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("secrets", redact_secrets), ("mix", mix_sources)]
