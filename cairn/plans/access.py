@@ -55,11 +55,11 @@ def _register() -> None:
     _bool("session_gate", lambda: session().isNull() | (session() == "sess_2"), "not starts_with(scope, 'session:') or scope = 'session:sess_2'")
     by = lambda: F.when(F.col("key") % 3 == 0, "human").otherwise("agent")
     Q["default_status"] = _sources(lambda s: s.select("id", A.default_status(by(), F.col("scope")).alias("status")))
-    O["default_status"] = sql("sources", "select id, case when key % 3 = 0 then 'verified' else 'proposed' end as status from sources")
+    O["default_status"] = sql("sources", "select id, case when by_ = 'agent' and regexp_matches(scope, '^(project|team|org):') then 'proposed' when by_ = 'human' then 'verified' else 'proposed' end as status from (select *, case when key % 3 = 0 then 'human' else 'agent' end as by_ from sources)")
     key = lambda: F.concat(F.element_at(F.array(*map(F.lit, ("autosave_", "pref.", "last_hygiene_at", "note_"))), (F.col("key") % 4 + 1).cast("int")), F.when(F.col("key") % 4 == 2, "").otherwise(F.col("key").cast("string")))
     content = lambda: F.when(F.col("key") % 5 == 0, F.concat(F.lit("**autosave_"), F.col("key").cast("string"), F.lit("**: kept"))).otherwise(F.lit("plain"))
     Q["internal_keys"] = _sources(lambda s: s.select("id", (A.internal_key(key()) | A.internal_key(F.regexp_extract(F.trim(content()), r"^\*\*(.+?)\*\*:", 1))).alias("internal")))
-    O["internal_keys"] = sql("sources", "select id, key % 4 in (0, 2) or key % 5 = 0 as internal from sources")
+    O["internal_keys"] = sql("sources", "select id, regexp_matches(k, '^(autosave_|last_hygiene_at$)') or regexp_matches(c, '^\\*\\*(autosave_|last_hygiene_at\\*)') as internal from (select id, ['autosave_', 'pref.', 'last_hygiene_at', 'note_'][key % 4 + 1] || case when key % 4 = 2 then '' else key::varchar end as k, case when key % 5 = 0 then '**autosave_' || key || '**: kept' else 'plain' end as c from sources)")
     Q["scope_set_covers"] = _sources(lambda s: s.select("id", A.scope_set_covers(F.array(F.lit("team:1"), F.lit("team:2"), F.lit("session:sess_0")), F.array(F.col("scope"), F.lit("public"))).alias("covered")))
     O["scope_set_covers"] = sql("sources", "select id, scope in ('public', 'team:1', 'team:2', 'session:sess_0') as covered from sources")
 
@@ -95,10 +95,10 @@ def list_relations(spark, d):
 
 
 def packs(spark, d):
-    return S.sources(spark, d).where("key % 4 = 0").select(F.concat(F.lit("ctx_"), F.col("key").cast("string")).alias("id"), F.col("key"), F.array(F.col("scope"), F.concat(F.lit("team:"), (F.col("key") % 3).cast("string"))).alias("required_scopes"), (F.col("key") % 10 == 0).alias("isolated"), "created_at_ms")
+    return S.sources(spark, d).select(F.concat(F.lit("ctx_"), F.col("key").cast("string")).alias("id"), F.col("key"), F.array(F.col("scope"), F.concat(F.lit("team:"), (F.col("key") % 3).cast("string"))).alias("required_scopes"), (F.col("key") % 10 == 0).alias("isolated"), "created_at_ms")
 
 
-_PACKS = ", packs as (select 'ctx_' || key as id, key, [scope, 'team:' || (key % 3)] as required_scopes, key % 10 = 0 as isolated, scope, created_at_ms from sources where key % 4 = 0) "
+_PACKS = ", packs as (select 'ctx_' || key as id, key, [scope, 'team:' || (key % 3)] as required_scopes, key % 10 = 0 as isolated, scope, created_at_ms from sources) "
 
 
 def list_context_packs(spark, d):
@@ -143,7 +143,7 @@ O |= {
     "list_relations": sql("entities relations", f"select from_id, r.type, to_id from relations r where from_id in (select id from entities where {_SEEN}) and to_id in (select id from entities where {_SEEN})"),
     "list_context_packs": sql("sources", "").rstrip() + _PACKS + f"select id, array_to_string(required_scopes, ',') as required from packs where {_VIS} and key % 3 in (1, 2)",
     "pack_scope": sql("sources", "").rstrip() + _PACKS + "select id, case when isolated then 'agent:a1' when scope <> 'public' then scope else 'team:' || (key % 3) end as scope from packs",
-    "pack_ref_check": sql("sources", "").rstrip() + _PACKS + "select id, key % 3 <> 0 as valid from packs",
+    "pack_ref_check": sql("sources", "").rstrip() + _PACKS + "select id, list_has_all(list_append(required_scopes, 'public'), [required_scopes[1]]) and list_has_all(list_append(required_scopes, 'public'), ['public', case when key % 3 = 0 then 'team:7' else 'public' end]) as valid from packs",
     "visible_owners": sql("sources", f"select id, owner from (select id, scope, case when key % 3 = 0 then 'a1' when key % 3 = 1 then 'shared:' || scope else 'a2' end as owner from sources) where owner in ('a1', 'shared:public') or substr(owner, 8) in (select unnest({_HELD}))"),
     "prefetch_context": sql("sources", f"select scope, string_agg('- ' || id || ': ' || regexp_replace(substr(text, 1, 80), '[\\r\\n]+', ' ', 'g'), chr(10) order by n) as block from (select *, row_number() over (partition by scope order by created_at_ms desc, id) as n from sources where {_SEEN} and length(trim(text)) > 0) where n <= 5 group by scope"),
 }

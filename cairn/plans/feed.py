@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from cairn.functions import lifecycle as L
 from cairn.functions import texts as X
 from cairn.plans.access import _SEEN, _VIS, ME
 from cairn.sources import tables as S
+from cairn.sources.staging import staged
 from cairn.sources.tables import sql
 
 Q, O = {}, {}
@@ -45,16 +47,27 @@ def agent_memory_state(spark, d):
 O["agent_memory_state"] = sql("feed", "select object_id, id, event_type, writes from (select *, count(*) over (partition by object_id) as writes, row_number() over (partition by object_id order by ts_ms desc, origin desc, sequence desc, id desc) as n from feed where starts_with(event_type, 'agent_memory.')) where n = 1")
 
 
+def _writes(spark, d):
+    """Memory writes and the four kinds of deletion: one key, all keys, all keys of the actor, keys that were saved by themselves."""
+    kind = F.when(F.col("event_type") == "agent_memory.put", "put").when(F.col("event_type") == "agent_memory.delete", F.when(F.col("id") % 97 == 3, "delete_all").when(F.col("id") % 31 == 3, "delete_scoped").when(F.col("id") % 37 == 3, "delete_autosaved").otherwise("delete"))
+    key = F.when(F.col("id") % 4 == 0, F.concat(F.lit("autosave_"), "object_id")).otherwise(F.col("object_id"))
+    return S.feed(spark, d).select("id", "actor_id", key.alias("key"), kind.alias("kind"), F.struct("ts_ms", "origin", "sequence", "id").alias("o")).where("kind is not null")
+
+
 def tombstones(spark, d):
-    """Writes that no later deletion of their key hides."""
-    f = S.feed(spark, d)
-    order = F.struct("ts_ms", "origin", "sequence", "id")
-    gone = f.where("event_type = 'agent_memory.delete'").groupBy("object_id").agg(F.max(order).alias("gone"))
-    puts = f.where("event_type = 'agent_memory.put'").withColumn("o", order)
-    return puts.join(gone, "object_id", "left").where("gone is null or o > gone").select("id", "object_id")
+    """Writes that no later deletion hides: of their key, of everything, of their actor, or of keys saved by themselves.
+    The last deletion of each reach is one row a key, an actor, or in all."""
+    w = _writes(spark, d)
+    last = lambda kind, *by: w.where(F.col("kind") == kind).groupBy(*by).agg(F.max("o").alias(kind))
+    wide = w.agg(F.max(F.when(F.col("kind") == "delete_all", F.col("o"))).alias("delete_all"), F.max(F.when(F.col("kind") == "delete_autosaved", F.col("o"))).alias("delete_autosaved"))
+    puts = w.where("kind = 'put'").join(last("delete", "key"), "key", "left").join(last("delete_scoped", "actor_id"), "actor_id", "left").join(F.broadcast(wide))  # one row
+    auto = F.when(F.col("key").startswith("autosave_"), F.col("delete_autosaved"))
+    gone = F.greatest(F.col("delete"), F.col("delete_scoped"), F.col("delete_all"), auto)
+    return puts.where(gone.isNull() | (F.col("o") > gone)).select("id", "key")
 
 
-O["tombstones"] = sql("feed", "").rstrip() + ", g as (select object_id, ts_ms, origin, sequence, id from feed where event_type = 'agent_memory.delete' qualify row_number() over (partition by object_id order by ts_ms desc, origin desc, sequence desc, id desc) = 1) select f.id, f.object_id from feed f left join g using (object_id) where f.event_type = 'agent_memory.put' and (g.id is null or (f.ts_ms, f.origin, f.sequence, f.id) > (g.ts_ms, g.origin, g.sequence, g.id))"
+_WRITES = "w as (select id, actor_id, case when id % 4 = 0 then 'autosave_' || object_id else object_id end as key, case when event_type = 'agent_memory.put' then 'put' when id % 97 = 3 then 'delete_all' when id % 31 = 3 then 'delete_scoped' when id % 37 = 3 then 'delete_autosaved' else 'delete' end as kind, (ts_ms, origin, sequence, id) as o from feed where event_type in ('agent_memory.put', 'agent_memory.delete'))"
+O["tombstones"] = sql("feed", "").rstrip() + f", {_WRITES} select id, key from w p where kind = 'put' and not exists (select 1 from w x where x.o >= p.o and (x.kind = 'delete_all' or x.kind = 'delete' and x.key = p.key or x.kind = 'delete_scoped' and x.actor_id = p.actor_id or x.kind = 'delete_autosaved' and starts_with(p.key, 'autosave_')))"
 
 
 def feed_operations(spark, d):
@@ -80,13 +93,14 @@ O["feed_frontier"] = sql("feed", "select origin, max(sequence) as frontier from
 
 
 def feed_compact(spark, d):
-    """What stays above the floor: the last applied event of the first half."""
+    """What stays above the floor: the last applied event of the first half of the log."""
     f = S.feed(spark, d)
-    floor = f.where("status = 'applied' and id <= 5000").agg(F.max("id").alias("floor"))
-    return f.join(F.broadcast(floor), f["id"] > floor["floor"]).select("id", "status")  # one row
+    half = f.agg(F.floor(F.max("id") / 2).alias("half"))
+    floor = f.join(F.broadcast(half), (f["status"] == "applied") & (f["id"] <= half["half"])).agg(F.max("id").alias("floor"))  # one row each
+    return f.join(F.broadcast(floor), f["id"] > floor["floor"]).select("id", "status")
 
 
-O["feed_compact"] = sql("feed", "select id, status from feed where id > (select max(id) from feed where status = 'applied' and id <= 5000)")
+O["feed_compact"] = sql("feed", "select id, status from feed where id > (select max(id) from feed where status = 'applied' and id <= (select max(id) // 2 from feed))")
 
 
 def feed_status(spark, d):
@@ -109,20 +123,58 @@ def feed_redaction(spark, d):
 O["feed_redaction"] = sql("feed sources", f"select f.id, case when s.id is not null then '{{\"ref\":\"src_' || (f.id % 1000) || '\"}}' else '{{}}' end as payload from feed f left join (select id from sources where {_SEEN}) s on s.id = 'src_' || (f.id % 1000)")
 
 
-def agent_memory_reduce(spark, d):
-    """Objects merged in order of writing, the later value of a key winning, nested objects merged in turn."""
+def _leaves(patch: dict, path: tuple = ()):
+    for k, v in patch.items():
+        yield from _leaves(v, (*path, k)) if isinstance(v, dict) and v else [((*path, k), json.dumps(v))]
 
-    def merge(a: dict, b: dict) -> dict:
-        return a | {k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        for p, i in zip(rows.sort_values(["ts_ms", "origin", "sequence", "id"])["props"], rows.sort_values(["ts_ms", "origin", "sequence", "id"])["id"], strict=True):
-            state = merge(state, json.loads(p) | {"last": {f"n{i % 3}": i}})
-        return pd.DataFrame({"object_id": [rows["object_id"].iloc[0]], "state": [json.dumps(state, sort_keys=True)]})
+def _flat(batches):
+    for b in batches:
+        at, paths, values = [], [], []
+        for i, (props, more) in enumerate(zip(b.column("props").to_pylist(), b.column("more").to_pylist(), strict=True)):
+            for path, value in _leaves(json.loads(props or "{}") | json.loads(more)):
+                at.append(i)
+                paths.append(list(path))
+                values.append(value)
+        rows = b.select(["object_id", "o"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(paths, pa.list_(pa.string())), pa.array(values, pa.string())], names=["object_id", "o", "path", "value"])
 
-    f = S.feed(spark, d).where("event_type = 'agent_memory.merge_object'").select("object_id", "id", "ts_ms", "origin", "sequence", "props")
-    return f.groupBy("object_id").applyInPandas(fold, "object_id string, state string")
+
+def agent_memory_reduce(spark, d):
+    """Objects merged in order of writing, the later value of a key winning, nested objects merged in turn.
+
+    Patches are flattened to their leaves, and the last write of each leaf is a partial aggregate, so no object's history is gathered. A leaf falls to a later
+    write of a value above it (which replaced the object it was in) or below it (an object that replaced the value).
+    """
+    f = S.feed(spark, d).where("event_type = 'agent_memory.merge_object'")
+    more = F.to_json(F.struct(F.create_map(F.concat(F.lit("n"), (F.col("id") % 3).cast("string")), F.col("id")).alias("last")))
+    flat = f.select("object_id", F.struct("ts_ms", "origin", "sequence", "id").alias("o"), "props", more.alias("more"))
+    kind = flat.schema["o"].dataType.simpleString()
+    last = staged(spark, flat.mapInArrow(_flat, f"object_id string, o {kind}, path array<string>, value string").groupBy("object_id", "path").agg(F.max_by("value", "o").alias("value"), F.max("o").alias("o")), "leaves")
+    over = last.where("size(path) > 1").select("object_id", "o", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("head"))
+    ends = last.select("object_id", F.col("path").alias("head"), F.col("o").alias("head_o"))
+    met = over.join(ends, ["object_id", "head"])
+    dead = met.where("head_o > o").select("object_id", "path").unionByName(met.where("head_o < o").select("object_id", F.col("head").alias("path"))).distinct()
+    alive = last.join(dead, ["object_id", "path"], "left_anti")
+
+    def built(leaves: pd.Series) -> pd.Series:
+        def one(rows) -> str:
+            out: dict = {}
+            for r in rows:
+                at = out
+                for k in r["path"][:-1]:
+                    at = at.setdefault(k, {})
+                at[r["path"][-1]] = json.loads(r["value"])
+            return json.dumps(out, sort_keys=True)
+
+        return leaves.map(one)
+
+    leaves = alive.groupBy("object_id").agg(F.collect_list(F.struct("path", "value")).alias("leaves"))  # one an attribute
+    return leaves.select("object_id", F.pandas_udf(built, "string")("leaves").alias("state"))
+
+
+_MERGES = "m as (select object_id, (ts_ms, origin, sequence, id) as o, id, props from feed where event_type = 'agent_memory.merge_object')"
+O["agent_memory_reduce"] = sql("feed", "").rstrip() + f", {_MERGES}, l as (select object_id, 'n' || (id % 3) as k, arg_max(id, o) as v from m group by 1, 2), p as (select object_id, k, arg_max(json_extract(props, k)::varchar, o) as v from (select *, unnest(json_keys(props)) as k from m) group by 1, 2), t as (select object_id, k, v from p union all select object_id, 'last', '{{' || string_agg('\"' || k || '\": ' || v, ', ' order by k) || '}}' from l group by 1) select object_id, '{{' || string_agg('\"' || k || '\": ' || v, ', ' order by k) || '}}' as state from t group by 1"
 
 
 def merge_object(spark, d):
@@ -130,13 +182,15 @@ def merge_object(spark, d):
     return agent_memory_reduce(spark, d).select("object_id", F.size(F.json_object_keys("state")).cast("long").alias("fields"))
 
 
+O["merge_object"] = sql("feed", "").rstrip() + f", {_MERGES} select object_id, count(distinct k) as fields from (select object_id, unnest(list_append(json_keys(props), 'last')) as k from m) group by 1"
+
+
 def merge_string_set(spark, d):
-    """Strings of a key in order of first writing."""
-    f = S.feed(spark, d).where("event_type = 'agent_memory.merge_string_set'").select("object_id", F.struct("ts_ms", "id", F.concat(F.lit("t"), F.col("id") % 6).alias("s")).alias("x"))
-    return f.groupBy("object_id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])), ",").alias("strings"))
+    """Strings of a key in order of first writing; each string's first is found before they are gathered."""
+    f = S.feed(spark, d).where("event_type = 'agent_memory.merge_string_set'").groupBy("object_id", F.concat(F.lit("t"), F.col("id") % 6).alias("s")).agg(F.min(F.struct("ts_ms", "id")).alias("o"))
+    return f.groupBy("object_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "s"))), lambda x: x["s"]), ",").alias("strings"))
 
 
-O["merge_object"] = sql("feed", "select object_id, 2::bigint as fields from feed where event_type = 'agent_memory.merge_object' group by 1")
 O["merge_string_set"] = sql("feed", "select object_id, string_agg(s, ',' order by ts_ms, id) as strings from (select * from (select object_id, ts_ms, id, 't' || (id % 6) as s from feed where event_type = 'agent_memory.merge_string_set') qualify row_number() over (partition by object_id, s order by ts_ms, id) = 1) group by 1")
 
 
@@ -164,7 +218,7 @@ def analytics_final(spark, d):
     return twice.groupBy("source", "id").agg(F.max_by("status", "ts_ms").alias("status"), F.max("ts_ms").alias("ts_ms"))
 
 
-O["analytics_final"] = sql("feed", "").rstrip() + f", {_AN} select source, id, case when id % 5 = 0 then 'revised' else status end as status, case when id % 5 = 0 then ts_ms + 1 else ts_ms end as ts_ms from an"
+O["analytics_final"] = sql("feed", "").rstrip() + f", {_AN} select source, id, arg_max(status, ts_ms) as status, max(ts_ms) as ts_ms from (select source, id, status, ts_ms from an union all select source, id, 'revised', ts_ms + 1 from an where id % 5 = 0) group by 1, 2"
 
 
 def analytics_query(spark, d, source: str | None = "audit", event_type: str | None = None, since: int = 100, limit: int = 100):
@@ -195,13 +249,41 @@ def analytics_cursor(spark, d):
 O["analytics_cursor"] = sql("feed", "").rstrip() + f", {_AN} select source, max(id) as cursor from an where status = 'applied' group by 1"
 
 
-def outbox_status(spark, d):
+def _leased(spark, d):
+    """Work with a lease that ends some time after the event; the present is the latest event."""
     f = S.feed(spark, d)
-    lease = F.when((F.col("status") == "applying") & (F.col("id") % 3 == 0), "expired").otherwise(F.col("status"))
-    return f.groupBy(lease.alias("state")).agg(F.count("*").alias("n"), F.min("id").alias("next"))
+    f = f.join(F.broadcast(f.agg(F.max("ts_ms").alias("now"))))  # one row
+    late = (F.col("status") == "applying") & (F.col("ts_ms") + 3_600_000 * 24 * (F.col("id") % 5 + 1) < F.col("now"))
+    return f.withColumn("state", F.when(late, "expired").otherwise(F.col("status")))
+
+
+_LEASED = "q as (select *, case when status = 'applying' and ts_ms + 86400000 * (id % 5 + 1) < (select max(ts_ms) from feed) then 'expired' else status end as state from feed)"
+
+
+def outbox_status(spark, d):
+    """Counters of the outbox, and the next of each state."""
+    return _leased(spark, d).groupBy("state").agg(F.count("*").alias("n"), F.min("id").alias("next"))
+
+
+O["outbox_status"] = sql("feed", "").rstrip() + f", {_LEASED} select state, count(*) as n, min(id) as next from q group by 1"
 
 
-O["outbox_status"] = sql("feed", "select case when status = 'applying' and id % 3 = 0 then 'expired' else status end as state, count(*) as n, min(id) as next from feed group by 1")
+def outbox_claims(spark, d, batch: int = 250):
+    """The next batch of work: pending, or claimed with an expired lease, in order."""
+    return _leased(spark, d).where("state in ('pending', 'expired')").orderBy("id").limit(batch).select("id", "state", "object_id")
+
+
+O["outbox_claims"] = sql("feed", "").rstrip() + f", {_LEASED} select id, state, object_id from q where state in ('pending', 'expired') order by id limit 250"
+
+
+def job_claims(spark, d, batch: int = 25):
+    """The next jobs of each kind, oldest first; running ones whose heartbeat is lost count as free."""
+    w = Window.partitionBy("event_type").orderBy("ts_ms", "id")
+    free = _leased(spark, d).where("state in ('pending', 'expired')")
+    return free.withColumn("n", F.row_number().over(w)).where(F.col("n") <= batch).select("event_type", "id", F.col("n").cast("long").alias("n"))
+
+
+O["job_claims"] = sql("feed", "").rstrip() + f", {_LEASED} select event_type, id, n from (select event_type, id, row_number() over (partition by event_type order by ts_ms, id) as n from q where state in ('pending', 'expired')) where n <= 25"
 
 
 def job_counts(spark, d):
@@ -211,6 +293,19 @@ def job_counts(spark, d):
 O["job_counts"] = sql("feed", "select event_type, status, count(*) as n from feed group by 1, 2")
 
 
+def feed_restore(spark, d):
+    """State of each key from a checkpoint of the first half of the log and the events after it; equal to that of the whole log."""
+    f = S.feed(spark, d).where("event_type like 'agent_memory.%'").select("id", "object_id", "event_type", F.struct("ts_ms", "origin", "sequence", "id").alias("o"))
+    half = f.agg(F.floor(F.max("id") / 2).alias("half"))
+    f = f.join(F.broadcast(half))  # one row
+    last = lambda df: df.groupBy("object_id").agg(F.max_by("event_type", "o").alias("event_type"), F.max("o").alias("o"))
+    checkpoint = staged(spark, last(f.where("id <= half")), "checkpoint")
+    return last(checkpoint.unionByName(f.where("id > half").select("object_id", "event_type", "o"))).select("object_id", "event_type", F.col("o.id").alias("id"))
+
+
+O["feed_restore"] = sql("feed", "select object_id, arg_max(event_type, (ts_ms, origin, sequence, id)) as event_type, arg_max(id, (ts_ms, origin, sequence, id)) as id from feed where starts_with(event_type, 'agent_memory.') group by 1")
+
+
 def _shown(spark, d):
     return S.messages(spark, d).where("role <> '__runtime_command__'")
 
@@ -291,28 +386,53 @@ O["hygiene_report"] = sql("atoms", f"select decision, count(*) as n from ({_HYG}
 
 
 def dedupe_atoms(spark, d):
-    """Claims of one scope, permissions, predicate, object and content: the best status stays, then the latest seen."""
-    key = F.concat_ws("\u001f", "scope", F.to_json("permissions"), "predicate", "object", X.normalized_content(F.col("text")))
-    w = Window.partitionBy("k").orderBy(F.desc(L.status_rank(F.col("status"))), F.desc(F.coalesce("verified_at_ms", "created_at_ms")), "id")
-    a = S.atoms(spark, d).where("permissions is not null and length(trim(text)) > 0").withColumn("k", key)
-    return a.withColumn("n", F.row_number().over(w)).withColumn("copies", F.count("*").over(Window.partitionBy("k"))).where("n = 1").select("id", "copies")
+    """Claims of one scope, permissions, predicate, object and content: the best status stays, then the latest seen. Winner and count are partial aggregates."""
+    a = S.atoms(spark, d).where("permissions is not null and length(trim(text)) > 0")
+    best = F.struct(L.status_rank(F.col("status")).alias("rank"), F.coalesce("verified_at_ms", "created_at_ms").alias("seen"))
+    key = ["scope", F.to_json("permissions").alias("p"), "predicate", "object", X.normalized_content(F.col("text")).alias("t")]
+    w = a.select(*key, "id", best.alias("best")).groupBy("scope", "p", "predicate", "object", "t").agg(F.min(F.struct((-F.col("best.rank")).alias("r"), (-F.col("best.seen")).alias("s"), "id")).alias("x"), F.count("*").alias("copies"))
+    return w.select("x.id", "copies")
 
 
 O["dedupe_atoms"] = sql("atoms", "select id, copies from (select id, count(*) over (partition by scope, array_to_string(permissions, '|'), object, text) as copies, row_number() over (partition by scope, array_to_string(permissions, '|'), object, text order by case when status = 'verified' then 4 when status = 'proposed' then 3 when status = 'stale' then 2 else 1 end desc, coalesce(verified_at_ms, created_at_ms) desc, id) as n from atoms where permissions is not null) where n = 1")
 
 
 def conflict_scan(spark, d):
-    """Claims that differ from the first visible claim of their scope, predicate and subject; claims without a subject meet all of their scope's."""
-    a = S.atoms(spark, d).where("key % 40 = 0").select("id", "scope", "predicate", F.when(F.col("key") % 400 > 0, F.col("subject")).alias("subject"), "object")
+    """Pairs of visible claims of one scope and predicate that state different objects of one subject; a claim without a subject meets all of its scope's.
+
+    Claims that say the same are one class, named by its least id and with its size, and classes are paired: a subject has few objects, and those
+    without a subject are one class an object, so pairs grow with the number of classes.
+    """
+    a = S.atoms(spark, d).where(A.record_visible(F.col("scope"), F.col("permissions"), ME) & A.status_shown(F.col("status")))
+    a = a.groupBy("scope", "predicate", F.when(F.col("key") % 400 > 0, F.col("subject")).alias("subject"), "object").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    a = staged(spark, a, "classes")
     left, right = (a.select(*(F.col(c).alias(f"{s}_{c}") for c in a.columns)) for s in "ab")
-    same = (F.col("a_scope") == F.col("b_scope")) & (F.col("a_predicate") == F.col("b_predicate")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_object") != F.col("b_object"))
-    equal = left.join(right, same & (F.col("a_subject") == F.col("b_subject")))
-    open_a = left.where("a_subject is null").join(right, same)
-    open_b = left.where("a_subject is not null").join(right.where("b_subject is null"), same)
-    return equal.unionByName(open_a).unionByName(open_b).select("a_id", "b_id")
+    same = (F.col("a_scope") == F.col("b_scope")) & (F.col("a_predicate") == F.col("b_predicate")) & (F.col("a_object") != F.col("b_object"))
+    equal = left.join(right, same & (F.col("a_subject") == F.col("b_subject")) & (F.col("a_key") < F.col("b_key")))
+    open_ = left.where("a_subject is null").join(right, same & (F.col("b_subject").isNotNull() | (F.col("a_key") < F.col("b_key"))))
+    both = equal.unionByName(open_)
+    first = F.col("a_key") < F.col("b_key")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return both.select(F.concat(F.lit("mem_"), pick("a_key", "b_key")).alias("a_id"), F.concat(F.lit("mem_"), pick("b_key", "a_key")).alias("b_id"), pick("a_n", "b_n").alias("a_claims"), pick("b_n", "a_n").alias("b_claims"))
+
+
+_SHOWN = "status not in ('rejected', 'deprecated', 'superseded')"
+_CLASSES = f"c as (select scope, predicate, case when key % 400 > 0 then subject end as subject, object, min(key) as key, count(*) as n from atoms where {_SEEN} and {_SHOWN} group by 1, 2, 3, 4)"
+O["conflict_scan"] = sql("atoms", "").rstrip() + f", {_CLASSES} select 'mem_' || x.key as a_id, 'mem_' || y.key as b_id, x.n as a_claims, y.n as b_claims from c x join c y on x.scope = y.scope and x.predicate = y.predicate and x.object <> y.object and x.key < y.key and (x.subject = y.subject or x.subject is null or y.subject is null)"
 
 
-O["conflict_scan"] = sql("atoms", "").rstrip() + ", a as (select id, scope, predicate, case when key % 400 > 0 then subject end as subject, object from atoms where key % 40 = 0) select x.id as a_id, y.id as b_id from a x join a y on x.scope = y.scope and x.predicate = y.predicate and x.id < y.id and x.object <> y.object and (x.subject = y.subject or x.subject is null or y.subject is null)"
+def conflict_members(spark, d):
+    """The class, by its least claim, of each visible claim."""
+    a = S.atoms(spark, d).where(A.record_visible(F.col("scope"), F.col("permissions"), ME) & A.status_shown(F.col("status"))).withColumn("subject", F.when(F.col("key") % 400 > 0, F.col("subject")))
+    by = ["scope", "predicate", "subject", "object"]
+    first = a.groupBy(*by).agg(F.min("key").alias("first")).select(*(F.col(c).alias("c_" + c) for c in by), "first")
+    match = a["scope"] == F.col("c_scope")
+    for c in by[1:]:
+        match = match & a[c].eqNullSafe(F.col("c_" + c))
+    return a.join(first, match).select("id", F.concat(F.lit("mem_"), "first").alias("class_id"))
+
+
+O["conflict_members"] = sql("atoms", f"select id, 'mem_' || min(key) over (partition by scope, predicate, case when key % 400 > 0 then subject end, object) as class_id from atoms where {_SEEN} and {_SHOWN}")
 
 
 def _cache(spark, d):
@@ -351,11 +471,14 @@ O["lru_evict"] = sql("feed", "").rstrip() + f", {_CACHE} select actor_id, id fro
 
 
 def rollout(spark, d):
-    """Mode of each source: refused scopes, then a hash bucket of 100."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(100))
+    """Mode of each source: refused scopes, then a bucket of 100 from the digest of its id."""
+    bucket = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 100
     return S.sources(spark, d).select("id", F.when(F.col("scope").startswith("session:"), "off").when(bucket < 25, "on").when(bucket < 50, "shadow").otherwise("off").alias("mode"))
 
 
+O["rollout"] = sql("sources", "select id, case when starts_with(scope, 'session:') then 'off' when b < 25 then 'on' when b < 50 then 'shadow' else 'off' end as mode from (select id, scope, ('0x' || substr(md5(id), 1, 8))::bigint % 100 as b from sources)")
+
+
 def artifact_validate(spark, d):
     types = list(L.ARTIFACT_STATUSES)
     statuses = ["draft", "accepted", "stale", "verified"]
@@ -379,7 +502,8 @@ def route_parse(spark, d):
 
 
 _names = [*L.ROUTES, "mem0", "lru,native"]
-O["route_parse"] = sql("sources", "select id, [" + ", ".join(f"'{L.ROUTES.get(n, 'subset' if ',' in n else 'named')}'" for n in _names) + f"][key % {len(_names)} + 1] as route from sources")
+_known = " ".join(f"when '{a}' then '{b}'" for a, b in L.ROUTES.items())
+O["route_parse"] = sql("sources", f"select id, case r {_known} else case when contains(r, ',') then 'subset' else 'named' end end as route from (select id, [" + ", ".join(f"'{n}'" for n in _names) + f"][key % {len(_names)} + 1] as r from sources)")
 
 
 def diagnostics(spark, d):
@@ -395,11 +519,10 @@ O["diagnostics"] = sql("atoms", "select count(*) as atoms, count(*) filter (wher
 
 def export_jsonl(spark, d):
     """Records as JSON lines."""
-    a = S.atoms(spark, d).where("key % 10 = 0")
-    return a.select("id", F.to_json(F.struct("id", "predicate", "object", "status")).alias("line"))
+    return S.atoms(spark, d).select("id", F.to_json(F.struct("id", "predicate", "object", "status")).alias("line"))
 
 
-O["export_jsonl"] = sql("atoms", "select id, '{\"id\":\"' || id || '\",\"predicate\":\"' || predicate || '\",\"object\":\"' || object || '\",\"status\":\"' || status || '\"}' as line from atoms where key % 10 = 0")
+O["export_jsonl"] = sql("atoms", "select id, '{\"id\":\"' || id || '\",\"predicate\":\"' || predicate || '\",\"object\":\"' || object || '\",\"status\":\"' || status || '\"}' as line from atoms")
 
-for _f in (feed_since, feed_dedupe, agent_memory_state, tombstones, feed_operations, lifecycle_status, feed_frontier, feed_compact, feed_status, feed_redaction, agent_memory_reduce, merge_object, merge_string_set, analytics_status, analytics_final, analytics_query, analytics_export, analytics_cursor, outbox_status, job_counts, session_history, session_merge, session_messages, session_page, usage_max, recall_signals, hygiene_decisions, hygiene_report, dedupe_atoms, conflict_scan, cache_freshness, cache_stats, lru_evict, rollout, artifact_validate, route_parse, diagnostics, export_jsonl):
+for _f in (feed_since, feed_dedupe, agent_memory_state, tombstones, feed_operations, lifecycle_status, feed_frontier, feed_compact, feed_status, feed_redaction, agent_memory_reduce, merge_object, merge_string_set, analytics_status, analytics_final, analytics_query, analytics_export, analytics_cursor, outbox_status, outbox_claims, job_claims, job_counts, feed_restore, session_history, session_merge, session_messages, session_page, usage_max, recall_signals, hygiene_decisions, hygiene_report, dedupe_atoms, conflict_scan, conflict_members, cache_freshness, cache_stats, lru_evict, rollout, artifact_validate, route_parse, diagnostics, export_jsonl):
     Q[_f.__name__] = _f

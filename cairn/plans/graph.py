@@ -21,11 +21,11 @@ _E = "edges as (select from_id as id, to_id as other from relations union all se
 
 
 def graph_neighbors(spark, d):
-    e = _edges(spark, d).where("id like 'ent_nation_%'")
+    e = _edges(spark, d)
     return e.groupBy("id").agg(F.countDistinct("other").alias("n"), F.min("other").alias("first"))
 
 
-O["graph_neighbors"] = sql("relations", "").rstrip() + f", {_E} select id, count(distinct other) as n, min(other) as first from edges where id like 'ent_nation_%' group by id"
+O["graph_neighbors"] = sql("relations", "").rstrip() + f", {_E} select id, count(distinct other) as n, min(other) as first from edges group by id"
 
 
 def graph_traverse(spark, d):

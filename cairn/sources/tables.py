@@ -67,7 +67,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, c, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     up = lambda df, kind, key, to, to_key: df.select(text_of(f"ent_{kind}_", F.col(key)).alias("from_id"), text_of(f"ent_{to}_", F.col(to_key)).alias("to_id"), F.lit("belongs_to").alias("type"), F.lit(kind).alias("from_type"), F.lit(to).alias("to_type"), F.col(key).cast("long").alias("key"))
-    p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
+    p = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     parts = p.select(text_of("ent_part_", F.col("l_partkey")).alias("from_id"), text_of("ent_supplier_", F.col("l_suppkey")).alias("to_id"), F.lit("depends_on").alias("type"), F.lit("part").alias("from_type"), F.lit("supplier").alias("to_type"), F.col("l_partkey").alias("key"))
     return up(n, "nation", "n_nationkey", "region", "n_regionkey").unionByName(up(c, "customer", "c_custkey", "nation", "c_nationkey")).unionByName(up(s, "supplier", "s_suppkey", "nation", "s_nationkey")).unionByName(parts)
 
@@ -105,7 +105,7 @@ SQL = {
         f"select 'ent_{kind}_' || {key} as from_id, 'ent_{to}_' || {to_key} as to_id, 'belongs_to' as type, '{kind}' as from_type, '{to}' as to_type, {key}::bigint as key from {kind}"
         for kind, key, to, to_key in (("nation", "n_nationkey", "region", "n_regionkey"), ("customer", "c_custkey", "nation", "c_nationkey"), ("supplier", "s_suppkey", "nation", "s_nationkey"))
     )
-    + " union all select distinct 'ent_part_' || l_partkey, 'ent_supplier_' || l_suppkey, 'depends_on', 'part', 'supplier', l_partkey from lineitem where l_linenumber = 1",
+    + " union all select distinct 'ent_part_' || l_partkey, 'ent_supplier_' || l_suppkey, 'depends_on', 'part', 'supplier', l_partkey from lineitem",
     "messages": f"select 'sess_' || conv_id as session_id, conv_id, turn, case when turn % 9 = 8 then '__runtime_command__' else role end as role, coalesce(text, '') as content, {EPOCH} + conv_id * 100000 + turn * 1000 as created_at_ms from conversations",
     "feed": f"select event_id as id, {_event_case} as event_type, 'user_' || user_id as actor_id, 'key_' || (user_id % 50) as object_id, 'node-' || ((case when event_id % 10 = 9 then event_id - 5 else event_id end) % 3) as origin, case when event_id % 10 = 9 then event_id - 5 else event_id end as sequence, 'origin:node-' || ((case when event_id % 10 = 9 then event_id - 5 else event_id end) % 3) || ':' || (case when event_id % 10 = 9 then event_id - 5 else event_id end) as dedupe_key, epoch_us(ts) // 1000 as ts_ms, value, props, {SCOPE.format(k='event_id')} as scope, case when event_id % 4 = 0 then 'pending' when event_id % 4 = 1 then 'applying' else 'applied' end as status from events",
 }
