@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 # Delimiters between search tokens, and the words that searches leave out.
 DELIMITERS = " \t\r\n.,;:/\\-_*\"'()[]{}<>!?|&+=#@$%^`~"
-STOP_WORDS = frozenset(
-    """a an and are as at be by can could do does for from get give has have help how i in is it its me my not of on or our
-    show that the this to was we were what when where which who why with would you your
-    как мы где делать для до зачем или им их и когда кто ли на нам нас над не но о об он она они оно от по под почему при про с со так то у чем что чтобы
-    это этот эта эти бы был была были быть сделать""".split()
-)
+STOP_WORDS = frozenset((
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "do", "does", "for", "from", "get", "give", "has", "have", "help", "how", "i", "in", "is", "it", "its", "me",
+    "my", "not", "of", "on", "or", "our", "show", "that", "the", "this", "to", "was", "we", "were", "what", "when", "where", "which", "who", "why", "with", "would", "you", "your",
+    "как", "мы", "где", "делать", "для", "до", "зачем", "или", "им", "их", "и", "когда", "кто", "ли", "на", "нам", "нас", "над", "не", "но", "о", "об", "он", "она", "они", "оно",
+    "от", "по", "под", "почему", "при", "про", "с", "со", "так", "то", "у", "чем", "что", "чтобы", "это", "этот", "эта", "эти", "бы", "был", "была", "были", "быть", "сделать",
+))
+# Words that open a question.
 QUESTION_WORDS = ("what", "how", "why", "when", "where", "who", "which", "can", "could", "does", "do", "is", "are")
 QUESTION_WORDS_CYRILLIC = ("почему", "как", "что", "когда", "где")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ"
 LOWER = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяё"
-#: trigger words, intent, terms
+# Trigger words, intent, terms.
 EXPANSIONS = (
-    (("pantry", "confluence", "wiki", "rag", "knowledge base", "база знаний", "память"), "knowledge_context", ("memory", "knowledge", "context", "source", "artifact", "citation", "retrieval")),
+    (("confluence", "wiki", "rag", "knowledge base", "база знаний", "память"), "knowledge_context", ("memory", "knowledge", "context", "source", "artifact", "citation", "retrieval")),
     (("decision", "adr", "rfc", "architecture decision", "решени"), "decision", ("decision", "adr", "rationale", "alternative", "consequence", "accepted", "rejected", "superseded")),
     (("incident", "outage", "postmortem", "инцидент", "авари"), "incident", ("incident", "event", "outage", "postmortem", "root cause", "mitigation", "timeline", "runbook")),
     (("runbook", "recipe", "playbook", "procedure", "ранбук", "рецепт"), "runbook", ("runbook", "recipe", "playbook", "procedure", "checklist", "operations")),
@@ -80,6 +81,81 @@ def entity_hint(query: Column) -> Column:
     return ticket | marked | named | query.rlike(rf"{token}(?=[A-Za-z0-9]*[A-Z][A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z0-9])[A-Za-z0-9]{{3,}}{end}") | query.rlike(rf"{token}[A-Z]{{3,12}}{end}")
 
 
+IDENTIFIER_ENDS = " \t\r\n.,;()[]{}<>!?\"'"
+TERM_ENDS = " \t\r\n.,;:/\\-_*\"'()[]{}<>!?"
+_PARTS = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z])")
+
+
+def normalized_terms(terms, most: int = 64) -> list[str]:
+    """Terms without delimiters around them, of 2 to 80 bytes, each once regardless of case, in lower case, `most` at most."""
+    out: list[str] = []
+    for t in terms:
+        t = t.strip(TERM_ENDS).translate(str.maketrans(UPPER, LOWER))
+        if 2 <= len(t.encode()) <= 80 and t not in out:
+            out.append(t)
+    return out[:most]
+
+
+def identifier_expansion(query: str) -> tuple[list[str], list[str]]:
+    """Intents and terms of the identifiers in a query: tickets, camel case and acronyms, scope:value, paths."""
+    intents: list[str] = []
+    terms: list[str] = []
+    for token in re.split("[" + re.escape(IDENTIFIER_ENDS) + "]+", query):
+        if len(token.encode()) < 2:
+            continue
+        head, colon, rest = token.partition(":")
+        camel = re.fullmatch(r"[A-Za-z0-9]{3,}", token) and (len(re.findall("[A-Z]", token)) >= 2 and re.search("[a-z0-9]", token) or re.fullmatch("[A-Z]{3,12}", token))
+        for hit, intent, more in (
+            (re.fullmatch(r"[A-Za-z]+-[0-9]+", token), "ticket", [token, "ticket", "issue", "task"]), (camel, "entity_lookup", _PARTS.split(token)),
+            (colon and head and rest, "scoped_lookup", [head, *_PARTS.split(rest)]), ("/" in token, "repository", ["repo", "repository", *(p for x in token.split("/") for p in _PARTS.split(x))]),
+        ):
+            if hit:
+                intents += [] if intent in intents else [intent]
+                terms += more
+    return intents, normalized_terms(terms)
+
+
+@dataclass(frozen=True)
+class Windows:
+    """How many results are gathered, reranked and returned for a request: pages, diversification and rerankers look further than the page."""
+
+    limit: int
+    offset: int = 0
+    use_mmr: bool = True
+    mmr_multiplier: int = 4
+    rerank: bool = False
+    rerank_candidates: int = 24
+
+    @property
+    def page(self) -> int:
+        return min(self.limit, PAGE_MOST)
+
+    @property
+    def candidates(self) -> int:
+        if not self.page:
+            return 0
+        wide = min(WINDOW_MOST, self.page * (self.mmr_multiplier if self.use_mmr else 1))
+        return min(WINDOW_MOST, max(min(self.offset, WINDOW_MOST - self.page) + wide, self.rerank_candidates if self.rerank else self.page))
+
+    @property
+    def reranked(self) -> int:
+        end = min(WINDOW_MOST, self.offset + self.page) if self.page else 0
+        return min(WINDOW_MOST, max(end, self.rerank_candidates)) if end else 0
+
+
+# Limits of a page, of what is retrieved for it, and of a listing.
+PAGE_MOST, WINDOW_MOST, LIST_MOST = 500, 1000, 5000
+
+
+def saturated(n: int, factor: int = 1, most: int = (1 << 63) - 1) -> int:
+    return min(n * factor, most)
+
+
+def vector_score_allowed(score_: Column, least: float) -> Column:
+    """Any score, not-a-number too, where no least score is asked; else finite ones that reach it."""
+    return F.lit(True) if not least > 0 else ~F.isnan(score_) & (score_ < float("inf")) & (score_ >= least)
+
+
 @dataclass(frozen=True)
 class Plan:
     tokens: tuple[str, ...]

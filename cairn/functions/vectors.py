@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 64
 
@@ -36,7 +38,7 @@ def normalized(v: Column) -> Column:
 
 
 def projection(dims: int) -> np.ndarray:
-    """Fixed pseudo-random coefficients in [-1, 1], a row a bit: 64-bit mixing of bit and dimension, low 16 bits."""
+    """Fixed pseudo-random coefficients in [-1, 1], a row a bit: 64-bit mixing of bit and dimension, low 16 bits. The mixing constants are fixed values."""
     bit, dim = np.arange(BITS, dtype=np.uint64)[:, None], np.arange(dims, dtype=np.uint64)[None, :]
     with np.errstate(over="ignore"):
         x = bit * np.uint64(0x9E3779B185EBCA87) ^ dim * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(0xD6E8FEB86659FD93)
@@ -61,3 +63,30 @@ def signatures(vectors: DataFrame, dims: int) -> DataFrame:
 
 def bands(sig: Column) -> list[Column]:
     return [F.shiftrightunsigned(sig, 16 * i).bitwiseAND(65535).cast("int") for i in range(4)]
+
+
+# Dimensions of a token signature, and start and factor of the hash (FNV-1a) that deals tokens to them.
+TOKEN_DIMS, HASH_START, HASH_FACTOR = 32, 0x48475252 ^ 0xCBF29CE484222325, 0x100000001B3
+_TOKEN = re.compile(r"[A-Za-z0-9_]+", re.A)
+
+
+def token_signature_of(*texts: str) -> list[int]:
+    """Signed counts of hashed tokens, which stand for what the texts are about."""
+    out = [0] * TOKEN_DIMS
+    for token in (t for x in texts for t in _TOKEN.findall(x or "")):
+        h = HASH_START
+        for b in token.lower().encode():
+            h = (h ^ b) * HASH_FACTOR & 0xFFFFFFFFFFFFFFFF
+        out[h % TOKEN_DIMS] += -1 if h & 1 else 1
+    return out
+
+
+def token_signatures(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with `signature` of the named columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [token_signature_of(*x) for x in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.int64()))], names=[*b.schema.names, "signature"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("signature", T.ArrayType(T.LongType()))]))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import access as A
 from cairn.functions import lexical as L
+from cairn.functions import vectors as V
 from cairn.operators import greedy
 from cairn.plans.access import _SEEN, ME
+from cairn.plans.vectors import _COS, _E, _Q0
 from cairn.sources import tables as S
 from cairn.sources.staging import staged
 from cairn.sources.tables import NOW, sql
@@ -40,7 +44,7 @@ def keyword_search(spark, d):
     return keyword_candidates(spark, d).orderBy(*_best_first()).limit(500).select("id", "score", F.round("confidence", 6).alias("confidence"), "created_at_ms")
 
 
-_KW = f"kw as (select id, key, type, text, scope, created_at_ms, key % 100 / 100 as confidence, {_LEX} as score from sources where {_SEEN})"
+_KW = f"kw as (select id, key, type, text, scope, created_at_ms, key % 100 / 100 as confidence, {_LEX} as score, vec, case when contains(lower(text), 'of the') then 0.35 else 0.0 end as boost from sources left join (select vec_id, {_COS.format(a=_E, b=_Q0)} as vec from embeddings) on vec_id = key where {_SEEN})"
 O["keyword_search"] = sql("sources", "").rstrip() + f", {_KW} select id, score, round(confidence, 6) as confidence, created_at_ms from kw where score > 0 order by score desc, confidence desc, created_at_ms desc, id limit 500"
 
 
@@ -63,16 +67,20 @@ _ISQ = "regexp_matches(q, '(?i)^[ \\t\\r\\n]*(?:" + "|".join(L.QUESTION_WORDS) +
 
 def query_analysis(spark, d):
     q = query_table(spark, d)
-    return q.select("id", L.token_count(F.col("q")).cast("long").alias("tokens"), F.col("q").rlike(r"[_./\\:-]").alias("special"), L.is_question(F.col("q")).alias("question"), L.strategy(F.col("q")).alias("strategy"))
+    return q.select("id", L.token_count(F.col("q")).cast("long").alias("tokens"), F.col("q").rlike(r"[_./\\:-]").alias("special"), L.is_question(F.col("q")).alias("question"), L.strategy(F.col("q")).alias("strategy"), (L.entity_hint(F.col("q")) | (L.token_count(F.col("q")) >= 6)).alias("hint"))
 
 
-O["query_analysis"] = sql("sources", "").rstrip() + f", {_QT} select id, {_N} as tokens, regexp_matches(q, '[_./\\\\:-]') as special, {_ISQ} as question, case when {_N} = 0 then 'keyword_only' when regexp_matches(q, '[_./\\\\:-]') then 'keyword_only' when {_N} <= 3 then 'keyword_only' when {_ISQ} and {_N} >= 6 then 'vector_only' else 'hybrid' end as strategy from qt"
+_SPLIT = "(^|[ \\t\\r\\n.,;()\\[\\]{}<>!?\"''])"
+_STOPS = "($|[ \\t\\r\\n.,;()\\[\\]{}<>!?\"''])"
+_TOK = "list_filter(regexp_split_to_array(q, '[ \\t\\r\\n.,;()\\[\\]{}<>!?\"'']+'), lambda t: "
+_HINT = f"({_N} >= 6 or len({_TOK} regexp_full_match(t, '[A-Za-z]+-[0-9]+') or (length(t) >= 3 and regexp_matches(t, '[:/]')) or regexp_full_match(t, '[A-Z]{{3,12}}') or (regexp_full_match(t, '[A-Za-z0-9]{{3,}}') and regexp_matches(t, '[A-Z][A-Za-z0-9]*[A-Z]') and regexp_matches(t, '[a-z0-9]')))) > 0 or regexp_matches(lower(q), 'service|repo|ticket|incident|owner|api'))"
+O["query_analysis"] = sql("sources", "").rstrip() + f", {_QT} select id, {_N} as tokens, regexp_matches(q, '[_./\\\\:-]') as special, {_ISQ} as question, case when {_N} = 0 then 'keyword_only' when regexp_matches(q, '[_./\\\\:-]') then 'keyword_only' when {_N} <= 3 then 'keyword_only' when {_ISQ} and {_N} >= 6 then 'vector_only' else 'hybrid' end as strategy, {_HINT} as hint from qt"
 
 
 def query_expansion(spark, d):
     """Intents and terms of a table of queries by the rule table, first mention kept."""
     names = F.array(*(F.lit(t) for e in L.EXPANSIONS for t in e[0][:2]))
-    q = S.sources(spark, d).where("key < 400").select("id", F.concat(F.element_at(names, (F.col("key") % F.size(names) + 1).cast("int")), F.lit(" and "), F.element_at(names, (F.col("key") * 7 % F.size(names) + 1).cast("int"))).alias("q"))
+    q = S.sources(spark, d).select("id", F.concat(F.element_at(names, (F.col("key") % F.size(names) + 1).cast("int")), F.lit(" and "), F.element_at(names, (F.col("key") * 7 % F.size(names) + 1).cast("int"))).alias("q"))
     hit = [_any(t) for t, _, _ in L.EXPANSIONS]
     intents = F.filter(F.array(*(F.when(h, F.lit(i)) for h, (_, i, _) in zip(hit, L.EXPANSIONS, strict=True))), lambda x: x.isNotNull())
     terms = F.array_distinct(F.flatten(F.array(*(F.when(h, F.array(*map(F.lit, ts))).otherwise(F.array().cast("array<string>")) for h, (_, _, ts) in zip(hit, L.EXPANSIONS, strict=True)))))
@@ -92,7 +100,7 @@ def _expansion_sql() -> str:
     hits = ["(" + " or ".join(f"contains(q, '{t}')" for t in e[0]) + ")" for e in L.EXPANSIONS]
     intents = "concat_ws(',', " + ", ".join(f"case when {h} then '{e[1]}' end" for h, e in zip(hits, L.EXPANSIONS, strict=True)) + ")"
     all_terms = " || ".join(f"(case when {h} then [{', '.join(repr(t) for t in e[2])}] else [] end)" for h, e in zip(hits, L.EXPANSIONS, strict=True))
-    return sql("sources", f"select id, intents, array_to_string(list_filter(ts, lambda x, i: list_position(ts, x) = i), ',') as terms from (select id, {intents} as intents, {all_terms} as ts from (select id, lower({lst}[(key % {len(names)} + 1)::int] || ' and ' || {lst}[(key * 7 % {len(names)} + 1)::int]) as q from sources where key < 400))")
+    return sql("sources", f"select id, intents, array_to_string(list_filter(ts, lambda x, i: list_position(ts, x) = i), ',') as terms from (select id, {intents} as intents, {all_terms} as ts from (select id, lower({lst}[(key % {len(names)} + 1)::int] || ' and ' || {lst}[(key * 7 % {len(names)} + 1)::int]) as q from sources))")
 
 
 O["query_expansion"] = _expansion_sql()
@@ -125,11 +133,29 @@ def websearch_match(spark, d):
 O["websearch_match"] = sql("sources", f"select id from sources where ((contains({_T}, 'tion') and contains({_T}, 'thly')) or contains({_T}, 'eaux de')) and not contains({_T}, 'zung')")
 
 
-def _lists(spark, d):
-    """Two ranked lists over the visible sources: by lexical score and by text length."""
+ASKED = 0  # the vector that stands for the query's embedding
+PAGE = L.Windows(limit=50)
+
+
+def scored(spark, d) -> DataFrame:
+    """The visible sources with the scores of both channels, from one pass over the texts; the text itself is not carried along."""
+    q = spark.read.parquet(f"{d}/embeddings.parquet").where(F.col("vec_id") == ASKED).select("embedding").first()
+    asked = F.array(*(F.lit(float(x)) for x in q["embedding"])) if q else F.array().cast("array<double>")
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), V.cosine(F.col("embedding"), asked).alias("vec"))
     s = _confident(S.sources(spark, d)).where(A.record_visible(F.col("scope"), F.col("permissions"), ME))
-    a = s.withColumn("score", L.score(QUERY, F.col("text"))).where("score > 0").orderBy(*_best_first()).limit(1000)
-    b = s.withColumn("score", F.length("text") / F.lit(1000.0)).where("score > 0").orderBy(*_best_first()).limit(1000)
+    s = s.select("id", "key", "type", "scope", "confidence", "created_at_ms", L.score(QUERY, F.col("text")).alias("kw"), L.exact_boost("of the", F.col("id"), F.col("text")).alias("boost"))
+    return staged(spark, s.join(vectors, "key", "left").withColumn("vec", F.coalesce("vec", F.lit(0.0))), "scored")
+
+
+def _channels(s: DataFrame, window: int, keyword: bool = True, vector: bool = True) -> list[DataFrame]:
+    """The first of each channel that the query's plan asks for."""
+    asked = [("kw", keyword), ("vec", vector)]
+    return [s.where(F.col(c) > 0).withColumn("score", F.col(c)).orderBy(*_best_first()).limit(window) for c, on in asked if on]
+
+
+def _lists(spark, d):
+    """Two ranked lists over the visible sources: by lexical score and by cosine."""
+    a, b = _channels(scored(spark, d), L.WINDOW_MOST)
     return a, b
 
 
@@ -150,7 +176,7 @@ def rrf_fusion(spark, d):
     return fuse(list(_lists(spark, d))).select("id", F.round("rrf", 9).alias("score"), F.round("confidence", 6).alias("confidence"), "created_at_ms")
 
 
-_LISTS = f"{_KW}, la as (select *, row_number() over (order by score desc, confidence desc, created_at_ms desc, id) as rank from kw where score > 0 qualify rank <= 1000), lb0 as (select * replace (length(text) / 1000.0 as score) from kw where length(text) > 0), lb as (select *, row_number() over (order by score desc, confidence desc, created_at_ms desc, id) as rank from lb0 qualify rank <= 1000), fused as (select id, sum(1 / (60.0 + rank)) as rrf, max(score) as raw, max(confidence) as confidence, max(created_at_ms) as created_at_ms from (select id, rank, score, confidence, created_at_ms from la union all select id, rank, score, confidence, created_at_ms from lb) group by id)"
+_LISTS = f"{_KW}, la as (select *, row_number() over (order by score desc, confidence desc, created_at_ms desc, id) as rank from kw where score > 0 qualify rank <= 1000), lb0 as (select * replace (vec as score) from kw where vec > 0), lb as (select *, row_number() over (order by score desc, confidence desc, created_at_ms desc, id) as rank from lb0 qualify rank <= 1000), fused as (select id, sum(1 / (60.0 + rank)) as rrf, max(score) as raw, max(confidence) as confidence, max(created_at_ms) as created_at_ms from (select id, rank, score, confidence, created_at_ms from la union all select id, rank, score, confidence, created_at_ms from lb) group by id)"
 _WITH = sql("sources", "").rstrip() + ", " + _LISTS + " "
 O["rrf_fusion"] = _WITH + "select id, round(rrf, 9) as score, round(confidence, 6) as confidence, created_at_ms from fused"
 
@@ -171,7 +197,7 @@ O["fused_search"] = _WITH.rstrip() + f", {_FS} select id, round(score, 6) as sco
 
 
 def hybrid_merge(spark, d):
-    """Vector scores (here of length) by maximum, keyword scores over their maximum, weighted; missing is 0."""
+    """Vector scores by maximum, keyword scores over their maximum, weighted; missing is 0."""
     a, b = _lists(spark, d)
     top = a.agg(F.max("score").alias("top"))
     kw = a.join(F.broadcast(top)).select("id", (F.col("score") / F.col("top")).alias("kw"), F.lit(0.0).alias("vec"))
@@ -247,16 +273,47 @@ def diversify(spark, d):
     return greedy.diversify(top, 20).select("id", "place", F.round("adjusted", 6).alias("score"))
 
 
+def finalized(spark, d, windows: L.Windows = PAGE, session: str = "sess_1", least: float = 0.01) -> DataFrame:
+    """Results of the channels that the query's plan asks for, up to diversification: fused by identity, of open sessions, relevant, decayed, boosted, in order."""
+    q = L.plan(QUERY, has_vectors=True)
+    lists = _channels(scored(spark, d), windows.candidates, q.use_keyword, q.use_vector)
+    fused = staged(spark, fused_score(fuse(lists), len(lists)), "fused")
+    kept = fused.join(scored_extras(lists), "id").where(~F.col("scope").startswith("session:") | (F.col("scope") == f"session:{session}"))
+    kept = kept.where(~F.isnan("score") & (F.col("score") >= least))
+    return kept.withColumn("score", L.temporal_decay(F.col("score"), F.col("created_at_ms"), F.lit(NOW)) + F.col("boost")).orderBy(*_best_first()).limit(windows.candidates)
+
+
+def scored_extras(lists: list[DataFrame]) -> DataFrame:
+    out = lists[0].select("id", "key", "type", "scope", "boost")
+    for x in lists[1:]:
+        out = out.unionByName(x.select("id", "key", "type", "scope", "boost"))
+    return out.dropDuplicates(["id"])
+
+
 def search_pipeline(spark, d):
-    """Keyword and length channels, fused, thresholded, decayed, boosted, ordered and paged."""
-    q = L.plan(QUERY)
-    lists = list(_lists(spark, d)) if q.use_keyword else [_lists(spark, d)[1]]
-    s = fused_score(fuse(lists), len(lists)).join(S.sources(spark, d).select("id", "text"), "id")
-    s = s.where("not isnan(score) and score >= 0.01").withColumn("score", L.temporal_decay(F.col("score"), F.col("created_at_ms"), F.lit(NOW)) + L.exact_boost("of the", F.col("id"), F.col("text")))
-    return s.orderBy(*_best_first()).offset(0).limit(50).select("id", F.round("score", 6).alias("score"))
+    """A page of the search without diversification."""
+    return finalized(spark, d).orderBy(*_best_first()).offset(PAGE.offset).limit(PAGE.page).select("id", F.round("score", 6).alias("score"))
+
 
+_W = PAGE.candidates
+_FIN = f"""la2 as (select * from la where rank <= {_W}), lb2 as (select * from lb where rank <= {_W}), f2 as (select id, sum(1 / (60.0 + rank)) as rrf, max(score) as raw, max(confidence) as confidence, max(created_at_ms) as created_at_ms from (select id, rank, score, confidence, created_at_ms from la2 union all select id, rank, score, confidence, created_at_ms from lb2) group by id),
+fs2 as (select *, ({RRF_WEIGHT} * rrf / (2 / 61.0) + {RAW_WEIGHT} * raw / max(raw) over ()) / 1.0 as score from f2),
+fin as (select fs2.id, fs2.confidence, fs2.created_at_ms, fs2.score * pow(0.5, ({NOW} - fs2.created_at_ms) / 86400000.0 / 30.0) + boost as score from fs2 join kw using (id) where fs2.score >= 0.01 and (not starts_with(scope, 'session:') or scope = 'session:sess_1'))"""
+O["search_pipeline"] = _WITH.rstrip() + f", {_FIN} select id, round(score, 6) as score from fin order by fin.score desc, confidence desc, created_at_ms desc, id limit 50"
 
-O["search_pipeline"] = _WITH.rstrip() + f", {_FS}, fin as (select fs.id, confidence, fs.created_at_ms, score * pow(0.5, ({NOW} - fs.created_at_ms) / 86400000.0 / 30.0) + case when contains(lower(text), 'of the') then 0.35 else 0 end as score from fs join sources using (id) where score >= 0.01) select id, round(score, 6) as score from fin order by fin.score desc, confidence desc, created_at_ms desc, id limit 50"
+
+def search_diversified(spark, d, provider: str = "local-deterministic"):
+    """A page of the search, diversified: by vectors if the query's own come from the local provider, by words and types otherwise."""
+    rows = finalized(spark, d)
+    if provider == "local-deterministic":
+        vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+        q = [float(x) for x in vectors.where(F.col("vec_id") == ASKED).select("embedding").first()["embedding"]]
+        rows = rows.join(vectors.select(F.col("vec_id").alias("key"), "embedding"), "key", "left").select(F.lit(1).alias("q"), "id", "score", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"))
+        done = greedy.mmr(rows, q, PAGE.offset + PAGE.page)
+    else:
+        texts = S.sources(spark, d).select("id", "text")
+        done = greedy.diversify(rows.join(texts, "id").select(F.lit(1).alias("q"), "id", "score", "text", "type"), PAGE.offset + PAGE.page)
+    return done.where(F.col("place") > PAGE.offset).select("id", "place", F.round("adjusted", 6).alias("score"))
 
 
 def memories(spark, d):
@@ -303,14 +360,23 @@ def bm25_search(spark, d):
 O["bm25_search"] = sql("sources", "").rstrip() + f", w as (select id, regexp_extract_all({_T}, '[a-z]+') as w from sources), n as (select id, len(w) as n from w), p as (select id, term, count(*) as tf from (select id, unnest(w) as term from w) where term in ({', '.join(repr(t) for t in TERMS)}) group by 1, 2), df as (select term, count(*) as df from p group by 1), st as (select count(*) as docs, avg(n) as mean from n) select p.id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score from p join df using (term) join n using (id), st group by p.id"
 
 
-def holographic_search(spark, d):
-    """Postings candidates, then lexical score and trust."""
-    m = memories(spark, d)
-    hit = L.folded(F.col("content")).rlike("|".join(WORDS))
-    return m.where(hit).select("key", "session_id", F.round(L.score(QUERY, F.col("content")) + F.col("trust"), 6).alias("score")).orderBy(F.desc("score"), "key", "session_id").limit(100)
+HOLOGRAPHIC_WORDS = re.findall(r"[A-Za-z0-9_]+", QUERY)
 
 
-O["holographic_search"] = sql("messages", "").rstrip() + f", {_MEM} select key, session_id, round({_lex_sql('content')} + trust, 6) as score from mem where regexp_matches(translate(content, '{L.UPPER}', '{L.LOWER}'), '{'|'.join(WORDS)}') order by score desc, key, session_id limit 100"
+def holographic_search(spark, d, limit: int = 100):
+    """The best candidates by BM25 (20 times the limit, 5000 at most, of equal ones the more trusted and later), then lexical score, trust and half the cosine of signatures."""
+    m = memories(spark, d).withColumn("trust", F.lit(0.5) + F.col("v") * 0.05).withColumn("id", F.concat_ws("|", "session_id", "key"))
+    low = F.lower("content")
+    w = m.select("*", F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)).alias("w"))
+    asked = list(dict.fromkeys(x.lower() for x in HOLOGRAPHIC_WORDS))
+    words = w.select("id", F.size("w").alias("n"), F.filter("w", lambda x: x.isin(asked)).alias("hits"))
+    found = m.join(bm25(words).withColumnRenamed("score", "bm25"), "id")
+    best = found.orderBy(F.desc(F.round("bm25", 9)), F.desc("trust"), F.desc("created_at_ms"), "id").limit(min(20 * limit, 5000))
+    query = V.token_signature_of(QUERY)
+    near = V.token_signatures(best.select("id", "key", "session_id", "content", "trust", "created_at_ms"), ["key", "content"])
+    lex = L.score(QUERY, F.col("key")) + L.score(QUERY, F.col("content"))
+    score = lex + F.col("trust") + 0.5 * V.cosine(F.col("signature"), F.array(*(F.lit(float(x)) for x in query)))
+    return near.withColumn("s", F.round(score, 6)).orderBy(F.desc("s"), F.desc("created_at_ms"), "key", "session_id").limit(limit).select("key", "session_id", F.col("s").alias("score"))
 
 
 def trust_update(spark, d):
@@ -354,5 +420,5 @@ def fan_in_count(spark, d):
 
 O["fan_in_count"] = sql("messages", "").rstrip() + f", {_MEM} select store, count(*) as n from mem group by store"
 
-for _f in (keyword_search, lexical_score, query_analysis, query_expansion, detect_language, extract_keywords, websearch_match, rrf_fusion, fused_search, hybrid_merge, temporal_decay, exact_boost, dedupe_results, choose_representation, rerank_order, search_page, diversify, search_pipeline, agent_memory_search, bm25_search, holographic_search, trust_update, holographic_list, runtime_hits, store_fan_in, fan_in_count):
+for _f in (keyword_search, lexical_score, query_analysis, query_expansion, detect_language, extract_keywords, websearch_match, rrf_fusion, fused_search, hybrid_merge, temporal_decay, exact_boost, dedupe_results, choose_representation, rerank_order, search_page, diversify, search_pipeline, search_diversified, agent_memory_search, bm25_search, holographic_search, trust_update, holographic_list, runtime_hits, store_fan_in, fan_in_count):
     Q[_f.__name__] = _f

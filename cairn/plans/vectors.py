@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cairn.functions import lexical as L
 from cairn.functions import vectors as V
 from cairn.operators import greedy
 from cairn.sources import tables as S
+from cairn.sources.staging import staged
 from cairn.sources.tables import NOW, sql
 
 DIMS = 64
@@ -90,19 +94,68 @@ def lsh_candidates(spark, d):
 O["lsh_candidates"] = f"with {_BANDS}, k as (" + " union all ".join(f"select id, {i} as b, band{i} as v from bands" for i in range(4)) + ") select distinct q.id as query, k.id from k as q join k on q.b = k.b and q.v = k.v where q.id % 20 = 0 and q.id <> k.id"
 
 
+BLOCK_ROWS = 2048
+
+
+def _blocked(df, name: str):
+    """Rows (id, v) packed into blocks of some BLOCK_ROWS, by hash of the id: block number, ids and vectors laid end to end."""
+    n = df.count() // BLOCK_ROWS + 1
+    rows = df.where(F.size("v") == DIMS).groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", V.doubles(F.col("v")).alias("v"))).alias("held"))
+    return rows.select(name, F.col("held.id").alias(f"{name}_ids"), F.flatten("held.v").alias(f"{name}_v"))
+
+
+def nearest(queries, rows, limit: int, within: int | None = None):
+    """(query, id, score): for each query the `limit` rows of highest positive cosine, of those whose signatures differ in at most `within` bits, if
+    that is given. Blocks of queries meet blocks of rows, each pair of blocks in one product, and leave `limit` rows a query."""
+    matrix = V.projection(DIMS).T
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                q, x = (b.column(f"{c}_v")[r].values.to_numpy(zero_copy_only=False).reshape(-1, DIMS) for c in ("q", "x"))
+                qi, xi = (b.column(f"{c}_ids")[r].values.to_numpy() for c in ("q", "x"))
+                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                score = np.where(norm > 0, q @ x.T / np.where(norm > 0, norm, 1), 0.0).clip(0, 1)
+                if within is not None:
+                    same = (q @ matrix >= 0).astype(np.float32) * 2 - 1, (x @ matrix >= 0).astype(np.float32) * 2 - 1
+                    score = np.where((V.BITS - same[0] @ same[1].T) / 2 <= within, score, 0.0)
+                order = np.lexsort((np.broadcast_to(xi, score.shape), -score), axis=1)[:, :limit]
+                top = np.take_along_axis(score, order, 1)
+                ok = top > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, ok.sum(1))), pa.array(xi[order][ok]), pa.array(top[ok])], names=["query", "id", "score"])
+
+    q, x = _blocked(queries, "q"), _blocked(rows, "x")
+    met = q.join(x, F.lit(True)).repartition("q", "x").mapInArrow(run, "query long, id long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+
+
+WITHIN = 16
+
+
 def ann_search(spark, d, limit: int = 10):
-    """Signatures within a Hamming distance, the first candidates by id, then cosine; all vectors if too few are near."""
-    signed = _signed(spark, d)
-    n = signed.count()
-    own = signed.where("id = 0").select("sig").first()["sig"]
-    near = signed.where(F.bit_count(F.col("sig").bitwiseXOR(F.lit(own))) <= (12 if n > 1024 else 16)).orderBy("id").limit(max(limit, 64, 12 * limit)).select("id")
-    scored = _scored(spark, d)
-    picked = scored.join(near, "id", "left_semi") if near.count() >= limit else scored
-    return picked.where("score > 0").orderBy(F.desc("score"), "id").limit(limit).select("id", F.round("score", 6).alias("score"))
+    """For every twentieth vector those nearest: by cosine among all whose signatures are within WITHIN bits, however many; queries with
+    too few of them are asked of all vectors."""
+    rows = vectors(spark, d).select("id", "v")
+    asked = rows.where("id % 20 = 0")
+    near = staged(spark, nearest(asked, rows, limit, WITHIN), "near")
+    enough = near.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query")
+    rest = nearest(asked.join(enough, asked["id"] == enough["query"], "left_anti"), rows, limit)
+    return near.join(enough, "query", "left_semi").unionByName(rest).select("query", "id", F.round("score", 6).alias("score"))
+
+
+_S = f"s as (select vec_id as id, {_E} as v, {_half(range(32, 64))} as high, {_half(range(32))} as low from embeddings)"
+_PAIRS = f"p as (select q.id as query, x.id, {_COS.format(a='q.v', b='x.v')} as score, bit_count(xor(q.high, x.high)) + bit_count(xor(q.low, x.low)) <= {WITHIN} as near from s q, s x where q.id % 20 = 0)"
+O["ann_search"] = f"with {_S}, {_PAIRS}, e as (select query from p where near and p.score > 0 group by query having count(*) >= 10) select query, id, round(score, 6) as score from p where p.score > 0 and (near or query not in (select query from e)) qualify row_number() over (partition by query order by p.score desc, id) <= 10"
 
 
-_PLANES = "bit_count(xor(high, (select high from s where id = 0))) + bit_count(xor(low, (select low from s where id = 0)))"
-O["ann_search"] = f"with {_SC}, s as ({O['simhash']}), near as (select id from s where {_PLANES} <= case when (select count(*) from s) > 1024 then 12 else 16 end order by id limit 120) select id, round(score, 6) as score from sc where sc.score > 0 and (id in (select id from near) or (select count(*) from near) < 10) order by sc.score desc, id limit 10"
+def vector_min_score(spark, d):
+    """Rows whose score a least score admits, by three least scores; none asked, all pass."""
+    s = _scored(spark, d)
+    return s.agg(*(F.count_if(L.vector_score_allowed(F.col("score"), least)).alias(name) for name, least in (("any", 0.0), ("some", 0.1), ("few", 0.3))))
+
+
+O["vector_min_score"] = f"with {_SC} select count(*) as \"any\", count(*) filter (where score >= 0.1) as some, count(*) filter (where score >= 0.3) as few from sc"
 
 
 def embedding_parse(spark, d):
@@ -112,7 +165,7 @@ def embedding_parse(spark, d):
     return text.select("id", F.size(back).cast("long").alias("n"), F.forall(back, lambda x: ~F.isnan(x)).alias("finite"), F.round(F.element_at(back, 1).cast("double"), 5).alias("first"))
 
 
-O["embedding_parse"] = "select vec_id as id, len(embedding) as n, true as finite, round(embedding[1]::double, 5) as first from embeddings"
+O["embedding_parse"] = "select vec_id as id, len(embedding) as n, len(list_filter(embedding, lambda x: isnan(x))) = 0 as finite, round(embedding[1]::double, 5) as first from embeddings"
 
 
 def chunk_id_codec(spark, d):
@@ -133,15 +186,20 @@ def vector_text(spark, d):
 O["vector_text"] = sql("atoms", "select id, concat_ws(chr(10), subject, predicate, object, text) as text from atoms")
 
 
-def semantic_cache(spark, d):
-    """The best fresh answer of the same provider whose cosine reaches 0.82; of equals the later wins."""
-    c = _scored(spark, d, 1).withColumn("created", F.lit(NOW) - F.col("id") * 1000).withColumn("ttl", F.when(F.col("id") % 3 == 0, 0).otherwise(400000)).where("label % 2 = 1 or label = 0")
+CACHE_LEAST = 0.82
+
+
+def semantic_cache(spark, d, least: float = CACHE_LEAST):
+    """The best fresh answer of the same provider whose cosine reaches the least score; of equals the later wins. The query is a cached vector with one part changed."""
+    q = F.array(*(F.lit(x + (0.05 if i == 0 else 0.0)) for i, x in enumerate(_query(spark, d, 1))))
+    c = vectors(spark, d).select("id", "label", V.cosine(F.col("v"), q).alias("score")).withColumn("created", F.lit(NOW) - F.col("id") * 1000).withColumn("ttl", F.when(F.col("id") % 3 == 0, 0).otherwise(400000)).where("label % 2 = 1 or label = 0")
     fresh = (F.col("ttl") <= 0) | (F.lit(NOW) <= F.col("created") + F.col("ttl"))
-    return c.where(fresh & (F.col("score") >= 0.3)).orderBy(F.desc("score"), F.desc("created")).limit(1).select("id", F.round("score", 6).alias("score"))
+    return c.where(fresh & L.vector_score_allowed(F.col("score"), least)).orderBy(F.desc("score"), F.desc("created")).limit(1).select("id", F.round("score", 6).alias("score"))
 
 
-_SC1 = _SC.replace("vec_id = 0", "vec_id = 1")
-O["semantic_cache"] = f"with {_SC1} select id, round(score, 6) as score from sc where (label % 2 = 1 or label = 0) and (id % 3 = 0 or {NOW} <= {NOW} - id * 1000 + 400000) and sc.score >= 0.3 order by sc.score desc, id limit 1"
+_Q1 = "(select list_prepend(embedding[1]::double + 0.05, embedding[2:]::double[]) from embeddings where vec_id = 1)"
+_SC1 = f"sc as (select vec_id as id, label, {_COS.format(a=_E, b=_Q1)} as score from embeddings)"
+O["semantic_cache"] = f"with {_SC1} select id, round(score, 6) as score from sc where (label % 2 = 1 or label = 0) and (id % 3 = 0 or {NOW} <= {NOW} - id * 1000 + 400000) and sc.score >= {CACHE_LEAST} order by sc.score desc, id limit 1"
 
 
 def vector_orphans(spark, d):
@@ -185,5 +243,5 @@ def hash_embedding(spark, d, dims: int = 64):
     return S.sources(spark, d).select("id", "text").mapInArrow(run, "id string, v array<double>").select("id", F.round(F.array_max("v"), 6).alias("top"), F.size("v").alias("dims"))
 
 
-for _f in (cosine_similarity, vector_topk, vector_normalize, simhash, simhash_bands, lsh_candidates, ann_search, embedding_parse, chunk_id_codec, vector_text, semantic_cache, vector_orphans, vector_reconcile, mmr, hash_embedding):
+for _f in (cosine_similarity, vector_topk, vector_normalize, simhash, simhash_bands, lsh_candidates, ann_search, vector_min_score, embedding_parse, chunk_id_codec, vector_text, semantic_cache, vector_orphans, vector_reconcile, mmr, hash_embedding):
     Q[_f.__name__] = _f
