@@ -381,4 +381,30 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, counts, tree(counts), training.select("doc_id").count())
 
 
-QUERIES = {"op9_lm_score": op9_lm_score}
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base score and its counts alone, which SQL can say."""
+    return op9_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def _crc_table() -> str:
+    """The table of CRC-32 as a list in SQL, by its rule."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(str(x))
+    return f"[{', '.join(out)}]::bigint[]"
+
+
+QUERIES = {"op9_lm_score": op9_lm_score, "lm_base": lm_base}
+ORACLE_SQL = {
+    "lm_base": f"""
+with tab as (select {_crc_table()} as tab),
+d as (select row_number() over () as r, doc_id, coalesce(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(tab[(xor(c, b) & 255)::int + 1], c >> 8)), 4294967295) % 7 = 2, false) as held_out,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents, tab),
+t as (select r, held_out, unnest(list_append(w, chr(0) || 'end')) as w from d),
+c as (select w, count(*) as c from t where not held_out group by w),
+s as (select sum(c)::bigint as n, count(*) as v from c)
+select doc_id, d.held_out, x.n_tokens, x.n_known, n as train_tokens, round(x.logs - x.n_tokens * log10(n + v + 1), 4) as base_score
+from d join (select r, count(*) as n_tokens, count(c) as n_known, sum(log10(coalesce(c, 0) + 1)) as logs from t left join c using (w) group by r) as x using (r), s"""
+}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import textops as T
-from cairn.llm.common import staged, table
+from cairn.llm.common import BROADCAST_ROWS, staged, table
 
 FINE = 12  # bits of the rank that each refinement looks at
 UNIT = 50  # bits of the rank
@@ -113,7 +113,7 @@ def expected(bands: DataFrame, srcs: DataFrame, most: float, lean: float) -> Dat
     return own.select("source", "band", "words", "whole", (F.col("e") - F.col("whole")).alias("p"))
 
 
-def mix(docs: DataFrame, most: float = 3.0, lean: float = 0.5, seed: int = 5, rounds: int = 4, key: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, most: float = 3.0, lean: float = 0.5, seed: int = 5, rounds: int = 3, key: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, source, text): size, source_size, target, taken. `key` names a column of unique numbers from
     monotonically_increasing_id in a written table, which is then carried along."""
     spark = docs.sparkSession
@@ -126,11 +126,13 @@ def mix(docs: DataFrame, most: float = 3.0, lean: float = 0.5, seed: int = 5, ro
     target = F.least(F.lit(most) * F.col("source_size"), F.col("weight") * F.lit(water_level(srcs, most)))
     srcs = srcs.select("source", "source_size", target.alias("target"))
     plan = staged(spark, expected(bands, srcs, most, lean), "plan")
+    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # tables of one row a source or band: broadcast, so that a hot source is no task's alone
+    near = F.broadcast if few else lambda df: df
 
     sure = plan.groupBy(F.col("source").alias("w_source")).agg(F.sum(F.col("whole") * F.col("words")).alias("sure"))
     state = srcs.join(sure, srcs["source"].eqNullSafe(F.col("w_source")), "left").select("source", F.lit(-1).cast("long").alias("lo"), (F.col("target") - F.coalesce("sure", F.lit(0))).alias("gap"))
     of_band = plan.select(F.col("source").alias("b_source"), F.col("band").alias("b_band"), "whole", "p")
-    named = rows.join(of_band, rows["source"].eqNullSafe(F.col("b_source")) & (rows["band"] == F.col("b_band")), "left")
+    named = rows.join(near(of_band), rows["source"].eqNullSafe(F.col("b_source")) & (rows["band"] == F.col("b_band")), "left")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "nth"), 64 - UNIT) + 0.5) / float(1 << UNIT)
     odds = F.log(u / (1 - u)) - F.log(F.col("p") / (1 - F.col("p")))  # the rank, as a logarithm
     place = F.greatest(F.lit(0), F.least(F.lit((1 << UNIT) - 1), F.floor((odds + SPAN) * float((1 << UNIT) // (2 * SPAN))))).cast("long")
@@ -140,16 +142,16 @@ def mix(docs: DataFrame, most: float = 3.0, lean: float = 0.5, seed: int = 5, ro
 
     passes = []
     for _ in range(rounds):
-        passes.append(staged(spark, _round(able, state), "round"))
+        passes.append(staged(spark, _round(able, state, near), "round"))
         state = passes[-1].select("source", F.col("hi").alias("lo"), F.col("left").alias("gap"))
     took = passes[0].select("source", "lo", "hi", "most")
     for x in passes[1:]:
         took = took.unionByName(x.select("source", "lo", "hi", "most"))
     took = took.groupBy(F.col("source").alias("t_source")).agg(F.collect_list(F.struct("lo", "hi", "most")).alias("took"))  # one a pass
-    took = staged(spark, _closest(able, state, took), "took")
+    took = staged(spark, _closest(able, state, took, near), "took")
     both = srcs.join(took, srcs["source"].eqNullSafe(F.col("t_source"))).select(F.col("source").alias("p_source"), "source_size", "target", "took")
     drawn = F.coalesce(_drawn("took"), F.lit(False))
-    out = ranked.join(both, ranked["source"].eqNullSafe(F.col("p_source")))
+    out = ranked.join(near(both), ranked["source"].eqNullSafe(F.col("p_source")))
     return out.select(*([F.col("row").alias(key)] if key else []), "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + drawn.cast("long"))).alias("taken"))
 
 
@@ -157,17 +159,17 @@ def _at(state: DataFrame) -> DataFrame:
     return state.select(F.col("source").alias("p_source"), F.col("lo").alias("p_lo"), F.col("gap").alias("p_gap"))
 
 
-def _round(able: DataFrame, state: DataFrame) -> DataFrame:
+def _round(able: DataFrame, state: DataFrame, near) -> DataFrame:
     """One pass: from `lo` on, the documents of at most `gap` words (`most`) in order of rank, as long as they fit together: up to the rank `hi`, with `left` words still missing."""
-    live = able.join(_at(state), able["source"].eqNullSafe(F.col("p_source"))).where("rank > p_lo and size <= p_gap").select("source", "size", "rank")
+    live = able.join(near(_at(state)), able["source"].eqNullSafe(F.col("p_source"))).where("rank > p_lo and size <= p_gap").select("source", "size", "rank")
     at = state.select("source", F.col("gap").alias("need"), F.lit(0).cast("long").alias("prefix"))
     for level in (1, 2):
-        bins = live.join(_named(at), _same(live, level - 1)).groupBy("source", F.shiftright("rank", UNIT - FINE * level).alias("bin"), "p_need").agg(F.sum("size").alias("n"))
+        bins = live.join(near(_named(at)), _same(live, level - 1)).groupBy("source", F.shiftright("rank", UNIT - FINE * level).alias("bin"), "p_need").agg(F.sum("size").alias("n"))
         upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bin")))  # 2**FINE rows a source at most
         if level == 1:
             whole = upto.groupBy(F.col("source").alias("a_source")).agg(F.max("upto").alias("all"))
         at = upto.where("upto > p_need").groupBy("source").agg(F.min(F.struct("bin", (F.col("p_need") - F.col("upto") + F.col("n")).alias("left"))).alias("x")).select("source", F.col("x.left").alias("need"), F.col("x.bin").alias("prefix"))
-    last = live.join(_named(at), _same(live, 2)).groupBy("source", "rank", "p_need").agg(F.sum("size").alias("n"))  # what shares 2 * FINE bits of the rank
+    last = live.join(near(_named(at)), _same(live, 2)).groupBy("source", "rank", "p_need").agg(F.sum("size").alias("n"))  # what shares 2 * FINE bits of the rank
     fits = last.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("rank"))).where("upto <= p_need").groupBy("source").agg(F.max(F.struct("rank", (F.col("p_need") - F.col("upto")).alias("gap"))).alias("x"))
     fits = fits.select(F.col("source").alias("f_source"), F.col("x.rank").alias("f_rank"), F.col("x.gap").alias("f_gap"))
     ends = at.join(fits, F.col("source").eqNullSafe(F.col("f_source")), "left").select(
@@ -184,10 +186,10 @@ def _drawn(took: str) -> Column:
     return F.exists(took, lambda x: (F.col("rank") > x["lo"]) & (F.col("rank") <= x["hi"]) & (F.col("size") <= x["most"]))
 
 
-def _closest(able: DataFrame, state: DataFrame, took: DataFrame) -> DataFrame:
+def _closest(able: DataFrame, state: DataFrame, took: DataFrame, near) -> DataFrame:
     """took with the first document in rank that was not drawn and brings its source closer to the target."""
     here = state.join(took, state["source"].eqNullSafe(F.col("t_source"))).select(F.col("source").alias("p_source"), "gap", "took")
-    late = able.join(here, able["source"].eqNullSafe(F.col("p_source"))).where((F.col("size") < 2 * F.col("gap")) & ~_drawn("took"))
+    late = able.join(near(here), able["source"].eqNullSafe(F.col("p_source"))).where((F.col("size") < 2 * F.col("gap")) & ~_drawn("took"))
     found = late.groupBy("source", "rank").agg(F.sum("size").alias("n"), F.first("gap").alias("gap")).where("n < 2 * gap")
     one = found.groupBy(F.col("source").alias("c_source")).agg(F.min("rank").alias("at"))
     one = one.select("c_source", F.array(F.struct((F.col("at") - 1).alias("lo"), F.col("at").alias("hi"), F.lit(float(1 << 62)).alias("most"))).alias("one"))

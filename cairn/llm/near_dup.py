@@ -251,3 +251,18 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_near_dup": op8_near_dup}
+#: all pairs by their common shingles, and components by labels handed on along the links
+ORACLE_SQL = {
+    "op8_near_dup": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(generate_series(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1]) end) as s from d),
+c as (select s, min(doc_id) as rep, len(s) as n from (select doc_id, list_sort(s) as s from s where doc_id is not null and len(s) > 0) group by s),
+x as (select rep, n, hash(unnest(s)) as h from c),
+p as (select a.rep as a, b.rep as b, a.n as an, b.n as bn, count(*) as i from x a join x b on a.h = b.h and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+e as (select a, b from p where 100 * i >= 80 * (an + bn - i)),
+e2 as (select a, b from e union all select b, a from e),
+reach as (select rep as node, rep as root from c union select e2.b, reach.root from reach join e2 on e2.a = reach.node where reach.root < e2.b),
+l as (select node, min(root) as root from reach group by node)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(l.root, s.doc_id) as component_id, s.doc_id is not distinct from coalesce(l.root, s.doc_id) as kept
+from s left join (select list_sort(s) as k, rep from (select s, rep from c)) as k on list_sort(s.s) = k.k and s.doc_id is not null left join l on l.node = k.rep"""
+}

@@ -263,4 +263,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(_said("base"), 256).alias("base_sha256"), _said("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
-QUERIES = {"op6_pii": op6_pii}
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the base formats alone, which SQL can say."""
+    return op6_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in BASE))
+
+
+QUERIES = {"op6_pii": op6_pii, "pii_base_counts": pii_base_counts}
+_LUHN = "list_sum(list_transform(generate_series(1, length(x)), lambda i: case when i % 2 = 1 then substr(reverse(x), i, 1)::int when substr(reverse(x), i, 1)::int > 4 then substr(reverse(x), i, 1)::int * 2 - 9 else substr(reverse(x), i, 1)::int * 2 end)) % 10 = 0"
+ORACLE_SQL = {
+    "pii_base_counts": r"""
+select doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as n_email,
+    len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 or coalesce(nullif(ltrim(y, '0'), ''), '0')::int > 255)) = 0)) as n_ip,
+    len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) between 14 and 19 and """
+    + _LUHN
+    + r""")) as n_card,
+    len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 10 and 15)) as n_phone
+from (select doc_id, coalesce(text, '') as t from documents)"""
+}

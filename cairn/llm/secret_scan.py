@@ -167,4 +167,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(said(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), said("spans").alias("spans"), n("random").alias("n_random"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the base formats alone, which SQL can say."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "secret_counts": secret_counts}
+ORACLE_SQL = {
+    "secret_counts": r"""
+select doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) as n_assign,
+    len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) as n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) as n_hex
+from (select doc_id, coalesce(text, '') as t from documents)"""
+}

@@ -187,7 +187,7 @@ def test_mixing(spark, docs, made, empty):
         odds = lambda x: math.log(x / (1 - x))
         line = sorted((odds(u[s, i, n, k]) - odds(e[k] % 1), i is None, i, n, k) for i, n, k in units[s] if k and 1e-9 < e[k] % 1 < 1 - 1e-9)
         at, drawn = 0, set()
-        for _ in range(4):
+        for _ in range(3):
             lim, last = gap, at
             for j in range(at, len(line)):
                 if line[j][-1] <= lim:
