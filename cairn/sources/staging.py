@@ -5,25 +5,47 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder of spark.checkpoint.dir; one of our own only where a local session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-ckpt-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return str(known.get()).rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are removed at its end: for a result that is written inside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end of the scope around it, or of the session."""
     path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 

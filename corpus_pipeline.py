@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it leaves, with the columns of documents; the last adds
 what the mix takes of each. Every stage works on all that the one before it kept. Null and empty texts have no language and go in the first.
 
-Decisions are met row by row: a stage that joins them back numbers its rows in a written copy first, so rows with null or repeated ids are
+Decisions are met row by row: where ids are null or repeated, a stage that joins decisions back numbers its rows in a written copy first, so such rows are
 judged by their own texts and none is lost. Of rows that share an id and a text one stays.
 """
 
@@ -22,6 +22,7 @@ from cairn.llm.decontaminate import contamination
 from cairn.llm.language_id import held, predict, train
 from cairn.llm.mixing import mix
 from cairn.llm.near_dup import near_duplicates
+from cairn.sources.staging import fresh_path, scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,7 +36,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return staged(spark, docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    """docs with a number for each row: the id where ids are whole and unique, else one given in a written copy."""
+    own = docs.select(*COLUMNS)
+    odd = own.groupBy(F.col("doc_id").cast("long").alias("row")).agg(F.count("*").alias("n")).where("n > 1 or row is null")
+    if odd.isEmpty():
+        return own.withColumn("row", F.col("doc_id").cast("long"))
+    return staged(spark, own.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,5 +89,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(spark, stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scope(spark):  # what a stage stages goes when its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
