@@ -124,13 +124,15 @@ def mix(docs: DataFrame, most: float = 3.0, lean: float = 0.5, seed: int = 5, ro
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     srcs = staged(spark, weighted(totals), "weighted")
     target = F.least(F.lit(most) * F.col("source_size"), F.col("weight") * F.lit(water_level(srcs, most)))
-    srcs = srcs.select("source", "source_size", target.alias("target"))
+    srcs = staged(spark, srcs.select("source", "source_size", target.alias("target")), "targets")
     plan = staged(spark, expected(bands, srcs, most, lean), "plan")
     few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # tables of one row a source or band: broadcast, so that a hot source is no task's alone
     near = F.broadcast if few else lambda df: df
 
     sure = plan.groupBy(F.col("source").alias("w_source")).agg(F.sum(F.col("whole") * F.col("words")).alias("sure"))
     state = srcs.join(sure, srcs["source"].eqNullSafe(F.col("w_source")), "left").select("source", F.lit(-1).cast("long").alias("lo"), (F.col("target") - F.coalesce("sure", F.lit(0))).alias("gap"))
+    state = staged(spark, state, "state")
+
     of_band = plan.select(F.col("source").alias("b_source"), F.col("band").alias("b_band"), "whole", "p")
     named = rows.join(near(of_band), rows["source"].eqNullSafe(F.col("b_source")) & (rows["band"] == F.col("b_band")), "left")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "nth"), 64 - UNIT) + 0.5) / float(1 << UNIT)
@@ -161,14 +163,17 @@ def _at(state: DataFrame) -> DataFrame:
 
 def _round(able: DataFrame, state: DataFrame, near) -> DataFrame:
     """One pass: from `lo` on, the documents of at most `gap` words (`most`) in order of rank, as long as they fit together: up to the rank `hi`, with `left` words still missing."""
+    spark = able.sparkSession
     live = able.join(near(_at(state)), able["source"].eqNullSafe(F.col("p_source"))).where("rank > p_lo and size <= p_gap").select("source", "size", "rank")
     at = state.select("source", F.col("gap").alias("need"), F.lit(0).cast("long").alias("prefix"))
     for level in (1, 2):
         bins = live.join(near(_named(at)), _same(live, level - 1)).groupBy("source", F.shiftright("rank", UNIT - FINE * level).alias("bin"), "p_need").agg(F.sum("size").alias("n"))
         upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bin")))  # 2**FINE rows a source at most
+        beyond = F.when(F.col("upto") > F.col("p_need"), F.struct("bin", (F.col("p_need") - F.col("upto") + F.col("n")).alias("left")))
+        found = staged(spark, upto.groupBy("source").agg(F.min(beyond).alias("x"), F.max("upto").alias("all")), "found")
         if level == 1:
-            whole = upto.groupBy(F.col("source").alias("a_source")).agg(F.max("upto").alias("all"))
-        at = upto.where("upto > p_need").groupBy("source").agg(F.min(F.struct("bin", (F.col("p_need") - F.col("upto") + F.col("n")).alias("left"))).alias("x")).select("source", F.col("x.left").alias("need"), F.col("x.bin").alias("prefix"))
+            whole = found.select(F.col("source").alias("a_source"), "all")
+        at = found.where("x is not null").select("source", F.col("x.left").alias("need"), F.col("x.bin").alias("prefix"))
     last = live.join(near(_named(at)), _same(live, 2)).groupBy("source", "rank", "p_need").agg(F.sum("size").alias("n"))  # what shares 2 * FINE bits of the rank
     fits = last.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("rank"))).where("upto <= p_need").groupBy("source").agg(F.max(F.struct("rank", (F.col("p_need") - F.col("upto")).alias("gap"))).alias("x"))
     fits = fits.select(F.col("source").alias("f_source"), F.col("x.rank").alias("f_rank"), F.col("x.gap").alias("f_gap"))
