@@ -23,7 +23,7 @@ O["stream_dedupe"] = sql("feed", "select dedupe_key, 1 as n from feed group by 1
 
 
 def stream_last_writers(spark, d):
-    got = FS.run_once(spark, FS.last_writers(FS.feed(spark, _path(d))), "writers")
+    got = FS.run_once(spark, FS.last_writers(FS.feed(spark, _path(d))), "writers", "update")
     return got.groupBy("object_id").agg(F.max_by("id", F.struct("ts_ms", "id")).alias("id"))
 
 

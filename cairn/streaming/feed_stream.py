@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairn.sources.formats import append_missing
 from cairn.sources.staging import fresh_path
@@ -36,32 +32,21 @@ def counts(stream: DataFrame, width: str = "1 day", late: str = "30 days") -> Da
 
 
 def last_writers(stream: DataFrame) -> DataFrame:
-    """Per key the write that is last by (time, origin, sequence, id), whatever order writes arrive in; a row for each change."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = tuple(state.get) if state.exists else None
-        before = best
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                seen = (int(r.ts_ms), r.origin, int(r.sequence), int(r.id), r.event_type)
-                best = seen if best is None or seen > best else best
-        if best != before:
-            state.update(best)
-            yield pd.DataFrame({"object_id": [key[0]], "id": [best[3]], "event_type": [best[4]], "ts_ms": [best[0]]})
-
-    writes = stream.where("event_type like 'agent_memory.%'").select("object_id", "ts_ms", "origin", "sequence", "id", "event_type")
-    return writes.groupBy("object_id").applyInPandasWithState(update, "object_id string, id long, event_type string, ts_ms long", "ts_ms long, origin string, sequence long, id long, event_type string", "append", GroupStateTimeout.NoTimeout)
+    """Per key the write that is last by (time, origin, sequence, id), whatever order writes arrive in; in update mode a row for each change. The state is
+    one row a key, kept and combined in the JVM; it ends with the key space, which deletions do not shrink."""
+    writes = stream.where("event_type like 'agent_memory.%'")
+    last = F.max_by(F.struct("id", "event_type", "ts_ms"), F.struct("ts_ms", "origin", "sequence", "id"))
+    return writes.groupBy("object_id").agg(last.alias("x")).select("object_id", "x.id", "x.event_type", "x.ts_ms")
 
 
 def run_once(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it wrote."""
     out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
-    write = lambda df, _: df.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
-def export(spark: SparkSession, stream: DataFrame, path: str, keys: tuple[str, ...] = ("id",)) -> None:
-    """Append what the table at path has not got, batch by batch; replays write nothing twice."""
-    checkpoint = fresh_path(spark, "export-checkpoint")
+def export(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("id",)) -> None:
+    """Append what the table at path has not got, batch by batch, from where the checkpoint ends; replays write nothing twice."""
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_missing(spark, df, path, keys) and None).trigger(availableNow=True).start().awaitTermination()

@@ -78,7 +78,7 @@ def test_atoms(spark, line, want):
     assert (got and got["predicate"]) == want
 
 
-@pytest.mark.parametrize("line, want", [("Gate depends on Harbour", "depends_on"), ("Relation: NP-42 -> implements -> ADR-7", "implements"), ("Decision: a -> b", None), ("ab -> cd", "related_to")])
+@pytest.mark.parametrize("line, want", [("Gate depends on Harbour", "depends_on"), ("Relation: WORK-42 -> implements -> ADR-7", "implements"), ("Decision: a -> b", None), ("ab -> cd", "related_to")])
 def test_relations(spark, line, want):
     got = X.relations(spark.createDataFrame([(line,)], "line string")).first()
     assert (got and got["relation"]["type"]) == want
@@ -140,8 +140,8 @@ def test_stream_export(spark, tmp_path):
     from cairn.streaming import feed_stream as FS
 
     out = str(tmp_path / "export")
-    for _ in range(2):
-        FS.export(spark, FS.feed(spark, "/root/testdata/sf0.001/events.parque[t]"), out)
+    for point in ("a", "a", "b"):  # goes on, and replays from the start
+        FS.export(spark, FS.feed(spark, "/root/testdata/sf0.001/events.parque[t]"), out, str(tmp_path / point))
     assert spark.read.parquet(out).count() == 1000
 
 
@@ -171,3 +171,80 @@ def test_sinks(spark, tmp_path):
     assert sorted(p.read_text() for p in tmp_path.iterdir()) == ["a|owns|b", "c|uses|d"]
     chunk = spark.createDataFrame([("source", "s1", 2, "t", [0.5])], "object_type string, object_id string, ordinal int, text string, embedding array<float>")
     assert sinks.vector_upserts(chunk).first()["key"] == "vec:6:source:s1:2"
+
+
+def test_identifiers():
+    assert L.identifier_expansion("WORK-42") == (["ticket"], ["work-42", "ticket", "issue", "task"])
+    assert L.identifier_expansion("see HTTPServer2, team:searchIndex") == (["entity_lookup", "scoped_lookup"], ["http", "server", "team", "search", "index"])
+    assert L.identifier_expansion("src/main") == (["repository"], ["repo", "repository", "src", "main"]) and L.identifier_expansion("plain words") == ([], [])
+    assert L.normalized_terms(["(Ab)", "aB", "x", "y" * 81]) == ["ab"] and len(L.normalized_terms([f"t{i}" for i in range(100)])) == 64
+
+
+def test_windows():
+    assert L.Windows(50).candidates == 200 and L.Windows(50, use_mmr=False).candidates == 50 and L.Windows(0).candidates == 0 == L.Windows(0).reranked
+    assert L.Windows(10, 990).candidates == 1000 and L.Windows(5, use_mmr=False, rerank=True).candidates == 24 and L.Windows(600).page == 500
+    assert L.Windows(10, 0).reranked == 24 and L.Windows(10, 100).reranked == 110 and L.saturated(1 << 62, 8) == (1 << 63) - 1
+
+
+def test_token_signature(spark):
+    one_ = V.token_signature_of("alpha alpha", "beta")
+    assert sum(map(abs, one_)) in (1, 3) and V.token_signature_of("ALPHA Alpha beta") == one_ and V.token_signature_of("") == [0] * 32
+    rows = spark.createDataFrame([("alpha alpha", "beta"), (None, "")], "a string, b string")
+    assert [r["signature"] for r in V.token_signatures(rows, ["a", "b"]).collect()] == [one_, [0] * 32]
+
+
+def test_reduced_objects(spark, tmp_path):
+    """Patches folded one by one give what the last writes of leaves give, values and objects replacing each other too."""
+    import json
+
+    from cairn.plans import feed
+
+    patches = [{"k": 1, "o": {"a": 1, "b": {"c": 1}}}, {"o": {"b": 5}}, {"o": {"b": {"d": 2}}, "k": {}}, {"k": {"z": None}}, {"o": {"a": [1, {"x": 2}]}}, {"k": 7}]
+    rows = [(1 + 7 * i, 50, "view", 0.0, json.dumps(p), i) for i, p in enumerate(patches)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, i int")
+    made.select("event_id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, i, 0)").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+
+    def merge(a, b):
+        return a | {k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+    want: dict = {}
+    for r in rows:
+        want = merge(want, json.loads(r[4]) | {"last": {f"n{r[0] % 3}": r[0]}})
+    assert [json.loads(r["state"]) for r in feed.agent_memory_reduce(spark, str(tmp_path)).collect()] == [want]
+
+
+def test_neighbours_by_blocks(spark):
+    """Exact neighbours, and those within some bits, by hand; recall of the index over all queries."""
+    import numpy as np
+
+    from cairn.plans import vectors as P
+
+    r = np.random.default_rng(3)
+    base = r.normal(size=(30, P.DIMS))
+    v = np.concatenate([base + 0.15 * r.normal(size=base.shape) for _ in range(12)])
+    rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = {i: [j for j in np.lexsort((np.arange(len(v)), -np.clip(unit @ unit[i], 0, 1)))[:10]] for i in range(0, len(v), 20)}
+    exact = P.nearest(rows.where("id % 20 = 0"), rows, 10).collect()
+    assert {i: sorted(x["id"] for x in exact if x["query"] == i) for i in best} == {i: sorted(js) for i, js in best.items()}
+    near = P.nearest(rows.where("id % 20 = 0"), rows, 10, P.WITHIN).collect()
+    hit = sum(len({x["id"] for x in near if x["query"] == i} & set(js)) for i, js in best.items())
+    assert hit >= 0.9 * 10 * len(best)
+
+
+def test_diversified_search(spark):
+    """The greedy choices by hand: score less overlap and repeated types; every twentieth of the search's page is still found."""
+    rows = [("a", 1.0, "one two three", "x"), ("b", 0.9, "one two three", "x"), ("c", 0.7, "other words here", "x"), ("d", 0.69, "quite new text", "y")]
+    c = spark.createDataFrame([(1, *r) for r in rows], "q int, id string, score double, text string, type string")
+    got = [(r["id"], r["adjusted"]) for r in greedy.diversify(c, 4).orderBy("place").collect()]
+    left, taken, want = list(rows), [], []
+    while left:
+        value = lambda r: r[1] - 0.35 * max((sum(w in t[2] for w in r[2].split()) / 3 for t in taken), default=0.0) - 0.03 * sum(t[3] == r[3] for t in taken)
+        pick = max(left, key=value)
+        want.append((pick[0], pytest.approx(value(pick))))
+        left.remove(pick)
+        taken.append(pick)
+    assert got == want
+    page = search.search_diversified(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["place"] for r in page) == list(range(1, len(page) + 1)) and len(page) == min(50, search.finalized(spark, "/root/testdata/sf0.001").count())
+    assert {r["id"] for r in search.search_diversified(spark, "/root/testdata/sf0.001", "remote").collect()} <= {r["id"] for r in search.finalized(spark, "/root/testdata/sf0.001").collect()}
