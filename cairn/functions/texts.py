@@ -118,8 +118,12 @@ def framed_sha256(*parts: Column) -> Column:
 HEADING = re.compile(r"^(#{1,6})\s+(.*)$", re.M)
 
 
+MARK = re.compile(rb"^\[(\d{1,2}:\d{2}(?::\d{2})?)\][ \t]*(?:([A-Za-z][^:\n]{0,79}):)?", re.M)
+
+
 def chunk_text(text: str, size: int = 1800, overlap: int = 180) -> list[tuple[int, int, str]]:
-    """(start, end, heading path) of chunks of at most `size` bytes, cut at the best place within the window."""
+    """(start, end, heading path) of chunks of at most `size` bytes, cut at the best place within the window. The path ends with the time and the speaker
+    of the first transcript line of the chunk, where it has one."""
     raw, out, at = text.encode(), [], 0
     marks = [(m.start(), len(m[1]), m[2].strip()) for m in re.finditer(rb"^(#{1,6})[ \t]+(.*)$", raw, re.M)]
     while at < len(raw):
@@ -140,7 +144,9 @@ def chunk_text(text: str, size: int = 1800, overlap: int = 180) -> list[tuple[in
         for pos, level, title in marks:
             if pos <= at:
                 path = {k: v for k, v in path.items() if k < level} | {level: title.decode("utf-8", "replace")}
-        out.append((at, end, " > ".join(path[k] for k in sorted(path))))
+        said = MARK.search(raw, at, end)
+        names = [f"{kind}:{x.decode('utf-8', 'replace')}" for kind, x in zip(("timestamp", "speaker"), said.groups(), strict=True) if x] if said else []
+        out.append((at, end, " > ".join([*(path[k] for k in sorted(path)), *names])))
         if end >= len(raw):
             break
         back = end - overlap if not any(m == end for m, _, _ in marks) else end

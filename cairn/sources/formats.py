@@ -39,6 +39,25 @@ def read_legacy(spark: SparkSession, url: str, table: str, properties: dict[str,
     return spark.read.jdbc(url, table, properties=properties or {})
 
 
+# Tables of older stores, and what their columns are called here.
+LEGACY = {
+    "memories": {"key": "key", "content": "content", "category": "category", "session_id": "session_id", "created_at": "created_at_ms", "updated_at": "updated_at_ms"},
+    "messages": {"session_id": "session_id", "role": "role", "content": "content", "created_at": "created_at_ms"},
+    "kv": {"key": "key", "value": "content"},
+}
+
+
+def legacy_records(rows: DataFrame, table: str, most_bytes: int = 1 << 20) -> DataFrame:
+    """Rows of an older store's table as records: known columns under their names here, times in milliseconds, the kv table as memories of that
+    category. Rows without a key or content, or with more than `most_bytes` of it, keep `refused` with the reason; the caller decides what becomes of them."""
+    names = LEGACY[table]
+    out = rows.select(*((F.col(a) * (1000 if b.endswith("_ms") else 1) if b.endswith("_ms") else F.col(a)).alias(b) for a, b in names.items() if a in rows.columns))
+    out = out.withColumn("category", F.lit("kv")) if table == "kv" else out
+    key = F.col("key") if "key" in out.columns else F.col("session_id")
+    reason = F.when(key.isNull() | (F.length(F.trim(key)) == 0), "no key").when(F.col("content").isNull(), "no content").when(F.octet_length("content") > most_bytes, "too long")
+    return out.withColumn("refused", reason)
+
+
 def append_missing(spark: SparkSession, events: DataFrame, path: str, keys: tuple[str, ...]) -> DataFrame:
     """Append the events whose keys the table at path has not got; returns what was new."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

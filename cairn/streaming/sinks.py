@@ -29,6 +29,16 @@ def deletions(keys: DataFrame) -> DataFrame:
     return keys.select("key", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("payload"))
 
 
+def graph_deletions(relations: DataFrame) -> DataFrame:
+    """Edges to remove; their ends stay."""
+    return deletions(graph_upserts(relations))
+
+
+def resets(namespaces: DataFrame) -> DataFrame:
+    """namespaces (namespace) to empty before they are filled again; each is its own key, so a reset that is written twice is one."""
+    return namespaces.select(F.concat(F.lit("ns:"), "namespace").alias("key"), F.lit("reset").alias("op"), F.lit(None).cast("string").alias("payload"))
+
+
 def write_batch(batch: DataFrame, send: Send, size: int = 500) -> None:
     """Send the rows of each partition in lists of at most `size`, each key and operation once."""
 

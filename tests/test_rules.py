@@ -131,6 +131,12 @@ def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id long, v string")
     S.write_jsonl(df, str(tmp_path / "j"))
     assert sorted(map(tuple, S.read_jsonl(spark, str(tmp_path / "j"), "id long, v string").select("id", "v").collect())) == [(1, "x"), (2, None)]
+    S.write_markdown(spark.createDataFrame([("d1", "decision", "Head", "accepted", "one\ntwo")], "id string, type string, title string, status string, text string"), str(tmp_path / "out"))
+    (page,) = [r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()]
+    assert page.strip() == "---\nid: d1\ntype: decision\nstatus: accepted\n---\n# Head\none\ntwo"
+    old = spark.createDataFrame([("k1", "text", "core", None, 5), (" ", "x", "core", None, 5), ("k2", "y" * 50, "core", "s", 6)], "key string, content string, category string, session_id string, created_at long")
+    assert [(r["created_at_ms"], r["refused"]) for r in S.legacy_records(old, "memories", 20).collect()] == [(5000, None), (5000, "no key"), (6000, "too long")]
+    assert S.legacy_records(spark.createDataFrame([("a", "b")], "key string, value string"), "kv").first().asDict() == {"key": "a", "content": "b", "category": "kv", "refused": None}
     S.append_missing(spark, df, str(tmp_path / "t"), ("id",))
     S.append_missing(spark, df.unionByName(spark.createDataFrame([(3, "z")], "id long, v string")), str(tmp_path / "t"), ("id",))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
@@ -171,6 +177,7 @@ def test_sinks(spark, tmp_path):
     assert sorted(p.read_text() for p in tmp_path.iterdir()) == ["a|owns|b", "c|uses|d"]
     chunk = spark.createDataFrame([("source", "s1", 2, "t", [0.5])], "object_type string, object_id string, ordinal int, text string, embedding array<float>")
     assert sinks.vector_upserts(chunk).first()["key"] == "vec:6:source:s1:2"
+    assert [r["op"] for r in sinks.graph_deletions(relations).collect()] == ["delete"] * 3 and sinks.resets(spark.createDataFrame([("a",)], "namespace string")).first()["key"] == "ns:a"
 
 
 def test_identifiers():
@@ -248,3 +255,22 @@ def test_diversified_search(spark):
     page = search.search_diversified(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["place"] for r in page) == list(range(1, len(page) + 1)) and len(page) == min(50, search.finalized(spark, "/root/testdata/sf0.001").count())
     assert {r["id"] for r in search.search_diversified(spark, "/root/testdata/sf0.001", "remote").collect()} <= {r["id"] for r in search.finalized(spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_transcript_chunks():
+    text = "# Call\n[00:01] Ann: hello\n" + "word " * 500 + "\n[00:02] Bob: end"
+    assert [p for _, _, p in X.chunk_text(text)][0] == "Call > timestamp:00:01 > speaker:Ann"
+
+
+def test_hash_embedding(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    from cairn.plans import vectors as P
+
+    texts = {f"src_{r['doc_id']}": r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in P.hash_embedding(spark, "/root/testdata/sf0.001").collect():
+        c = Counter(zlib.crc32(w.encode()) % 64 for w in texts[r["id"]].lower().split())
+        n = math.sqrt(sum(v * v for v in c.values()))
+        assert r["dims"] == 64 and r["top"] == pytest.approx(max(c.values()) / n if n else 0.0, abs=1e-6)
