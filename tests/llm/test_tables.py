@@ -10,7 +10,7 @@ NAMES = ("documents", "benchmark", "labels", "pages")
 def names():
     from cairn.llm import registry
 
-    return [*registry.queries(), "pipeline"]
+    return [*(n for n in registry.queries() if n.startswith("op")), "pipeline"]
 
 
 def query(name):
