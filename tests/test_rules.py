@@ -274,3 +274,25 @@ def test_hash_embedding(spark):
         c = Counter(zlib.crc32(w.encode()) % 64 for w in texts[r["id"]].lower().split())
         n = math.sqrt(sum(v * v for v in c.values()))
         assert r["dims"] == 64 and r["top"] == pytest.approx(max(c.values()) / n if n else 0.0, abs=1e-6)
+
+
+def test_associative_search(spark):
+    """Candidates, lexical score, trust and signatures by hand."""
+    import math
+    import re
+
+    d = "/root/testdata/sf0.001"
+    asked = {w.lower() for w in re.findall("[A-Za-z0-9_]+", search.QUERY)}
+    words, query, want = L.tokens(search.QUERY), V.token_signature_of(search.QUERY), []
+    for r in search.memories(spark, d).collect():
+        content = r["content"]
+        if not asked & set(re.findall("[a-z0-9_]+", content.lower())):
+            continue
+        lex = sum((w in r["key"].lower()) + (w in content.lower()) for w in words)
+        own = V.token_signature_of(r["key"], content)
+        norm = math.sqrt(sum(x * x for x in own) * sum(x * x for x in query))
+        cos = min(1.0, max(0.0, sum(a * b for a, b in zip(own, query, strict=True)) / norm)) if norm else 0.0
+        want.append((round(lex + 0.5 + 0.05 * r["v"] + 0.5 * cos, 6), r["created_at_ms"], r["key"], r["session_id"]))
+    want = sorted(want, key=lambda x: (-x[0], -x[1], x[2], x[3]))[:100]
+    got = [(r["score"], r["key"], r["session_id"]) for r in search.holographic_search(spark, d).collect()]
+    assert len(got) == len(want) and sorted(got) == [(pytest.approx(s), k, i) for s, _, k, i in sorted(want, key=lambda x: (x[0], x[2], x[3]))]
