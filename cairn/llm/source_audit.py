@@ -62,21 +62,22 @@ def divergence(counts: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RAN
     groups = counts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(size, "lang", "left")
     v = F.coalesce("v", F.lit(0))
     groups = groups.groupBy("lang").agg(F.max(v).alias("v"), F.max(F.coalesce("lang_n", F.lit(0)) + v).alias("lang_d"), F.sort_array(F.collect_list(F.struct("source", (F.coalesce("n", F.lit(0)) + v).alias("d")))).alias("s"))
-    groups = staged(spark, groups.select("lang", "v", "lang_d", F.col("s.source").alias("sources"), F.col("s.d").alias("d"), F.map_from_arrays(F.col("s.source"), F.sequence(F.lit(0), F.size("s") - 1)).alias("place")), "groups")
+    none = F.lit(0).cast("long")
+    groups = groups.select("lang", "v", "lang_d", F.col("s.source").alias("sources"), F.col("s.d").alias("d"), F.map_from_arrays(F.col("s.source"), F.sequence(F.lit(0), F.size("s") - 1)).alias("place"))
+    groups = staged(spark, groups.withColumn("none", F.when(F.col("v") > 0, F.transform("d", lambda d: share(none, d)))), "groups")
 
     # without a hint: groups is a written table of known size, which Spark sends to all tasks only where it is small
-    wide = kept.join(groups, "lang").select("lang", "term", "total", "lang_d", "d", F.map_from_entries(F.transform("in", lambda x: F.struct(F.element_at("place", x["source"]), x["n"]))).alias("n"))
-    none = F.lit(0).cast("long")
-    wide = wide.withColumn("p", F.transform("d", lambda d, i: share(F.coalesce(F.element_at("n", i), none), d))).withColumn("none", F.transform("d", lambda d: share(none, d)))
+    wide = kept.join(groups, "lang").select("lang", "term", "total", "lang_d", "d", "none", F.map_from_entries(F.transform("in", lambda x: F.struct(F.element_at("place", x["source"]), x["n"]))).alias("n"))
+    wide = wide.withColumn("p", F.transform("d", lambda d, i: share(F.coalesce(F.element_at("n", i), none), d)))
     wide = wide.withColumn("has", F.array_sort(F.map_keys("n"))).withColumn("lang_p", share(F.col("total"), F.col("lang_d")))
     every = F.sequence(F.lit(0), F.size("d") - 1)
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"), (gap(F.get("p", a), F.get("p", b)) - gap(F.get("none", a), F.get("none", b))).alias("f"))
     either = lambda a, b: (a != b) & (F.array_contains("has", a) | F.array_contains("has", b))
     made = F.flatten(F.transform(every, lambda a: F.transform(F.filter(F.when(F.array_contains("has", a), every).otherwise(F.col("has")), lambda b: either(a, b)), lambda b: pair(a, b))))
     more = wide.select("lang", F.explode(made).alias("x")).groupBy("lang", "x.a", "x.b").agg(F.sum("x.f").alias("more"))
-    base = groups.select("lang", "v", "sources", "d", F.explode(F.sequence(F.lit(0), F.size("d") - 1)).alias("a"))
+    base = groups.select("lang", "v", "sources", "none", "d", F.explode(F.sequence(F.lit(0), F.size("d") - 1)).alias("a"))
     base = base.select("*", F.explode(F.sequence(F.lit(0), F.size("d") - 1)).alias("b")).where("a <> b")
-    alike = F.when(F.col("v") > 0, F.col("v") * gap(share(none, F.get("d", "a")), share(none, F.get("d", "b")))).otherwise(none)
+    alike = F.when(F.col("v") > 0, F.col("v") * gap(F.get("none", "a"), F.get("none", "b"))).otherwise(none)
     pairs = base.join(more, ["lang", "a", "b"], "left").select("lang", F.get("sources", "a").alias("source"), F.lit("pair").alias("part"), F.get("sources", "b").alias("item"), (alike + F.coalesce("more", none)).alias("value"))
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = pairs.withColumn("rank", ranked)
