@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secret_scan", "html_extract", "language_id", "decontaminate", "mixing", "pii", "quality_rules", "near_dup", "lm_score", "quality_model", "token_shards", "repair", "source_audit")
+MODULES = ("secret_scan", "html_extract", "language_id", "decontaminate", "mixing", "pii", "quality_rules", "near_dup", "lm_score", "quality_model", "repair", "source_audit")
 
 
 def queries() -> dict:
