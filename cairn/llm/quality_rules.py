@@ -1,10 +1,10 @@
 """Quality rules by host: failures aggregated by domain, rates shrunk by an empirical beta prior, verdicts joined back.
 
 Each text is measured alone (`measure`). A document fails the rules if it fails the base rule or one of the share rules below. A host's failure
-rate has a beta posterior under a prior fitted to all hosts by moments; its lower credible bound (`z` deviations below the mean) is the
-host's verdict, which stands as the prior odds that a document of it is bad. A document's own rules multiply these odds by `fails` or by
-`passes`; it is kept if it passes the base rule and its odds are at most even. So all of a host goes whose rate is surely above
-1 / (1 + passes), and a document that fails a share rule goes unless its host's rate is surely low or little is known of it.
+rate has a beta posterior under a prior fitted to all hosts by moments. Its mean's odds, as a multiple of those of all documents (`host_odds`, within ODDS), are what the host
+says of its documents: they scale the shares that these are judged by. So a document somewhat above a limit stays on a host that fails less often than others, and one
+somewhat below goes on a host that fails more often; a host of the common rate leaves the limits as they are. A host whose rate is surely (its lower
+credible bound, `z` deviations below the mean) above `host_bad` goes whole. Documents that fail the base rule go on every host.
 
 Null and empty texts have no words, so they fail the base rule. Rows are judged one by one (equal rows get
 equal rows back); a null host is a host of its own; other columns are ignored; an empty table gives none.
@@ -23,8 +23,8 @@ from cairn.llm import textops as T
 from cairn.llm.common import staged, table
 
 MEASURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
-#: limits of the share rules; deviations of the lower bound; what a failed and a passed rule say of a document
-SYMBOL_SHARE, DUP_LINE_SHARE, Z, FAILS, PASSES = 0.2, 0.3, 1.28, 50.0, 0.5
+#: limits of the share rules; deviations of the lower bound; the rate from which a host goes whole; what a host's odds may scale the limits by
+SYMBOL_SHARE, DUP_LINE_SHARE, Z, HOST_BAD, ODDS = 0.2, 0.3, 1.28, 0.5, (0.5, 4.0)
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
 
@@ -79,19 +79,21 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measure, MEASURES)
 
 
-def judge(measures: DataFrame, symbol_share: float = SYMBOL_SHARE, dup_line_share: float = DUP_LINE_SHARE, z: float = Z, fails: float = FAILS, passes: float = PASSES) -> DataFrame:
-    """measures with base_failed, failed, host_rate (posterior mean), host_low (its lower bound) and kept; measures is read twice, so it should be a written table."""
+def judge(measures: DataFrame, symbol_share: float = SYMBOL_SHARE, dup_line_share: float = DUP_LINE_SHARE, z: float = Z, host_bad: float = HOST_BAD, odds: tuple[float, float] = ODDS) -> DataFrame:
+    """measures with base_failed, failed, host_rate (posterior mean), host_low (its lower bound), host_odds and kept; measures is read twice, so it should be a written table."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    m = measures.withColumn("base_failed", base).withColumn("failed", base | (F.col("n_symbols") > symbol_share * F.col("word_chars")) | (F.col("n_dup_lines") > dup_line_share * F.col("n_lines")))
+    over = lambda scale: (F.col("n_symbols") * scale > symbol_share * F.col("word_chars")) | (F.col("n_dup_lines") * scale > dup_line_share * F.col("n_lines"))
+    m = measures.withColumn("base_failed", base).withColumn("failed", base | over(F.lit(1.0)))
     hosts = m.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("h_docs"), F.sum(F.col("failed").cast("long")).alias("h_failed"))
     rate = F.col("h_failed") / F.col("h_docs")
     got = hosts.agg(F.count("*").alias("k"), F.sum("h_docs").alias("n"), F.sum("h_failed").alias("f"), F.sum(F.col("h_docs") * rate * rate).alias("sq"), F.sum(F.col("h_docs") * F.col("h_docs")).cast("double").alias("nn")).first()
     alpha, beta = beta_prior(got["k"], got["n"] or 0, got["f"] or 0, got["sq"] or 0.0, got["nn"] or 0.0)
     size, mean = F.col("h_docs") + F.lit(alpha + beta), F.col("host_rate")
     hosts = hosts.withColumn("host_rate", (F.col("h_failed") + F.lit(alpha)) / size)
-    hosts = hosts.withColumn("host_low", F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (size + 1)))).select("h", "host_rate", "host_low")
-    odds = F.col("host_low") * F.when(F.col("failed"), F.lit(fails)).otherwise(F.lit(passes))
-    return m.join(hosts, m["host"].eqNullSafe(hosts["h"])).drop("h").withColumn("kept", ~F.col("base_failed") & (odds <= 1 - F.col("host_low")))
+    times = mean / (1 - mean) / F.lit(alpha / beta)
+    hosts = hosts.withColumn("host_low", F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (size + 1)))).withColumn("host_odds", F.least(F.greatest(times, F.lit(odds[0])), F.lit(odds[1])))
+    hosts = hosts.select("h", "host_rate", "host_low", "host_odds")
+    return m.join(hosts, m["host"].eqNullSafe(hosts["h"])).drop("h").withColumn("kept", ~F.col("base_failed") & ~over(F.col("host_odds")) & (F.col("host_low") <= host_bad))
 
 
 def beta_prior(hosts: int, docs: int, failed: int, square: float, docs_sq: float) -> tuple[float, float]:
@@ -127,8 +129,8 @@ s as (select count(*) as k, sum(n)::double as n, sum(f) as f, sum(n * (f / n) *
 s1 as (select *, least(greatest(f / n, 1e-6), 1 - 1e-6) as mean, sq / n - (f / n) * (f / n) as spread from s),
 s2 as (select *, (spread - mean * (1 - mean) * (k - 1) / n) / greatest(case when k > 1 then 1 - nn / (n * n) else 1 end, 1e-9) as between_ from s1),
 s3 as (select mean, least(greatest(case when between_ > 0 then mean * (1 - mean) / between_ - 1 else 100.0 end, 1.0), 100.0) as strength from s2),
-q as (select h, n, (f + mean * strength) / (n + strength) as rate, strength from h, s3),
-v as (select h, rate, greatest(0.0, rate - {Z} * sqrt(rate * (1 - rate) / (n + strength + 1))) as low from q)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and low * (case when failed then {FAILS} else {PASSES} end) <= 1 - low as kept, round(rate, 6) as host_rate
+q as (select h, n, (f + mean * strength) / (n + strength) as rate, strength, mean from h, s3),
+v as (select h, rate, greatest(0.0, rate - {Z} * sqrt(rate * (1 - rate) / (n + strength + 1))) as low, least(greatest(rate / (1 - rate) / (mean * strength / ((1 - mean) * strength)), {ODDS[0]}), {ODDS[1]}) as odds from q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not n_symbols * odds > {SYMBOL_SHARE} * word_chars and not n_dup_lines * odds > {DUP_LINE_SHARE} * n_lines and low <= {HOST_BAD} as kept, round(rate, 6) as host_rate
 from f join v on f.host is not distinct from v.h"""
 }

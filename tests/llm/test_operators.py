@@ -77,9 +77,24 @@ def test_host_verdicts(spark, docs, texts, made):
     for i, _, _, h in rows:
         rate = (f[h] + mean * strength) / (n[h] + strength)
         low = max(0.0, rate - 1.28 * math.sqrt(rate * (1 - rate) / (n[h] + strength + 1)))
-        assert got[i]["host_rate"] == pytest.approx(rate)
-        assert got[i]["kept"] == (not got[i]["base_failed"] and low * (50 if got[i]["failed"] else 0.5) <= 1 - low), i
-    assert not got[2001]["kept"] and got[2000]["kept"]
+        odds = min(max(rate / (1 - rate) / (mean / (1 - mean)), 0.5), 4.0)
+        assert got[i]["host_rate"] == pytest.approx(rate) and got[i]["host_odds"] == pytest.approx(odds)
+        over = got[i]["n_symbols"] * odds > 0.2 * got[i]["word_chars"] or got[i]["n_dup_lines"] * odds > 0.3 * got[i]["n_lines"]
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not over and low <= 0.5)
+
+
+def test_hosts_decide_in_both_directions(spark):
+    """Equal documents get other verdicts on a good and on a bad host: one above a limit, and one below it."""
+    plain = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    signs = lambda n: " ".join(f"abcdefgh{j:02d}" for j in range(60 - n)) + " " + " ".join(f"{'#' * 10}" for _ in range(n))
+    above, below = signs(15), signs(9)  # a quarter and 0.15 of the characters, where the limit is 0.2
+    rows = [(1, above, "good"), (2, above, "bad"), (3, below, "good"), (4, below, "bad"), (5, above, "usual"), (6, below, "usual")]
+    rows += [(1000 + i, plain(i), "good") for i in range(300)] + [(2000 + i, signs(40) if i % 10 < 4 else plain(i), "bad") for i in range(300)]
+    rows += [(10_000 + i, signs(40) if i % 10 < 1 else plain(i), "usual") for i in range(3000)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert [got[i]["failed"] for i in range(1, 7)] == [True, True, False, False, True, False]
+    assert [got[i]["kept"] for i in range(1, 7)] == [True, False, True, False, False, True]
+    assert all(got[1000 + i]["kept"] for i in range(300)) and sum(got[2000 + i]["kept"] for i in range(300)) == 180
 
 
 def test_language_id(spark, docs, texts, empty):
