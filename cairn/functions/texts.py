@@ -123,34 +123,37 @@ MARK = re.compile(rb"^\[(\d{1,2}:\d{2}(?::\d{2})?)\][ \t]*(?:([A-Za-z][^:\n]{0,7
 
 def chunk_text(text: str, size: int = 1800, overlap: int = 180) -> list[tuple[int, int, str]]:
     """(start, end, heading path) of chunks of at most `size` bytes, cut at the best place within the window. The path ends with the time and the speaker
-    of the first transcript line of the chunk, where it has one."""
+    of the first transcript line of the chunk, where it has one. One walk over the headings: work grows with the text, however many it has."""
     raw, out, at = text.encode(), [], 0
     marks = [(m.start(), len(m[1]), m[2].strip()) for m in re.finditer(rb"^(#{1,6})[ \t]+(.*)$", raw, re.M)]
+    places = [m for m, _, _ in marks]
+    passed, path = 0, {}
     while at < len(raw):
+        while passed < len(marks) and places[passed] <= at:
+            _, level, title = marks[passed]
+            path = {k: v for k, v in path.items() if k < level} | {level: title.decode("utf-8", "replace")}
+            passed += 1
         end = min(len(raw), at + size)
+        headed = False
         if end < len(raw):
-            window = raw[at:end]
-            ahead = next((m for m, _, _ in marks if at < m < end), None)
-            cut = ahead - at if ahead is not None else 0
-            for sep in (b"\n```", b"\n\n", b"\n", b". ", b" ") if not cut else ():
-                k = window.rfind(sep)
-                if k > size // 4:
-                    cut = k + len(sep)
-                    break
-            end = at + cut if cut else end
+            if passed < len(marks) and places[passed] < end:
+                end, headed = places[passed], True
+            else:
+                window = raw[at:end]
+                for sep in (b"\n```", b"\n\n", b"\n", b". ", b" "):
+                    k = window.rfind(sep)
+                    if k > size // 4:
+                        end = at + k + len(sep)
+                        break
+                headed = passed < len(marks) and places[passed] == end
             while end < len(raw) and (raw[end] & 0xC0) == 0x80:
                 end -= 1
-        path: dict[int, str] = {}
-        for pos, level, title in marks:
-            if pos <= at:
-                path = {k: v for k, v in path.items() if k < level} | {level: title.decode("utf-8", "replace")}
         said = MARK.search(raw, at, end)
         names = [f"{kind}:{x.decode('utf-8', 'replace')}" for kind, x in zip(("timestamp", "speaker"), said.groups(), strict=True) if x] if said else []
         out.append((at, end, " > ".join([*(path[k] for k in sorted(path)), *names])))
         if end >= len(raw):
             break
-        back = end - overlap if not any(m == end for m, _, _ in marks) else end
-        nxt = max(back, at + 1)
+        nxt = max(end if headed else end - overlap, at + 1)
         while nxt < len(raw) and (raw[nxt] & 0xC0) == 0x80:
             nxt += 1
         at = nxt
@@ -178,26 +181,55 @@ REDACTIONS = (
     ("PHONE", r"\+[0-9][0-9 ().-]{6,}[0-9]"),
     ("ID", r"(?i)\b(?:id|user_id|customer_id|passport|ssn)=[A-Za-z0-9-]+"),
 )
-_ANY = re.compile("|".join(f"(?P<{k}>{p.removeprefix('(?i)')})" for k, p in REDACTIONS), re.I)
+_KINDS = [k for k, _ in REDACTIONS]
+_OTHERS = re.compile("|".join(f"(?P<{k}>{p.removeprefix('(?i)')})" for k, p in REDACTIONS if k != "EMAIL"), re.I)
+_LOCAL, _DOMAIN, _EDGE = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"), re.compile(r"\b")
+
+
+def _luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def _sensitive(text: str) -> Iterator[tuple[int, int, str]]:
+    """Leftmost matches of REDACTIONS, the earlier rule first where two begin at one place. Addresses are found by their runs, each looked at once, so work grows with the text."""
+    found = ((m.start(), m.end(), d.end()) for m in _LOCAL.finditer(text) if m.end() < len(text) and text[m.end()] == "@" and (d := _DOMAIN.match(text, m.end())))
+    at, other, address = 0, _OTHERS.search(text), next(found, None)
+    while True:
+        if other and other.start() < at:
+            other = _OTHERS.search(text, at)
+        start = None
+        while address and start is None:  # the run's first word edge from here on
+            edge = _EDGE.search(text, max(address[0], at))
+            if address[1] > at and edge and edge.start() < address[1]:
+                start = edge.start()
+            else:
+                address = next(found, None)
+        if start is None and not other:
+            return
+        if start is not None and (not other or (start, _KINDS.index("EMAIL")) < (other.start(), _KINDS.index(other.lastgroup or ""))):
+            yield start, address[2], "EMAIL"
+            at = address[2]
+        else:
+            yield other.start(), other.end(), other.lastgroup or ""
+            at = max(other.end(), at)
 
 
 def redact(text: str) -> str:
     """Each match as [KIND_n], n by first appearance of the value."""
     seen: dict[tuple[str, str], int] = {}
     counts: dict[str, int] = {}
-
-    def name(m: re.Match) -> str:
-        kind = m.lastgroup or ""
+    out, at = [], 0
+    for start, end, kind in _sensitive(text):
+        value = text[start:end]
         if kind == "CARD":
-            digits = re.sub(r"\D", "", m[0])
-            if len(digits) == len(m[0]) or sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10:
-                return m[0]
-        key = (kind, m[0])
-        if key not in seen:
-            counts[kind] = seen[key] = counts.get(kind, 0) + 1
-        return f"[{kind}_{seen[key]}]"
-
-    return _ANY.sub(name, text)
+            digits = re.sub(r"\D", "", value)
+            if len(digits) == len(value) or not _luhn(digits):
+                continue
+        if (kind, value) not in seen:
+            counts[kind] = seen[kind, value] = counts.get(kind, 0) + 1
+        out += [text[at:start], f"[{kind}_{seen[kind, value]}]"]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -393,7 +393,8 @@ def redact_text(spark, d):
 
 
 def pii_counts(spark, d):
-    p = {"emails": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "phones": r"\+[0-9][0-9 ().-]{6,}[0-9]", "tokens": r"(?:sk-|ghp_|xoxb-|pat_)[A-Za-z0-9_-]+"}
+    # an address begins where a run of its characters does, or where the match before ended: no place of a run is tried twice
+    p = {"emails": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "phones": r"\+[0-9][0-9 ().-]{6,}[0-9]", "tokens": r"(?:sk-|ghp_|xoxb-|pat_)[A-Za-z0-9_-]+"}
     return S.sources(spark, d).select("id", *(F.regexp_count("text", F.lit(v)).cast("long").alias(k) for k, v in p.items()))
 
 

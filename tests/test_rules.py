@@ -1,5 +1,7 @@
 """Literal cases: fusion, decay, diversification, scores, permissions, lines, hygiene, chunks, redaction, streams."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,22 @@ def test_chunks():
     assert all(raw[a:b].decode() for a, b, _ in got) and X.chunk_text("") == []
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    """Headings and runs by the hundred thousand: linear work, where a second walk for each would take hours."""
+    began = time.time()
+    headed = "".join(f"# h{i}\ntext {i}\n" for i in range(100_000))
+    got = X.chunk_text(headed)
+    assert len(got) > 90_000 and got[0][0] == 0 and got[-1][1] == len(headed) and time.time() - began < 5
+    for t in ("a." * 500_000, "a." * 500_000 + "@", "@a." * 300_000, "+1(" * 300_000, "x " * 300_000):
+        began = time.time()
+        X.redact(t)
+        assert time.time() - began < 5, t[:10]
+    assert X.redact("." * 100_000 + "a@b.org") == "." * 100_000 + "[EMAIL_1]"
+    began = time.time()
+    rows = spark.createDataFrame([("a." * 200_000 + " c@d.org_e@f.org",)], "text string").select(F.regexp_count("text", F.lit(r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")))
+    assert rows.first()[0] == 2 and time.time() - began < 10
+
+
 def test_redaction():
     assert X.redact("mail a@b.org or a@b.org, c@d.org") == "mail [EMAIL_1] or [EMAIL_1], [EMAIL_2]"
     assert X.redact("4111 1111 1111 1111 and 4111 1111 1111 1112") == "[CARD_1] and 4111 1111 1111 1112"
