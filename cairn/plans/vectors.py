@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import lexical as L
 from cairn.functions import vectors as V
 from cairn.operators import greedy
+from cairn.operators import vector_index as I
 from cairn.sources import tables as S
-from cairn.sources.staging import staged
 from cairn.sources.tables import NOW, sql
 
 DIMS = 64
@@ -94,59 +92,15 @@ def lsh_candidates(spark, d):
 O["lsh_candidates"] = f"with {_BANDS}, k as (" + " union all ".join(f"select id, {i} as b, band{i} as v from bands" for i in range(4)) + ") select distinct q.id as query, k.id from k as q join k on q.b = k.b and q.v = k.v where q.id % 20 = 0 and q.id <> k.id"
 
 
-BLOCK_ROWS = 2048
-
-
-def _blocked(df, name: str):
-    """Rows (id, v) packed into blocks of some BLOCK_ROWS, by hash of the id: block number, ids and vectors laid end to end."""
-    n = df.count() // BLOCK_ROWS + 1
-    rows = df.where(F.size("v") == DIMS).groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", V.doubles(F.col("v")).alias("v"))).alias("held"))
-    return rows.select(name, F.col("held.id").alias(f"{name}_ids"), F.flatten("held.v").alias(f"{name}_v"))
-
-
-def nearest(queries, rows, limit: int, within: int | None = None):
-    """(query, id, score): for each query the `limit` rows of highest positive cosine, of those whose signatures differ in at most `within` bits, if
-    that is given. Blocks of queries meet blocks of rows, each pair of blocks in one product, and leave `limit` rows a query."""
-    matrix = V.projection(DIMS).T
-
-    def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                q, x = (b.column(f"{c}_v")[r].values.to_numpy(zero_copy_only=False).reshape(-1, DIMS) for c in ("q", "x"))
-                qi, xi = (b.column(f"{c}_ids")[r].values.to_numpy() for c in ("q", "x"))
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                score = np.where(norm > 0, q @ x.T / np.where(norm > 0, norm, 1), 0.0).clip(0, 1)
-                if within is not None:
-                    same = (q @ matrix >= 0).astype(np.float32) * 2 - 1, (x @ matrix >= 0).astype(np.float32) * 2 - 1
-                    score = np.where((V.BITS - same[0] @ same[1].T) / 2 <= within, score, 0.0)
-                order = np.lexsort((np.broadcast_to(xi, score.shape), -score), axis=1)[:, :limit]
-                top = np.take_along_axis(score, order, 1)
-                ok = top > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, ok.sum(1))), pa.array(xi[order][ok]), pa.array(top[ok])], names=["query", "id", "score"])
-
-    q, x = _blocked(queries, "q"), _blocked(rows, "x")
-    met = q.join(x, F.lit(True)).repartition("q", "x").mapInArrow(run, "query long, id long, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
-
-
-WITHIN = 16
-
-
 def ann_search(spark, d, limit: int = 10):
-    """For every twentieth vector those nearest: by cosine among all whose signatures are within WITHIN bits, however many; queries with
-    too few of them are asked of all vectors."""
+    """For every twentieth vector those nearest: among all whose signatures are within I.WITHIN bits, found by the buckets of a written index, where these settle the query; else among all."""
     rows = vectors(spark, d).select("id", "v")
-    asked = rows.where("id % 20 = 0")
-    near = staged(spark, nearest(asked, rows, limit, WITHIN), "near")
-    enough = near.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query")
-    rest = nearest(asked.join(enough, asked["id"] == enough["query"], "left_anti"), rows, limit)
-    return near.join(enough, "query", "left_semi").unionByName(rest).select("query", "id", F.round("score", 6).alias("score"))
+    return I.nearest(I.build(rows, DIMS), rows.where("id % 20 = 0"), limit).select("query", "id", F.round("score", 6).alias("score"))
 
 
 _S = f"s as (select vec_id as id, {_E} as v, {_half(range(32, 64))} as high, {_half(range(32))} as low from embeddings)"
-_PAIRS = f"p as (select q.id as query, x.id, {_COS.format(a='q.v', b='x.v')} as score, bit_count(xor(q.high, x.high)) + bit_count(xor(q.low, x.low)) <= {WITHIN} as near from s q, s x where q.id % 20 = 0)"
-O["ann_search"] = f"with {_S}, {_PAIRS}, e as (select query from p where near and p.score > 0 group by query having count(*) >= 10) select query, id, round(score, 6) as score from p where p.score > 0 and (near or query not in (select query from e)) qualify row_number() over (partition by query order by p.score desc, id) <= 10"
+_PAIRS = f"p as (select q.id as query, x.id, {_COS.format(a='q.v', b='x.v')} as score, bit_count(xor(q.high, x.high)) + bit_count(xor(q.low, x.low)) <= {I.WITHIN} as near from s q, s x where q.id % 20 = 0)"
+O["ann_search"] = f"with {_S}, {_PAIRS}, n as (select query, score, row_number() over (partition by query order by p.score desc, id) as place from p where near and p.score > 0), e as (select query from n where place = 10 and n.score >= {I.least_sure()}) select query, id, round(score, 6) as score from p where p.score > 0 and (near or query not in (select query from e)) qualify row_number() over (partition by query order by p.score desc, id) <= 10"
 
 
 def vector_min_score(spark, d):

@@ -238,25 +238,6 @@ def test_reduced_objects(spark, tmp_path):
     assert [json.loads(r["state"]) for r in feed.agent_memory_reduce(spark, str(tmp_path)).collect()] == [want]
 
 
-def test_neighbours_by_blocks(spark):
-    """Exact neighbours, and those within some bits, by hand; recall of the index over all queries."""
-    import numpy as np
-
-    from cairn.plans import vectors as P
-
-    r = np.random.default_rng(3)
-    base = r.normal(size=(30, P.DIMS))
-    v = np.concatenate([base + 0.15 * r.normal(size=base.shape) for _ in range(12)])
-    rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    best = {i: [j for j in np.lexsort((np.arange(len(v)), -np.clip(unit @ unit[i], 0, 1)))[:10]] for i in range(0, len(v), 20)}
-    exact = P.nearest(rows.where("id % 20 = 0"), rows, 10).collect()
-    assert {i: sorted(x["id"] for x in exact if x["query"] == i) for i in best} == {i: sorted(js) for i, js in best.items()}
-    near = P.nearest(rows.where("id % 20 = 0"), rows, 10, P.WITHIN).collect()
-    hit = sum(len({x["id"] for x in near if x["query"] == i} & set(js)) for i, js in best.items())
-    assert hit >= 0.9 * 10 * len(best)
-
-
 def test_diversified_search(spark):
     """The greedy choices by hand: score less overlap and repeated types; every twentieth of the search's page is still found."""
     rows = [("a", 1.0, "one two three", "x"), ("b", 0.9, "one two three", "x"), ("c", 0.7, "other words here", "x"), ("d", 0.69, "quite new text", "y")]
