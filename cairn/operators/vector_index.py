@@ -68,10 +68,8 @@ def keyed(rows: DataFrame, dims: int) -> DataFrame:
     return good.withColumn("key", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(7), F.col("v")).alias("b")))
 
 
-def build(rows: DataFrame, dims: int) -> VectorIndex:
-    """Writes classes and buckets of rows (id, v) to the shared folder. What comes to the driver is the table of bucket sizes, 2^18 numbers at most."""
-    spark = rows.sparkSession
-    one = keyed(rows, dims).groupBy("key").agg(F.min("id").alias("cls"), F.first("v").alias("v"), F.count("*").alias("n"))
+def _signed(rows: DataFrame, dims: int) -> DataFrame:
+    """rows (a, b, cls, v, n) with `sig`."""
     matrix = V.projection(dims).T
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +78,14 @@ def build(rows: DataFrame, dims: int) -> VectorIndex:
             sig = ((x @ matrix >= 0).astype(np.uint64) << np.arange(V.BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("cls"), b.column("v"), b.column("n"), pa.array(sig.view(np.int64))], names=["a", "b", "cls", "v", "n", "sig"])
 
-    classes = staged(spark, one.select("key.a", "key.b", "cls", "v", "n").mapInArrow(sign, "a long, b long, cls long, v array<double>, n long, sig long"), "classes")
+    return rows.select("a", "b", "cls", "v", "n").mapInArrow(sign, "a long, b long, cls long, v array<double>, n long, sig long")
+
+
+def build(rows: DataFrame, dims: int) -> VectorIndex:
+    """Writes classes and buckets of rows (id, v) to the shared folder. What comes to the driver is the table of bucket sizes, 2^18 numbers at most."""
+    spark = rows.sparkSession
+    one = keyed(rows, dims).groupBy("key").agg(F.min("id").alias("cls"), F.first("v").alias("v"), F.count("*").alias("n"))
+    classes = staged(spark, _signed(one.select("key.a", "key.b", "cls", "v", "n"), dims), "classes")
     banded = classes.select(F.posexplode(F.array(*V.bands(F.col("sig")))).alias("band", "bucket"), "cls", "sig", "v")
     buckets = staged(spark, banded.repartitionByRange("band", "bucket").sortWithinPartitions("band", "bucket"), "buckets")
     sizes = np.zeros((BANDS, 1 << BAND_BITS), dtype=np.int64)
@@ -180,11 +185,13 @@ def _scan(spark: SparkSession, index: VectorIndex, block: pa.Table, limit: int,
 
 
 def nearest(index: VectorIndex, asked: DataFrame, limit: int, within: int = WITHIN, sure: float | None = None, dense: float = DENSE) -> DataFrame:
-    """(query, id, score): for each asked row (id, v) the `limit` rows of highest positive cosine among its candidates where these settle it, else among all."""
+    """(query, id, score): for each asked row (id, v), in the index or not, the `limit` rows of highest positive cosine among its candidates where these settle it, else among all."""
     spark, bar = asked.sparkSession, least_sure(within) if sure is None else sure
-    own = keyed(asked, index.dims).select("id", "key.a", "key.b").join(index.classes.select("a", "b", "cls", "v", "sig"), ["a", "b"])
-    own = staged(spark, own.select(F.col("id").alias("asked"), "cls", "v", "sig"), "asked")
-    ask = own.select("cls", "v", "sig").dropDuplicates(["cls"]) if index.copies else own.select("cls", "v", "sig")
+    own = keyed(asked, index.dims).select("key.a", "key.b", F.col("id").alias("cls"), "v", F.lit(1).cast("long").alias("n"))
+    own = staged(spark, _signed(own, index.dims), "asked")
+    first = own.groupBy("a", "b").agg(F.min("cls").alias("query"), F.count("*").alias("n"))
+    copies = index.copies or not first.where("n > 1").isEmpty()
+    ask = own.join(first.select(F.col("query").alias("cls")), "cls", "left_semi") if copies else own
     w = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
     found = staged(spark, candidates(index, ask, within, dense).withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit), "found")
     settled = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("last")).where((F.col("n") >= limit) & (F.col("last") >= bar)).select("query")
@@ -193,10 +200,11 @@ def nearest(index: VectorIndex, asked: DataFrame, limit: int, within: int = WITH
     rest = rest.withColumn("settled", (F.count_if("near").over(each) >= limit) & (F.min(F.when(F.col("near"), F.col("score"))).over(each) >= bar))
     rest = rest.where(F.col("near") == F.col("settled")).select("query", "cls", "score")
     best = found.join(settled, "query", "left_semi").select("query", "cls", "score").unionByName(rest)
-    if not index.copies:
+    if not copies:
         return best.select("query", F.col("cls").alias("id"), "score")
     member = keyed(index.rows, index.dims).select("id", "key.a", "key.b").withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).where(F.col("n") <= limit)
     member = member.join(index.classes.select("a", "b", "cls"), ["a", "b"]).select("cls", "id")
-    out = best.join(own.select(F.col("cls").alias("query"), "asked"), "query").join(member, "cls")
+    names = own.select("a", "b", F.col("cls").alias("asked")).join(first.select("a", "b", "query"), ["a", "b"]).select("query", "asked")
+    out = best.join(names, "query").join(member, "cls")
     out = out.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))).where(F.col("n") <= limit)
     return out.select(F.col("asked").alias("query"), "id", "score")

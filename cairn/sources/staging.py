@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +55,30 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_INDEXES: dict[tuple, object] = {}
+
+
+def kept_index(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], object]) -> object:
+    """What build writes, once in a session for the same input files: their names, lengths and times of change tell them. A changed input is built anew."""
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = []
+    for top in inputs:
+        path = path_of(top)
+        listed = path.getFileSystem(conf).listFiles(path, True)
+        while listed.hasNext():
+            f = listed.next()
+            files.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(files)))
+    if key not in _INDEXES:
+        _SCOPES.append([])  # an index outlives the scope in which it is first asked for
+        try:
+            _INDEXES[key] = build()
+        finally:
+            for path in _SCOPES.pop():
+                atexit.register(_remove, spark, path)
+    return _INDEXES[key]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hdfs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
