@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import access as A
 from cairn.functions import lexical as L
 from cairn.operators import postings as P
 from cairn.operators import vector_index as I
-from cairn.plans.access import _SEEN, ME
-from cairn.plans.vectors import _COS, _E, DIMS, _half
+from cairn.plans.access import _SEEN
+from cairn.plans.indexes import text_index, vector_index, visible
+from cairn.plans.vectors import _COS, _E, _half
 from cairn.sources import tables as S
-from cairn.sources.staging import kept_index, staged
+from cairn.sources.staging import staged
 from cairn.sources.tables import NOW, sql
 
 RRF_K, RRF_WEIGHT, RAW_WEIGHT, LEAST = 60, 0.85, 0.15, 0.01
@@ -21,25 +21,6 @@ WIDEST = max(L.Windows(limit=5 + 5 * j, offset=i).candidates for i in range(3) f
 Q, O = {}, {}
 
 
-def text_index(spark, d) -> P.Postings:
-    """The inverted index of the sources, written once for the same files in a session."""
-    return kept_index(spark, "postings", [f"{d}/documents.parquet"], lambda: P.build(S.sources(spark, d).select(F.col("key").alias("id"), "text")))
-
-
-def vector_index(spark, d) -> I.VectorIndex:
-    """The index of the vectors of visible sources."""
-
-    def made():
-        seen = visible(spark, d).select(F.col("key").alias("vec_id"))
-        return I.build(S.table(spark, d, "embeddings").join(seen, "vec_id").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), DIMS)
-
-    return kept_index(spark, "seen_vectors", [f"{d}/documents.parquet", f"{d}/embeddings.parquet"], made)
-
-
-def visible(spark, d) -> DataFrame:
-    return S.sources(spark, d).where(A.record_visible(F.col("scope"), F.col("permissions"), ME)).withColumn("confidence", F.col("key") % 100 / 100)
-
-
 def asked(spark, d) -> DataFrame:
     """Every twentieth source as a query: its first words, some with a question word before them, its own vector, page and session; with the query's plan."""
     k = (F.col("key") / 20).cast("long")

@@ -11,7 +11,9 @@ from cairn.functions import access as A
 from cairn.functions import lexical as L
 from cairn.functions import vectors as V
 from cairn.operators import greedy
+from cairn.operators import postings as P
 from cairn.plans.access import _SEEN, ME
+from cairn.plans.indexes import text_index
 from cairn.plans.vectors import _COS, _E, _Q0
 from cairn.sources import tables as S
 from cairn.sources.staging import staged
@@ -40,12 +42,21 @@ def keyword_candidates(spark, d, query: str = QUERY) -> DataFrame:
     return s.withColumn("score", L.score(query, F.col("text"))).where("score > 0")
 
 
+def _constant(spark, column: str, values: list[str]) -> DataFrame:
+    """One query (number 0) as a table of its tokens or terms."""
+    return spark.range(1).select(F.col("id").alias("query"), F.explode(F.array(*map(F.lit, values))).alias(column))
+
+
 def keyword_search(spark, d):
-    return keyword_candidates(spark, d).orderBy(*_best_first()).limit(500).select("id", "score", F.round("confidence", 6).alias("confidence"), "created_at_ms")
+    """Sources with terms that begin with a token of the query, found in the postings; those of most tokens first. No text is read."""
+    found = P.keyword_scores(text_index(spark, d), _constant(spark, "token", WORDS)).select(F.col("id").alias("key"), "score")
+    s = _confident(S.sources(spark, d)).where(A.record_visible(F.col("scope"), F.col("permissions"), ME)).select("id", "key", "confidence", "created_at_ms")
+    return s.join(found, "key").orderBy(*_best_first()).limit(500).select("id", "score", F.round("confidence", 6).alias("confidence"), "created_at_ms")
 
 
 _KW = f"kw as (select id, key, type, text, scope, created_at_ms, key % 100 / 100 as confidence, {_LEX} as score, vec, case when contains(lower(text), 'of the') then 0.35 else 0.0 end as boost from sources left join (select vec_id, {_COS.format(a=_E, b=_Q0)} as vec from embeddings) on vec_id = key where {_SEEN})"
-O["keyword_search"] = sql("sources", "").rstrip() + f", {_KW} select id, score, round(confidence, 6) as confidence, created_at_ms from kw where score > 0 order by score desc, confidence desc, created_at_ms desc, id limit 500"
+_BEGINS = " + ".join(f"(case when regexp_matches({_T}, '(?:^|[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]){w}') then 1.0 else 0.0 end)" for w in WORDS)
+O["keyword_search"] = sql("sources", f"select id, score, round(confidence, 6) as confidence, created_at_ms from (select id, ({_BEGINS})::double as score, key % 100 / 100 as confidence, created_at_ms from sources where {_SEEN}) where score > 0 order by score desc, confidence desc, created_at_ms desc, id limit 500")
 
 
 def lexical_score(spark, d):
@@ -352,12 +363,12 @@ TERMS = ["the", "tion", "with", "eaux", "thly", "und"]
 
 
 def bm25_search(spark, d):
-    w = S.sources(spark, d).select("id", F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))  # one pass for both columns
-    words = staged(spark, w.select("id", F.size("w").alias("n"), F.filter("w", lambda x: x.isin(TERMS)).alias("hits")), "words")
-    return bm25(words).select("id", F.round("score", 6).alias("score"))
+    """The first 200 by BM25, from blocks of postings that can hold them."""
+    found = P.bm25(text_index(spark, d), _constant(spark, "term", TERMS), 200)
+    return found.select(F.concat(F.lit("src_"), F.col("id").cast("string")).alias("id"), F.round("score", 6).alias("score"))
 
 
-O["bm25_search"] = sql("sources", "").rstrip() + f", w as (select id, regexp_extract_all({_T}, '[a-z]+') as w from sources), n as (select id, len(w) as n from w), p as (select id, term, count(*) as tf from (select id, unnest(w) as term from w) where term in ({', '.join(repr(t) for t in TERMS)}) group by 1, 2), df as (select term, count(*) as df from p group by 1), st as (select count(*) as docs, avg(n) as mean from n) select p.id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score from p join df using (term) join n using (id), st group by p.id"
+O["bm25_search"] = sql("sources", "").rstrip() + f", w as (select id, key, regexp_extract_all({_T}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from sources), n as (select id, len(w) as n from w), p as (select id, key, term, count(*) as tf from (select id, key, unnest(w) as term from w) where term in ({', '.join(repr(t) for t in TERMS)}) group by 1, 2, 3), df as (select term, count(*) as df from p group by 1), st as (select count(*) as docs, avg(n) as mean from n), r as (select p.id, key, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) as s from p join df using (term) join n using (id), st group by p.id, key) select id, round(s, 6) as score from r order by s desc, key limit 200"
 
 
 HOLOGRAPHIC_WORDS = re.findall(r"[A-Za-z0-9_]+", QUERY)
