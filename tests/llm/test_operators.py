@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -548,3 +549,35 @@ def test_personal_spans_on_new_examples(spark):
     got = {r["doc_id"]: r["n"] for r in found.select("doc_id", F.size("spans").alias("n")).collect()}
     hit, wrong = sum(bool(got[i]) for i, _, y in made if y), sum(bool(got[i]) for i, _, y in made if not y)
     assert hit >= 0.95 * 300 and wrong <= 0.03 * 300
+
+
+def test_pii_of_texts_no_template_made(spark):
+    """Recall and precision on texts written by hand, and contexts that decide over equal digits."""
+    from tests.llm.personal import OTHER, PERSONAL
+
+    rows = list(enumerate([*PERSONAL, *OTHER]))
+    got = {r["doc_id"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("size(spans) > 0").collect()}
+    hits = sum(i < len(PERSONAL) for i in got)
+    assert hits >= 0.9 * len(PERSONAL) and hits >= 0.9 * len(got)
+    number = "7712345678123451"
+    both = [(0, f"my bank account {number} is empty"), (1, f"tracking code {number} is lost")]
+    spans = {r["doc_id"]: len(r["spans"]) for r in pii.find(spark.createDataFrame(both, "doc_id long, text string")).collect()}
+    assert spans == {0: 1, 1: 0}
+
+
+def test_secrets_and_what_looks_like_them():
+    """Keys of every alphabet are found, codes and words are not: 400 each."""
+    r = random.Random(11)
+    pick = lambda alphabet, a, z: "".join(r.choice(alphabet) for _ in range(r.randint(a, z)))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    found = lambda runs: sum(bool(secret_scan.find(f"see {x} here")[1]) for x in runs) / len(runs)
+    keys = {"lower": lower, "mixed": lower + upper + digits, "letters": lower + upper, "small": lower + digits, "capital": upper + digits}
+    for name, alphabet in keys.items():
+        assert found([pick(alphabet, 20, 40) for _ in range(400)]) > 0.9, name
+    codes = {
+        "order": lambda: f"{pick(upper, 3, 3)}-{pick(digits, 4, 4)}-{pick(upper, 2, 2)}-{pick(digits, 5, 5)}", "part": lambda: f"{pick(digits, 4, 6)}-{pick(upper, 1, 4)}-{pick(digits, 6, 8)}", "flight": lambda: f"{pick(upper, 2, 2)}/{pick(digits, 4, 4)}/{pick(upper, 3, 3)}/{pick(digits, 6, 6)}",
+        "date": lambda: f"{pick('12', 1, 1)}{pick(digits, 3, 3)}-{pick(digits, 2, 2)}-{pick(digits, 2, 2)}T{pick(digits, 6, 6)}", "words": lambda: "-".join(r.choice(("alpha", "river", "stone", "market", "quiet", "winter")) for _ in range(4)),
+        "compound": lambda: "".join(r.choice(("Geschwindigkeits", "begrenzung", "versicherung", "schutz", "karte", "counter", "revolution", "national")) for _ in range(3)).lower(),
+    }
+    for name, make in codes.items():
+        assert found([make() for _ in range(400)]) < 0.05, name
