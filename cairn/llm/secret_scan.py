@@ -1,12 +1,12 @@
 """Secret scan: fixed formats, and random strings exposed by how badly a byte-pair vocabulary compresses them.
 
-Base spans are those of three formats (assign, access, hex). The method adds spans of kind `random`: runs of key-like characters that
-hold a digit and a letter (or letters of both cases throughout), are no known digest or identifier, do not touch a base
+Base spans are those of three formats (assign, access, hex). The method adds spans of kind `random`: runs of key-like characters that are no known digest or identifier, do not touch a base
 span, and take more than one token for every `chars_per_token` characters under the vocabulary. A run is judged whole (keys hold slashes);
 of one that is let off or touches a base span, each part of 16 or more characters between slashes and equals signs is judged by itself.
 
 Excluded as known: hexadecimal of a digest's length (32, 40, 48, 56, 64, 96, 128), UUIDs, dates and version numbers, paths and addresses, and identifiers
-made of words joined by separators or capitals. The vocabulary file is a parameter; the driver reads it and broadcasts it (its size is that of the file),
+made of words joined by separators or capitals, and codes of groups that are digits, times or up to four capitals each (orders, parts, flights, plates). Runs of small letters alone are
+judged by a stricter ratio (LOWER) from LOWER_LEAST letters on, which words of the languages at hand, compounds too, stay above. The vocabulary file is a parameter; the driver reads it and broadcasts it (its size is that of the file),
 and each worker builds its encoder once.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Rows are judged one by one, equal rows alike; other
@@ -43,6 +43,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: splits a run into the pieces that a byte-pair vocabulary is applied to
 PIECES = r"[A-Za-z]+|[0-9]{1,3}|[^A-Za-z0-9]+"
 PIECE = 512
+#: characters per token below which a run of small letters, of so many at least, is random: nineteen in twenty random runs are, and hardly a word
+LOWER, LOWER_LEAST = 1.9, 20
 
 
 def vocabulary_bytes(path: str) -> bytes:
@@ -74,6 +76,9 @@ def _known(run: str) -> bool:
         return True
     if UUID.fullmatch(bare) or not re.search(r"[A-Za-z]", bare):
         return True
+    groups = re.split(r"[-_/=+]+", bare)
+    if len(groups) > 1 and all(re.fullmatch(r"[0-9]+|[A-Z]{1,4}|[0-9]{1,4}T[0-9]{2,6}Z?", g) for g in groups):
+        return True
     if run.count("/") > 2 and re.search(r"/[a-z]+/", run):
         return True
     return not re.search(r"[0-9]", bare) and not LONE.search(bare) and len(re.findall(r"[A-Z]", bare)) <= len(bare) // 5
@@ -85,7 +90,9 @@ def _tokens(run: str, vocabulary: str | bytes) -> int:
 
 
 def _random(run: str, vocabulary: str | bytes, chars_per_token: float) -> bool:
-    return not (run.islower() and run.isalpha() or _known(run)) and len(run) < chars_per_token * _tokens(run, vocabulary)
+    if run.islower() and run.isalpha():
+        return len(run) >= LOWER_LEAST and len(run) < min(LOWER, chars_per_token) * _tokens(run, vocabulary)
+    return not _known(run) and len(run) < chars_per_token * _tokens(run, vocabulary)
 
 
 def _union(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
