@@ -115,6 +115,28 @@ def identifier_expansion(query: str) -> tuple[list[str], list[str]]:
     return intents, normalized_terms(terms)
 
 
+_EDGES = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z])"
+_TERM_ENDS = r"""[ \t\r\n.,;:/\\_*"'()\[\]{}<>!?-]+"""
+
+
+def identifier_terms(text: Column, most: int = 64) -> tuple[Column, Column]:
+    """identifier_expansion over a column of whole texts: arrays of intents and of terms, in order of appearance."""
+    none = F.array().cast("array<string>")
+    parts = lambda t: F.split(t, _EDGES)
+    camel = lambda t: t.rlike("^[A-Za-z0-9]{3,}$") & (t.rlike("[A-Z].*[A-Z]") & t.rlike("[a-z0-9]") | t.rlike("^[A-Z]{3,12}$"))
+    kinds = (
+        (lambda t: t.rlike("^[A-Za-z]+-[0-9]+$"), "ticket", lambda t: F.array(t, F.lit("ticket"), F.lit("issue"), F.lit("task"))), (camel, "entity_lookup", parts),
+        (lambda t: t.rlike("^[^:]+:."), "scoped_lookup", lambda t: F.concat(F.array(F.substring_index(t, ":", 1)), parts(F.regexp_replace(t, "^[^:]*:", "")))),
+        (lambda t: t.contains("/"), "repository", lambda t: F.concat(F.array(F.lit("repo"), F.lit("repository")), F.flatten(F.transform(F.split(t, "/"), parts)))),
+    )
+    tokens = F.regexp_extract_all(text, F.lit(r"""[^ \t\r\n.,;()\[\]{}<>!?"']+"""), F.lit(0))
+    telling = F.filter(tokens, lambda t: (F.octet_length(t) >= 2) & t.rlike("[-:/]|[A-Z].*[A-Z]"))
+    intents = F.flatten(F.transform(telling, lambda t: F.concat(*(F.when(hit(t), F.array(F.lit(name))).otherwise(none) for hit, name, _ in kinds))))
+    terms = F.flatten(F.transform(telling, lambda t: F.concat(*(F.when(hit(t), more(t)).otherwise(none) for hit, _, more in kinds))))
+    tidy = F.filter(F.transform(terms, lambda t: folded(F.regexp_replace(t, f"^{_TERM_ENDS}|{_TERM_ENDS}$", ""))), lambda t: F.octet_length(t).between(2, 80))
+    return F.array_distinct(intents), F.slice(F.array_distinct(tidy), 1, most)
+
+
 @dataclass(frozen=True)
 class Windows:
     """How many results are gathered, reranked and returned for a request: pages, diversification and rerankers look further than the page."""
@@ -151,6 +173,11 @@ def saturated(n: int, factor: int = 1, most: int = (1 << 63) - 1) -> int:
     return min(n * factor, most)
 
 
+def saturated_product(n: Column, factor: Column) -> Column:
+    """n times factor (neither negative), at most the greatest 64-bit number."""
+    return F.coalesce(F.try_multiply(n, factor), F.when(n.isNotNull() & factor.isNotNull(), F.lit((1 << 63) - 1)))
+
+
 def vector_score_allowed(score_: Column, least: float) -> Column:
     """Any score, not-a-number too, where no least score is asked; else finite ones that reach it."""
     return F.lit(True) if not least > 0 else ~F.isnan(score_) & (score_ < float("inf")) & (score_ >= least)

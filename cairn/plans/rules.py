@@ -31,21 +31,6 @@ def search_windows(spark, d):
 _M = L.WINDOW_MOST
 O["search_windows"] = sql("sources", f"select id, p as page, case when p = 0 then 0 else least({_M}, greatest(least({_M}, least(o, {_M} - p) + least({_M}, p * (case when key % 2 = 0 then key % 5 + 1 else 1 end))), case when key % 3 = 0 then 24 else p end)) end as candidates, case when p = 0 then 0 else least({_M}, greatest(least({_M}, o + p), 24)) end as reranked, least(l + o, {L.LIST_MOST}) as listed from (select id, key, key % 700 as l, least(key % 700, {L.PAGE_MOST}) as p, key * 7 % 1300 as o from sources)")
 
-_IDENTIFIERS = ("WORK-42", "MemoryStoreIndex", "HTTPServer2", "team:searchIndex", "src/store/main", "plain words")
-
-
-def identifier_expansion(spark, d):
-    """Intents and terms that identifiers in a query add: queries of every kind, analysed once on the driver, met with the sources that ask them."""
-    made = [(i, *map(",".join, L.identifier_expansion(q))) for i, q in enumerate(_IDENTIFIERS)]
-    known = spark.createDataFrame(made, "kind int, intents string, terms string")
-    return S.sources(spark, d).select("id", (F.col("key") % len(_IDENTIFIERS)).cast("int").alias("kind")).join(F.broadcast(known), "kind").select("id", "intents", "terms")  # a row a kind
-
-
-_EXPANDED = (("ticket", "work-42,ticket,issue,task"), ("entity_lookup", "memory,store,index"), ("entity_lookup", "http,server"), ("scoped_lookup", "team,search,index"), ("repository", "repo,repository,src,store,main"), ("", ""))
-_pick = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + f"][key % {len(_EXPANDED)} + 1]"
-O["identifier_expansion"] = sql("sources", f"select id, {_pick([a for a, _ in _EXPANDED])} as intents, {_pick([b for _, b in _EXPANDED])} as terms from sources")
-
-
 def term_normalisation(spark, d):
     """Words of each text as query terms: without delimiters around them, of 2 to 80 bytes, once regardless of case, the first 64."""
     ends = r"""[ \t\r\n.,;:/\\_*"'()\[\]{}<>!?-]+"""
@@ -106,16 +91,6 @@ def content_hash(spark, d):
 O["content_hash"] = sql("sources", "select id, 'h64_' || substr(sha256(text), 1, 16) as hash from sources")
 
 
-def citation_coverage(spark, d):
-    """Share of a session's messages that cite a source or a message (or stand for one by their length), as a whole percentage, and whether it is enough."""
-    m = S.messages(spark, d).withColumn("cited", F.col("content").rlike(r"\[(?:message|source):[0-9]+\]") | (F.octet_length("content") % 3 == 0))
-    g = m.groupBy("session_id").agg(F.count("*").alias("items"), F.count_if("cited").alias("cited"))
-    return g.select("session_id", "items", F.expr("(100 * cited) div items").cast("long").alias("coverage"), F.expr("(100 * cited) div items >= 30").alias("enough"))
-
-
-O["citation_coverage"] = sql("messages", "select session_id, items, (100 * c) // items as coverage, (100 * c) // items >= 30 as enough from (select session_id, count(*) as items, count(*) filter (where regexp_matches(content, '\\[(message|source):[0-9]+\\]') or strlen(content) % 3 = 0) as c from messages group by 1)")
-
-
 def transcript_path(spark, d):
     """Heading path of a transcript's lines: the session as heading, then the time and the speaker."""
     m = S.messages(spark, d).withColumn("line", F.format_string("[%02d:%02d] %s: %s", F.col("turn") % 60, F.col("conv_id") % 60, "role", "content"))
@@ -257,5 +232,5 @@ def import_snapshot(spark, d):
 
 O["import_snapshot"] = sql("atoms", "select id, arg_max(status, created_at_ms) as status, max(created_at_ms) as created_at_ms, count(*) as versions from (select id, status, created_at_ms from atoms union all select id, 'revised', created_at_ms + 1 from atoms where created_at_ms % 7 = 0) group by id")
 
-for _f in (search_windows, identifier_expansion, term_normalisation, relation_type_filter, entity_type_filter, dedupe_permissions, response_cache_key, content_hash, citation_coverage, transcript_path, pack_evidence, gate_permissions, session_access, session_keys, session_export_prune, connector_cursor, prompt_documents, analytics_literals, identity_keys, propose_permission, vector_counters, import_snapshot):
+for _f in (search_windows, term_normalisation, relation_type_filter, entity_type_filter, dedupe_permissions, response_cache_key, content_hash, transcript_path, pack_evidence, gate_permissions, session_access, session_keys, session_export_prune, connector_cursor, prompt_documents, analytics_literals, identity_keys, propose_permission, vector_counters, import_snapshot):
     Q[_f.__name__] = _f

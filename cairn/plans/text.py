@@ -206,12 +206,12 @@ O["chunk_strategy"] = sql("sources", "select id, case " + " ".join(f"when regexp
 
 
 def transcript_markers(spark, d):
-    m = S.messages(spark, d).withColumn("line", F.format_string("[%02d:%02d] %s: hello", F.col("turn") % 60, F.col("conv_id") % 60, "role"))
-    p = r"^\[(\d\d:\d\d)\] ([^:]+):"
-    return m.select("session_id", "turn", F.regexp_extract("line", p, 1).alias("at"), F.regexp_extract("line", p, 2).alias("speaker"))
+    m = S.messages(spark, d).withColumn("line", F.format_string("[%02d:%02d] %s: %s", F.col("turn") % 60, F.col("conv_id") % 60, "role", "content"))
+    p = r"^\[(\d\d:\d\d)\] ([^:]+): "
+    return m.select("session_id", "turn", F.regexp_extract("line", p, 1).alias("at"), F.regexp_extract("line", p, 2).alias("speaker"), F.octet_length(F.regexp_replace("line", p, "")).cast("long").alias("said"))
 
 
-O["transcript_markers"] = sql("messages", "select session_id, turn, format('{:02d}:{:02d}', turn % 60, conv_id % 60) as at, role as speaker from messages")
+O["transcript_markers"] = sql("messages", "select session_id, turn, regexp_extract(l, '^\\[([0-9]{2}:[0-9]{2})\\] ', 1) as at, regexp_extract(l, '^\\[[0-9:]{5}\\] ([^:]+): ', 1) as speaker, strlen(regexp_replace(l, '^\\[[0-9:]{5}\\] [^:]+: ', ''))::bigint as said from (select session_id, turn, format('[{:02d}:{:02d}] {}: ', turn % 60, conv_id % 60, role) || content as l from messages)")
 
 
 def projection_ids(spark, d):
