@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +34,8 @@ from cairn.sources.staging import fresh_path
 VOCABULARY, END, SHARD = "word_bpe_49k.json", 2, 1 << 22
 #: pieces that a worker keeps at most in each of two generations, and the longest that it keeps
 KEPT, KEPT_BYTES = 1 << 18, 64
+#: bytes of text that are cut into pieces at once
+BLOCK = 4 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary"
 FILES = "part int, no int, path string, n_docs long, n_tokens long, n_bytes long"
 
@@ -54,7 +57,8 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_buffer(vocabulary)
         vocab = self._tokenizer.get_vocab()
-        self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.size = max(vocab.values()) + 1
+        self._ends = np.zeros(self.size, dtype=bool)
         self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._young: dict[bytes, list[int]] = {}
         self._old: dict[bytes, list[int]] = {}
@@ -73,11 +77,13 @@ class Encoder:
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _pieces(self, pieces: list[bytes], odd: list[bool]) -> list[list[int]]:
-        got = [self._young.get(p) for p in pieces]
-        for k, g in enumerate(got):
-            if g is None and (old := self._old.get(pieces[k])) is not None:
-                got[k] = self._young[pieces[k]] = old
+        got = list(map(self._young.get, pieces))
         left = [k for k, g in enumerate(got) if g is None]
+        if self._old:
+            for k in left:
+                if (old := self._old.get(pieces[k])) is not None:
+                    got[k] = self._young[pieces[k]] = old
+            left = [k for k in left if got[k] is None]
         for ks, encode in (([k for k in left if not odd[k]], self._plain), ([k for k in left if odd[k]], self._encode)):
             for k, ids in zip(ks, encode([pieces[k].decode() for k in ks]), strict=True):
                 got[k] = ids
@@ -100,23 +106,32 @@ class Encoder:
         s, e = T.spans(inside)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        strange = np.concatenate(([0], np.cumsum(kind == _ODD)))
-        whole = strange[e] > strange[s]
-        step = np.zeros(len(raw) + 1, dtype=np.int32)
-        step[s[whole]] += 1
-        step[e[whole]] -= 1
-        odd = np.cumsum(step[:-1]) > 0
         first = np.zeros(len(raw), dtype=bool)
-        first[1:] = inside[1:] & ~odd[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        first[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        odd = np.flatnonzero(kind == _ODD)
+        said, strange = low, np.zeros(0, np.int64)
+        if len(odd):  # chunks that hold such a byte are one piece, as they stand
+            strange = np.unique(np.searchsorted(s, odd, side="right") - 1)
+            size = e[strange] - s[strange]
+            at = np.repeat(s[strange] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            first[at] = False
+            said[at] = raw[at]
         first[s] = True
         a = np.flatnonzero(first)
-        b = np.minimum(np.append(a[1:], len(raw)), e[np.searchsorted(s, a, side="right") - 1])
-        said = np.where(odd, raw, low)
-        _, at, which = np.unique(T.hash_spans(said, a, b), return_index=True, return_inverse=True)
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | first[1:]
+        b = np.flatnonzero(last) + 1
+        key = T.hash_spans(said, a, b)
+        order = np.argsort(key)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        at, which = order[new], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        whole = np.isin(a[at], s[strange]) if len(strange) else np.zeros(len(at), dtype=bool)
         body = said.tobytes()
-        ids = self._pieces([body[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)], odd[a[at]].tolist())
+        ids = self._pieces([body[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)], whole.tolist())
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for p in ids for i in p), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         long = size[which]
         ends = np.cumsum(long)
         begin = np.concatenate(([0], np.cumsum(size)))[which]
@@ -131,18 +146,19 @@ def encoder(vocabulary: bytes) -> Encoder:
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of each whole text and the end id, as little-endian 32-bit integers. vocabulary is a path that the driver reads."""
+    """(doc_id, n_tokens, ids): ids of each whole text and the end id, as little-endian integers of 16 bits if the vocabulary has no more, else of 32. vocabulary is a path that the driver reads."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value)
         for b in batches:
-            for lo, hi, raw, starts in T.blocks(b.column("text")):
+            kind = "<u2" if max(e.size, end + 1) <= 1 << 16 else "<u4"
+            for lo, hi, raw, starts in T.blocks(b.column("text"), BLOCK):
                 ids, n = e.block(raw, starts)
                 cut = np.concatenate(([0], np.cumsum(n)))
-                stop = np.array([end], "<u4").tobytes()
-                body = [ids[x:y].astype("<u4").tobytes() + stop for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                stop, ids = np.array([end], kind).tobytes(), ids.astype(kind)
+                body = [ids[x:y].tobytes() + stop for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n + 1), pa.array(body, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENCODED)
@@ -160,14 +176,14 @@ def write_shards(encoded: DataFrame, folder: str, shard: int = SHARD) -> DataFra
         from pyspark import TaskContext
 
         part, no = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         docs: list[int | None] = []
         size = 0
 
         def written() -> pa.RecordBatch:
             null = np.array([d is None for d in docs])
-            lengths = np.array([len(i) // 4 for i in ids])
-            data = build(np.frombuffer(b"".join(ids), "<u4"), lengths, np.array([d or 0 for d in docs], np.int64), null)
+            lengths = np.array([len(i) for i in ids])
+            data = build(np.concatenate(ids), lengths, np.array([d or 0 for d in docs], np.int64), null)
             path = f"{folder}/{part:06d}-{no:06d}-{uuid.uuid4().hex}.wm"
             store, within = _store(path)
             store.create_dir(os.path.dirname(within), recursive=True)
@@ -176,19 +192,19 @@ def write_shards(encoded: DataFrame, folder: str, shard: int = SHARD) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int32()), (no, pa.int32()), (path, pa.string()), (len(docs), pa.int64()), (int(lengths.sum()), pa.int64()), (len(data), pa.int64()))], names=["part", "no", "path", "n_docs", "n_tokens", "n_bytes"])
 
         for b in batches:
-            for d, i in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            for d, n, i in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 if size >= shard:
                     yield written()
                     ids, docs, size, no = [], [], 0, no + 1
-                ids.append(i)
+                ids.append(np.frombuffer(i, "<u2" if len(i) == 2 * n else "<u4"))
                 docs.append(d)
-                size += len(i) // 4
+                size += n
         if docs:
             yield written()
 
     order = ["doc_id", "tie", "ids"]
-    rows = encoded.select("doc_id", F.xxhash64("ids").alias("tie"), "ids")
-    return rows.repartitionByRange("doc_id", "tie").sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, FILES)
+    rows = encoded.select("doc_id", F.xxhash64("ids").alias("tie"), "n_tokens", "ids")
+    return rows.repartitionByRange("doc_id", "tie").sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids").mapInArrow(run, FILES)
 
 
 def placed(files: DataFrame) -> DataFrame:

@@ -22,14 +22,23 @@ _BYTES = BLOCK // 8
 def build(ids: np.ndarray, lengths: np.ndarray, docs: np.ndarray, null: np.ndarray) -> bytes:
     """The file of ids (whole documents laid end to end, lengths of each, their numbers and which of these are null)."""
     squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-    symbols, codes, times = np.unique(ids.astype(np.uint32), return_inverse=True, return_counts=True)
-    order = np.lexsort((symbols, -times))
-    place = np.empty(len(order), dtype=np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
-    now, levels = place[codes.ravel()], max(1, int(len(symbols) - 1).bit_length())
+    if len(ids) and int(ids.max()) < 1 << 22:
+        times = np.bincount(ids)
+        symbols = np.flatnonzero(times).astype(np.uint32)
+        order = np.lexsort((symbols, -times[symbols]))
+        place = np.zeros(len(times), dtype=np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
+        place[symbols[order]] = np.arange(len(order))
+        now = place[ids]
+    else:
+        symbols, codes, times = np.unique(ids.astype(np.uint32), return_inverse=True, return_counts=True)
+        order = np.lexsort((symbols, -times))
+        place = np.empty(len(order), dtype=np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        now = place[codes.ravel()]
+    levels = max(1, int(len(symbols) - 1).bit_length())
     out, at, zeros, ones, offsets = [MAGIC], len(MAGIC), [], [], []
     for b in range(levels - 1, -1, -1):
-        bits = (now >> np.uint32(b)) & np.uint32(1) == 1
+        bits = now & now.dtype.type(1 << b) != 0
         packed = np.packbits(bits, bitorder="little").tobytes()
         for lo in range(0, len(packed), _BYTES):
             offsets.append(at)
@@ -41,7 +50,7 @@ def build(ids: np.ndarray, lengths: np.ndarray, docs: np.ndarray, null: np.ndarr
         sums = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK), dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
         ones.append(np.concatenate(([0], np.cumsum(sums))))
         zeros.append(len(bits) - int(ones[-1][-1]))
-        now = np.concatenate((now[~bits], now[bits]))
+        now = np.concatenate((np.compress(~bits, now), np.compress(bits, now)))
     offsets.append(at)
     columns = {"head": np.array([len(ids), levels], np.int64), "symbols": symbols[order].astype(np.int64), "zeros": np.array(zeros, np.int64), "ones": np.concatenate(ones), "offsets": np.array(offsets, np.int64), "lengths": lengths.astype(np.int64), "docs": docs.astype(np.int64), "null": null.astype(np.int64)}
     sink = pa.BufferOutputStream()
@@ -153,13 +162,13 @@ class Wavelet:
 
     def ids(self) -> np.ndarray:
         """All ids in order: planes are merged from the last to the first."""
-        now = np.zeros(self.n, np.uint32)
+        now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
             bits = np.concatenate([self._block(level, k) for k in range(self._many)]).view(bool) if self.n else np.zeros(0, bool)
-            z, up = int(self._zeros[level]), np.empty(self.n, np.uint32)
-            up[~bits] = now[:z]
-            up[bits] = now[z:] | np.uint32(1 << (self.levels - 1 - level))
+            z, up = int(self._zeros[level]), np.empty_like(now)
+            np.place(up, ~bits, now[:z])
+            np.place(up, bits, now[z:] | now.dtype.type(1 << (self.levels - 1 - level)))
             now = up
             for k in range(self._many):
                 self._held.pop((level, k), None)
-        return self.symbols.astype(np.uint32)[now] if self.n else now
+        return self.symbols.astype(np.uint32)[now] if self.n else np.zeros(0, np.uint32)
