@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "search", "vectors", "graph", "text", "feed", "rules", "streams", "batch", "replies")
+MODULES = ("access", "search", "vectors", "graph", "text", "feed", "rules", "streams", "batch", "replies", "stores")
 
 
 def queries() -> dict:

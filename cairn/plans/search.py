@@ -416,20 +416,11 @@ def runtime_hits(spark, d):
 O["runtime_hits"] = sql("messages", "").rstrip() + f", {_MEM} select key as id, session_id, 'agent_memory' as result_type, coalesce(case when v > 0 then v / 10 end, 0.5) as score, 0.8::double as confidence from mem"
 
 
-def store_fan_in(spark, d):
-    """One row for a key: the first store in route order keeps it."""
-    w = Window.partitionBy("key").orderBy(F.when(F.col("store") == "native", 0).otherwise(1), "session_id")
-    return memories(spark, d).withColumn("n", F.row_number().over(w)).where("n = 1").select("key", "store", "session_id")
-
-
-O["store_fan_in"] = sql("messages", "").rstrip() + f", {_MEM} select key, store, session_id from mem qualify row_number() over (partition by key order by case when store = 'native' then 0 else 1 end, session_id) = 1"
-
-
 def fan_in_count(spark, d):
     return memories(spark, d).groupBy("store").agg(F.count("*").alias("n"))
 
 
 O["fan_in_count"] = sql("messages", "").rstrip() + f", {_MEM} select store, count(*) as n from mem group by store"
 
-for _f in (keyword_search, lexical_score, query_analysis, query_expansion, detect_language, extract_keywords, websearch_match, rrf_fusion, fused_search, hybrid_merge, temporal_decay, exact_boost, dedupe_results, choose_representation, rerank_order, search_page, diversify, search_pipeline, search_diversified, agent_memory_search, bm25_search, holographic_search, trust_update, holographic_list, runtime_hits, store_fan_in, fan_in_count):
+for _f in (keyword_search, lexical_score, query_analysis, query_expansion, detect_language, extract_keywords, websearch_match, rrf_fusion, fused_search, hybrid_merge, temporal_decay, exact_boost, dedupe_results, choose_representation, rerank_order, search_page, diversify, search_pipeline, search_diversified, agent_memory_search, bm25_search, holographic_search, trust_update, holographic_list, runtime_hits, fan_in_count):
     Q[_f.__name__] = _f
