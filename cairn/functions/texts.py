@@ -45,18 +45,39 @@ def cleaned_line(line: Column) -> Column:
     return F.regexp_replace(t, rf"^(?i)(?!{reserved})(?=[^:]{{0,79}}[a-z])[a-z][a-z0-9 ._-]{{0,79}}:[ \t\r\n-]*", "")
 
 
+_PREFIX = "^(" + "|".join(re.escape(p.lower()) for p, *_ in ATOM_RULES if p.endswith(":")) + ")"
+_LONGEST = max(len(p) for p, *_ in ATOM_RULES)
+_INSIDE = [(n, p) for n, (p, *_) in enumerate(ATOM_RULES) if not p.endswith(":")]
+
+
+def atom_key(line: Column) -> Column:
+    """The first rule that holds of a line, by its prefix or phrase in lower case; null if none does. Only the head of the line is folded; prefixes are one expression (none begins another)."""
+    head = F.regexp_extract(F.lower(F.substring(line, 1, _LONGEST)), _PREFIX, 1)
+    key = F.when(head != "", head)
+    for n, phrase in reversed(_INSIDE):
+        before = [p.lower() for p, *_ in ATOM_RULES[:n] if p.endswith(":")]
+        key = F.when(~head.isin(before) & line.rlike("(?i)" + phrase), phrase).otherwise(key)
+    return key
+
+
+def atom_of(line: Column, key: Column) -> Column:
+    """Struct of predicate, object, confidence and tags of a line under its rule; the object may be empty."""
+    rules = F.create_map(*(x for p, k, c, t in ATOM_RULES for x in (F.lit(p.lower()), F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.lit(t).alias("t")))))
+    start = F.when(key.endswith(":"), F.length(key)).otherwise(F.instr(F.lower(line), key) + F.length(key) - 1) + 1
+    return F.struct(rules[key]["k"].alias("predicate"), F.trim(F.substring(line, start, F.lit(1 << 30))).alias("object"), rules[key]["c"].alias("confidence"), rules[key]["t"].alias("tags"))
+
+
 def atom(line: Column) -> Column:
-    """Struct of predicate, object, confidence and tags by the first rule that holds; null if none does."""
-    low = F.lower(line)
-    rules = F.array(*(F.struct(F.lit(p.lower()).alias("p"), F.lit(k).alias("k"), F.lit(c).alias("c"), F.lit(t).alias("t"), F.lit(not p.endswith(":")).alias("inside")) for p, k, c, t in ATOM_RULES))
-    first = F.try_element_at(F.filter(rules, lambda r: F.when(r["inside"], low.contains(r["p"])).otherwise(low.startswith(r["p"]))), F.lit(1))
-    made = F.transform(F.filter(F.array(first), lambda r: r.isNotNull()), lambda r: F.struct(r["k"].alias("predicate"), F.trim(F.substring(line, F.instr(low, r["p"]) + F.length(r["p"]), F.lit(1 << 30))).alias("object"), r["c"].alias("confidence"), r["t"].alias("tags")))
-    return F.try_element_at(F.filter(made, lambda x: F.length(x["object"]) > 0), F.lit(1))
+    """The claim of one line, null if it makes none."""
+    made = atom_of(line, atom_key(line))
+    return F.when(atom_key(line).isNotNull() & (F.length(made["object"]) > 0), made)
 
 
 def atoms(df: DataFrame, line: str = "line") -> DataFrame:
-    """The lines of df that make a claim, cleaned, with `atom`. Exploding the claim keeps filters from computing it again below."""
-    return df.withColumn(line, cleaned_line(F.col(line))).withColumn("atom", F.explode(F.filter(F.array(atom(F.col(line))), lambda x: x.isNotNull())))
+    """The lines of df that make a claim, cleaned, with `atom`. Each step is exploded, so that what stands on it does not compute it again."""
+    clean = df.withColumn(line, F.explode(F.array(cleaned_line(F.col(line)))))
+    keyed = clean.withColumn("__key", F.explode(F.array_compact(F.array(atom_key(F.col(line))))))
+    return keyed.withColumn("atom", atom_of(F.col(line), F.col("__key"))).where(F.length("atom.object") > 0).drop("__key")
 
 
 _TRIM = " \t\r\n\"'`.,;:()[]{}<>"
