@@ -23,11 +23,11 @@ def fold_is(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def smallest_by_hash(rows: DataFrame, group: str, id_col: str, most: int, seed: int) -> DataFrame:
-    """The `most` rows of each group with the smallest id hash. Hashes that cannot be among them (above three times the share that
-    `most` is of the group, and then some) go before the rows are dealt by group, so that no task sees a large group whole."""
-    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"))
+    """The `most` ids of each group with the smallest hash, one row an id. Hashes that cannot be among them (above three times the share that
+    `most` is of the group's ids, and then some) go before the rows are dealt by group, so that no task sees a large group whole; an id that stands very often counts once."""
+    sizes = rows.groupBy(F.col(group).alias("of_group")).agg(F.approx_count_distinct(id_col).alias("n"))
     share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 24) / F.lit(float(1 << 40))
     first = sizes.limit(BROADCAST_ROWS + 1).count()  # few groups can be broadcast; many are joined by a shuffle, and are small then
-    near = rows.withColumn("h", share).join(F.broadcast(sizes) if first <= BROADCAST_ROWS else sizes, F.col(group) == F.col("g"))
-    near = near.where(F.col("h") * F.col("n") <= 3 * most + 50)
+    near = rows.withColumn("h", share).join(F.broadcast(sizes) if first <= BROADCAST_ROWS else sizes, F.col(group) == F.col("of_group"))
+    near = near.where(F.col("h") * F.col("n") <= 3 * most + 50).dropDuplicates([group, id_col])
     return near.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("h", id_col))).where(F.col("r") <= most).select(*rows.columns)

@@ -120,7 +120,8 @@ def held(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, bytes_per_class: int = 1 << 25) -> Network:
-    """Network fitted to labels (doc_id, y), read only outside the held-out fold."""
+    """Network fitted to labels (doc_id, y), read only outside the held-out fold: to the texts of `per_class` ids of each class, `bytes_per_class` bytes at most; a text above a sixteenth
+    of these is not learned from."""
     named = labels.select("doc_id", "y").where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held(F.col("doc_id")))
     chosen = smallest_by_hash(named, "y", "doc_id", per_class, 10).select("doc_id", "y")
     share = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -130,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, bytes_per_cl
         net.constant = 0.5 if not ones + zeros else float(ones > 0)
         return net
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.where(F.octet_length("text") <= bytes_per_class // 16)  # whole or not at all: one that would take the place of many is left out
     run = Window.partitionBy("y").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # per_class ids of each
     bounded = texts.withColumn("upto", F.sum(F.octet_length("text")).over(run)).withColumn("n", F.count("*").over(run)).where((F.col("upto") <= bytes_per_class) & (F.col("n") <= per_class))
     got = bounded.select("doc_id", "y", "text").orderBy("doc_id", "text").toArrow()

@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_dup, pii, quality_model, quality_rules, secret_scan
+from cairn.llm import common, decontaminate, html_extract, language_id, lm_score, mixing, near_dup, pii, quality_model, quality_rules, secret_scan
 from cairn.llm import textops as T
 from cairn.llm.components import components
 
@@ -581,3 +582,42 @@ def test_secrets_and_what_looks_like_them():
     }
     for name, make in codes.items():
         assert found([make() for _ in range(400)]) < 0.05, name
+
+
+def test_quality_network_by_hand(spark):
+    """The forward pass of some texts in plain Python: embedding, filters at every stride, the greatest of each chunk, mean of the chunks."""
+    Q = quality_model
+    net = Q.Network()
+    net.fit([(b"good plain words here " * 9)[: 40 + 7 * i] for i in range(20)] + [(b"## $$ %% buy " * 9)[: 30 + 5 * i] for i in range(20)], np.array([1] * 20 + [0] * 20, np.float32))
+    texts = ["", "a", "good plain words " * 3, "## $$ ünï " * 200, "x" * (Q.CHUNK + 1), "mixed ## words " * 90]
+    for lo, hi, buf, starts in T.blocks(pa.array(texts)):
+        got = net.scores(buf, starts)
+        for k, t in enumerate(texts[lo:hi]):
+            raw = t.encode()
+            padded = list(raw) + [0] * (Q.WINDOW + 2 * Q.STRIDE)
+            rows = [max(0, -(-(len(raw) + 1) // Q.STRIDE))]
+            filtered = []
+            for at in range(0, rows[0] * Q.STRIDE, Q.STRIDE):
+                seen = [float(v) for b in (padded[at : at + Q.WINDOW] + [0] * Q.WINDOW)[: Q.WINDOW] for v in net.embed[b]]
+                filtered.append([max(0.0, sum(s * float(w) for s, w in zip(seen, net.conv[:, f], strict=True)) + float(net.bias[f])) for f in range(Q.FILTERS)])
+            logits = []
+            for n in range(max(1, -(-(len(raw) - (Q.CHUNK - Q.STEP)) // Q.STEP))):
+                a, z = n * Q.STEP // Q.STRIDE, -(-min(n * Q.STEP + Q.CHUNK, max(len(raw), 1)) // Q.STRIDE)
+                pooled = [max(row[f] for row in filtered[a : max(z, a + 1)]) for f in range(Q.FILTERS)]
+                logits.append(sum(p * float(w) for p, w in zip(pooled, net.out, strict=True)) + float(net.at[0] if np.ndim(net.at) else net.at))
+            want = 1 / (1 + math.exp(-min(max(sum(logits) / len(logits) + net.shift, -40), 40)))
+            assert got[k] == pytest.approx(want, abs=2e-4), t[:20]
+
+
+def test_training_over_long_texts_and_repeated_ids(spark):
+    """A text above the bound is left out and the others are learned from; an id that stands thousands of times is one id."""
+    texts = [(i, f"{'good plain words' if i % 2 else '## $$ %%'} {i} " * 5) for i in range(60)] + [(1000, "z" * 70_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts if i < 60] + [(1000, 0)], "doc_id long, y int")
+    net = quality_model.train(docs, labels, bytes_per_class=1 << 20)
+    assert net.constant is None
+    got = {r["doc_id"]: r["score"] for r in quality_model.score(docs.where("doc_id < 60"), net).collect()}
+    assert sum((got[i] >= 0.5) == bool(i % 2) for i in got) >= 0.9 * len(got)
+    rows = spark.createDataFrame([(7, "a")] * 5000 + [(i, "a") for i in range(300)] + [(1, "b")], "id long, g string")
+    few = common.smallest_by_hash(rows, "g", "id", 20, 3).collect()
+    assert len({r["id"] for r in few if r["g"] == "a"}) == 20 and len(few) == 21
