@@ -156,17 +156,16 @@ def chunk_text(text: str, size: int = 1800, overlap: int = 180) -> list[tuple[in
             passed += 1
         end = min(len(raw), at + size)
         headed = False
-        if end < len(raw):
-            if passed < len(marks) and places[passed] < end:
-                end, headed = places[passed], True
-            else:
-                window = raw[at:end]
-                for sep in (b"\n```", b"\n\n", b"\n", b". ", b" "):
-                    k = window.rfind(sep)
-                    if k > size // 4:
-                        end = at + k + len(sep)
-                        break
-                headed = passed < len(marks) and places[passed] == end
+        if passed < len(marks) and places[passed] < end:  # a heading ends a chunk in the last window too
+            end, headed = places[passed], True
+        elif end < len(raw):
+            window = raw[at:end]
+            for sep in (b"\n```", b"\n\n", b"\n", b". ", b" "):
+                k = window.rfind(sep)
+                if k > size // 4:
+                    end = at + k + len(sep)
+                    break
+            headed = passed < len(marks) and places[passed] == end
             while end < len(raw) and (raw[end] & 0xC0) == 0x80:
                 end -= 1
         said = MARK.search(raw, at, end)
@@ -235,17 +234,21 @@ def _sensitive(text: str) -> Iterator[tuple[int, int, str]]:
             at = max(other.end(), at)
 
 
+def redactable(text: str) -> Iterator[tuple[int, int, str]]:
+    """Matches that are replaced: all but cards without separators or whose checksum fails."""
+    for start, end, kind in _sensitive(text):
+        digits = re.sub(r"\D", "", text[start:end]) if kind == "CARD" else ""
+        if kind != "CARD" or len(digits) < end - start and _luhn(digits):
+            yield start, end, kind
+
+
 def redact(text: str) -> str:
     """Each match as [KIND_n], n by first appearance of the value."""
     seen: dict[tuple[str, str], int] = {}
     counts: dict[str, int] = {}
     out, at = [], 0
-    for start, end, kind in _sensitive(text):
+    for start, end, kind in redactable(text):
         value = text[start:end]
-        if kind == "CARD":
-            digits = re.sub(r"\D", "", value)
-            if len(digits) == len(value) or not _luhn(digits):
-                continue
         if (kind, value) not in seen:
             counts[kind] = seen[kind, value] = counts.get(kind, 0) + 1
         out += [text[at:start], f"[{kind}_{seen[kind, value]}]"]
