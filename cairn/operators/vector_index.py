@@ -87,7 +87,7 @@ def build(rows: DataFrame, dims: int) -> VectorIndex:
     one = keyed(rows, dims).groupBy("key").agg(F.min("id").alias("cls"), F.first("v").alias("v"), F.count("*").alias("n"))
     classes = staged(spark, _signed(one.select("key.a", "key.b", "cls", "v", "n"), dims), "classes")
     banded = classes.select(F.posexplode(F.array(*V.bands(F.col("sig")))).alias("band", "bucket"), "cls", "sig", "v")
-    buckets = staged(spark, banded.repartitionByRange("band", "bucket").sortWithinPartitions("band", "bucket"), "buckets")
+    buckets = staged(spark, banded.repartitionByRange("band", "bucket", "cls").sortWithinPartitions("band", "bucket", "cls"), "buckets")
     sizes = np.zeros((BANDS, 1 << BAND_BITS), dtype=np.int64)
     for r in buckets.groupBy("band", "bucket").count().toLocalIterator():
         sizes[r["band"], r["bucket"]] = r["count"]
