@@ -45,9 +45,10 @@ O["extract_atoms"] = sql("sources", "").rstrip() + f", {_LINES} select id, n, {_
 
 
 def _relation_lines(spark, d):
+    """Lines of every form, whose ends hold the first word of the text."""
     k = F.col("key")
     phrase = F.element_at(F.array(*(F.lit(p) for p, _ in X.RELATION_PHRASES)), (k % len(X.RELATION_PHRASES) + 1).cast("int"))
-    a, b = F.concat(F.lit("WORK-"), k.cast("string")), F.concat(F.lit("the service "), (k % 17).cast("string"), F.lit("s"))
+    a, b = F.concat(F.lit("WORK-"), k.cast("string")), F.concat(F.lit("the service "), (k % 17).cast("string"), F.lit("s"), F.regexp_extract("text", "[A-Za-z]{2,}", 0))
     made = F.when(k % 5 == 0, F.concat(F.lit("Relation: "), a, F.lit(" -> implements -> "), b)).when(k % 5 == 1, F.concat(a, F.lit(" -> "), b)).when(k % 5 == 2, F.concat(F.lit("Link: "), a, F.lit(" "), phrase, F.lit(" "), b, F.lit("."))).when(k % 5 == 3, F.concat(F.lit("Decision: "), a, F.lit(" -> "), b)).otherwise(F.concat(a, F.lit(" "), phrase, F.lit(" "), b))
     return S.sources(spark, d).select("id", made.alias("line"))
 
@@ -58,7 +59,7 @@ def extract_relations(spark, d):
 
 
 _PH = f"{_list([t for _, t in X.RELATION_PHRASES])}[key % {len(X.RELATION_PHRASES)} + 1]"
-_TO = "case when key % 5 in (2, 4) and key % 18 = 0 then 'service ' || (key % 17) || 's' else 'service ' || (key % 17) || 's' end"
+_TO = "'service ' || (key % 17) || 's' || regexp_extract(text, '[A-Za-z]{2,}')"
 O["extract_relations"] = sql("sources", f"select id, 'WORK-' || key as from_name, case key % 5 when 0 then 'implements' when 1 then 'related_to' else {_PH} end as type, {_TO} as to_name, case key % 5 when 0 then 0.84 when 1 then 0.76 when 2 then 0.78 else 0.72 end::double as confidence from sources where key % 5 <> 3")
 
 
