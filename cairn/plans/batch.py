@@ -60,7 +60,7 @@ def ranked(spark, d, queries: DataFrame) -> DataFrame:
     both = fused.join(s, "id").where(~F.col("scope").startswith("session:") | (F.col("scope") == F.col("session")))
     phrase = F.lower(F.trim("q"))
     boost = F.when((F.octet_length(phrase) >= 3) & phrase.contains(" ") & F.lower("text").contains(phrase), 0.35).otherwise(0.0)
-    return both.select("query", "id", (L.temporal_decay(F.col("score"), F.col("created_at_ms"), F.lit(NOW)) + boost).alias("score"), "confidence", "created_at_ms")
+    return both.select("query", "id", (L.decayed(F.col("score"), F.lit(NOW) - F.col("created_at_ms")) + boost).alias("score"), "confidence", "created_at_ms")
 
 
 def search_batch(spark, d):
