@@ -23,7 +23,7 @@ def late(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["search_pipeline", "search_batch"])
+@pytest.mark.parametrize("name", ["temporal_decay", "search_pipeline", "search_batch"])
 def test_times_to_come(spark, late, name):
     got = registry.queries()[name](spark, late)
     c = duckdb.connect()
