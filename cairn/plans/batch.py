@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from cairn.functions import lexical as L
 from cairn.operators import postings as P
+from cairn.operators import token_scan as T
 from cairn.operators import vector_index as I
 from cairn.plans.access import _SEEN
-from cairn.plans.indexes import text_index, vector_index, visible
+from cairn.plans.indexes import vector_index, visible
 from cairn.plans.vectors import _COS, _E, _half
 from cairn.sources import tables as S
-from cairn.sources.staging import staged
+from cairn.sources.staging import kept_index, staged
 from cairn.sources.tables import NOW, sql
 
 RRF_K, RRF_WEIGHT, RAW_WEIGHT, LEAST = 60, 0.85, 0.15, 0.01
@@ -37,12 +38,9 @@ def asked(spark, d) -> DataFrame:
 
 
 def channels(spark, d, queries: DataFrame) -> DataFrame:
-    """(query, id, rank, score): each query's best of the channels that its plan asks for, as many as its window takes. No text is read but that of the queries."""
-    seen = visible(spark, d).select("key", "confidence", "created_at_ms")
-    tokens = queries.where("use_keyword").select("query", F.explode("tokens").alias("token"))
-    kw = P.keyword_scores(text_index(spark, d), tokens).join(seen.withColumnRenamed("key", "id"), "id").join(queries.select("query", "wide"), "query")
-    kw = kw.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("confidence"), F.desc("created_at_ms"), "id")))
-    kw = kw.where((F.col("rank") <= WIDEST) & (F.col("rank") <= F.col("wide")))
+    """(query, id, rank, score): each query's best of the channels that its plan asks for, as many as its window takes."""
+    docs = kept_index(spark, "seen_terms", [f"{d}/documents.parquet"], lambda: T.documents(visible(spark, d).select(F.col("key").alias("id"), F.col("confidence").alias("first"), F.col("created_at_ms").alias("second"), "text")))
+    kw = T.most_tokens(docs, queries.where("use_keyword").select("query", "tokens", F.least("wide", F.lit(WIDEST)).alias("most")))
     vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     ask = vectors.join(queries.where("use_vector").select(F.col("query").alias("id")), "id", "left_semi")
     near = I.nearest(vector_index(spark, d), ask, WIDEST).join(queries.select("query", "wide"), "query")
