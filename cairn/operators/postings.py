@@ -27,6 +27,8 @@ from cairn.functions import lexical as L
 from cairn.sources.staging import staged
 
 K1, B, BLOCK = 1.2, 0.75, 128
+#: texts whose terms a worker holds at once
+ROWS = 256
 #: numbers of results for which the index knows a weight that as many postings of a term reach
 LADDER = (10, 100, 1000)
 TERM = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -64,7 +66,7 @@ def rarity(df: Column, docs: int) -> Column:
 
 
 def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, x.num_rows, ROWS)):
         counts = [Counter(_TERM.findall((t or "").translate(_FOLD))) for t in b.column("text").to_pylist()]
         ends = pa.array(np.concatenate(([0], np.cumsum([len(c) for c in counts]))), pa.int32())
         terms, tfs = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int32())
