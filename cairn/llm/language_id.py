@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from cairn.llm import textops as T
 from cairn.llm.common import BROADCAST_ROWS, fold_is, smallest_by_hash, staged, table
@@ -138,9 +139,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     """docs (with a text column) plus lang_pred and score; `keep` names the columns carried along."""
     keep = keep or ["doc_id"]
     fields = [f for f in docs.schema.fields if f.name in keep]
-    kept = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    from pyspark.sql import types as ST
-
+    own = next(f.dataType for f in docs.schema.fields if f.name == "text")
+    body = "text" if "text" in keep and own == ST.StringType() else "__text"  # a text that is kept goes to the workers once
+    kept = docs.select(*keep) if body == "text" else docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ST.StructType([next(f for f in fields if f.name == k) for k in keep] + [ST.StructField("lang_pred", ST.StringType()), ST.StructField("score", ST.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -150,8 +151,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
         names = np.array([*m.langs, "und"] if m else ["und"], dtype=object)
         for b in batches:
             best, post = np.full(b.num_rows, len(names) - 1), np.zeros(b.num_rows)
-            text = b.column("__text")
-            for lo, hi, buf, starts in T.blocks(text) if m else ():
+            text = b.column(body)
+            for lo, hi, buf, starts in T.blocks(text, 1 << 17) if m else ():
                 low = T.LOWER[buf]
                 bits = m.bits(T.grams(low, starts, m.order + 1), probes)
                 bits[starts[1:] - 1] = 0

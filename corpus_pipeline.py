@@ -31,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; lang becomes the predicted one."""
     own = docs.select(*COLUMNS)
     model = train(own.select("doc_id", "text", "lang").where(~held(F.col("doc_id"))))
-    found = predict(own.select("doc_id", "text", "source", "n_chars", F.col("text").alias("body")), model, ["doc_id", "body", "source", "n_chars"])
-    return found.where("lang_pred <> 'und'").select("doc_id", F.col("body").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
+    found = predict(own.select("doc_id", "text", "source", "n_chars"), model, ["doc_id", "text", "source", "n_chars"])
+    return found.where("lang_pred <> 'und'").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
