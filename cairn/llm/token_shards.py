@@ -2,7 +2,8 @@
 
 Texts are encoded where they lie: a batch is cut into pieces that the tokenizer itself would part (runs of letters, of other signs, single digits, over ASCII and Latin letters
 of two bytes), each distinct piece is encoded once by the tokenizer and kept for later batches, and chunks that hold anything else go to it whole. That gives the ids of the whole
-text, as the tokenizer parts at white space and these classes before it merges; tests hold it against whole texts. Encoded documents are written, ranged by id and sorted; each task
+text, as the tokenizer parts at white space and these classes before it merges; tests hold it against whole texts. Pieces are told apart by 64-bit hashes and looked up by whole
+arrays. New ones are in small letters and parted by then, so they go to the tokenizer's model without its normalizer and its pattern. Encoded documents are written, ranged by id and sorted; each task
 writes files of some SHARD ids, under names of its own, so that a repeated task leaves no half file in use: only files named by the returned rows count.
 Starts are sums of shard sizes, by part and within parts.
 
@@ -48,50 +49,124 @@ _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
 _CLASS[[0x27, 0x7C]] = _ODD  # contractions, and the bars of special tokens
 
 
+class Pieces:
+    """Token ids of pieces by the hashes of these: an open-addressing table that grows, asked and filled by whole arrays."""
+
+    def __init__(self):
+        self._held, self._slots = np.zeros(1 << 10, np.uint64), np.full(1 << 10, -1, np.int32)
+        self._keys, self._begin, self._size, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self._rows = self._used = 0
+
+    def __len__(self) -> int:
+        return self._rows
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self._slots).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        at = self._home(keys)
+        row = self._slots[at]
+        wrong = np.flatnonzero((row >= 0) & (self._held[at] != keys))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (len(self._slots) - 1)
+            row[wrong] = self._slots[at[wrong]]
+            wrong = wrong[(row[wrong] >= 0) & (self._held[at[wrong]] != keys[wrong])]
+        return row
+
+    def _place(self, left: np.ndarray) -> None:
+        at = self._home(self._keys[left])
+        while len(left):
+            free = self._slots[at] < 0
+            self._slots[at[free]] = left[free]  # of rows that want one slot the last stays
+            placed = self._slots[at] == left
+            self._held[at[placed]] = self._keys[left[placed]]
+            left, at = left[~placed], (at[~placed] + 1) & (len(self._slots) - 1)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray, kept: int) -> None:
+        """Distinct keys that are not held, with the ids of each laid end to end; the rows beyond the first `kept` can be read until the next call only, and are not found."""
+        old, n, used = self._rows, self._rows + len(keys), self._used + len(ids)
+        if n > len(self._begin):
+            self._keys, self._begin, self._size = (np.concatenate((x[:old], np.zeros(n - old + n // 4, x.dtype))) for x in (self._keys, self._begin, self._size))
+        if used > len(self._ids):
+            self._ids = np.concatenate((self._ids[: self._used], np.zeros(len(ids) + used // 4, np.uint32)))
+        ends = self._used + np.cumsum(size)
+        self._keys[old:n], self._begin[old:n], self._size[old:n], self._ids[self._used : used] = keys, ends - size, size, ids
+        self._rows, self._used = old + kept, int(ends[kept - 1]) if kept else self._used
+        if 2 * self._rows > len(self._slots):
+            room = 1 << (3 * self._rows).bit_length()
+            self._held, self._slots, old = np.zeros(room, np.uint64), np.full(room, -1, np.int32), 0
+        self._place(np.arange(old, self._rows, dtype=np.int32))
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each row has, and these laid end to end."""
+        size = self._size[rows].astype(np.int64)
+        return size, self._ids[_runs(self._begin[rows], size)]
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from each begin on, as many as size says."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
-    """Token ids of whole texts under a tokenizer that parts at white space, letters, digits and signs, and marks the end of each part."""
+    """Token ids of whole texts under a tokenizer that parts at white space, letters, digits and signs, writes bytes as letters, and marks the end of each part."""
 
     def __init__(self, vocabulary: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_buffer(vocabulary)
+        self._parted = Tokenizer(self._tokenizer.model)
+        self._parted.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self._tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self._ends = np.zeros(self.size, dtype=bool)
         self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._young: dict[bytes, list[int]] = {}
-        self._old: dict[bytes, list[int]] = {}
-
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _plain(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces that are one part each: encoded in one go and parted at the marked ends."""
-        if not pieces:
-            return []
-        ids = self._encode([" ".join(pieces)])[0]
-        ends = np.flatnonzero(self._ends[np.array(ids, dtype=np.int64)]) + 1
-        if len(ends) != len(pieces) or ends[-1] != len(ids):
-            return self._encode(pieces)
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def _pieces(self, pieces: list[bytes], odd: list[bool]) -> list[list[int]]:
-        got = list(map(self._young.get, pieces))
-        left = [k for k, g in enumerate(got) if g is None]
-        if self._old:
-            for k in left:
-                if (old := self._old.get(pieces[k])) is not None:
-                    got[k] = self._young[pieces[k]] = old
-            left = [k for k in left if got[k] is None]
-        for ks, encode in (([k for k in left if not odd[k]], self._plain), ([k for k in left if odd[k]], self._encode)):
-            for k, ids in zip(ks, encode([pieces[k].decode() for k in ks]), strict=True):
-                got[k] = ids
-                if len(pieces[k]) <= KEPT_BYTES:
-                    self._young[pieces[k]] = ids
-        if len(self._young) > KEPT:
-            self._old, self._young = self._young, {}
-        return got
+        self._young, self._old = Pieces(), Pieces()
+
+    def _each(self, body: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece body[a:b] has, and these laid end to end."""
+        pieces = [body[x:y].tobytes().decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        ids = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+
+    def _plain(self, body: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces that are one part each, with a byte after each in body: encoded in one go and parted at the marked ends."""
+        if not len(a):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        text = body[_runs(a, b - a + 1)]
+        text[np.cumsum(b - a + 1) - 1] = 0x20
+        ids = np.array(self._parted.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(a) or ends[-1] != len(ids):
+            return self._each(body, a, b)
+        return np.diff(ends, prepend=0), ids
+
+    def _pieces(self, key: np.ndarray, body: np.ndarray, a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece body[a:b] has, and these laid end to end; key: the pieces' hashes; whole: those that are not one part."""
+        young, old = self._young or Pieces(), self._old or Pieces()
+        row = young.find(key)
+        lost = np.flatnonzero(row < 0)
+        if not len(lost):
+            return young.ids(row)
+        new, first, which = np.unique(key[lost], return_index=True, return_inverse=True)
+        at = lost[first]
+        known, lasting, odd = old.find(new), b[at] - a[at] <= KEPT_BYTES, whole[at]
+        groups = [np.flatnonzero(known >= 0)]
+        parts = [old.ids(known[groups[0]])]
+        for kept in (lasting, ~lasting):
+            for kind, encode in ((~odd, self._plain), (odd, self._each)):
+                groups.append(k := np.flatnonzero((known < 0) & kept & kind))
+                parts.append(encode(body, a[at[k]], b[at[k]]))
+        order = np.concatenate(groups)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        row[lost] = len(young) + rank[which]
+        young.add(new[order], np.concatenate([size for size, _ in parts]), np.concatenate([ids for _, ids in parts]), int(np.count_nonzero(lasting)))
+        self._young, self._old = (Pieces(), young) if len(young) > KEPT else (young, old)
+        return young.ids(row)
 
     def block(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end with a line feed after each, and how many each text has."""
@@ -122,20 +197,10 @@ class Encoder:
         last[:-1] &= ~inside[1:] | first[1:]
         b = np.flatnonzero(last) + 1
         key = T.hash_spans(said, a, b)
-        order = np.argsort(key)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        at, which = order[new], np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        whole = np.isin(a[at], s[strange]) if len(strange) else np.zeros(len(at), dtype=bool)
-        body = said.tobytes()
-        ids = self._pieces([body[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)], whole.tolist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        long = size[which]
-        ends = np.cumsum(long)
-        begin = np.concatenate(([0], np.cumsum(size)))[which]
-        out = flat[np.repeat(begin - (ends - long), long) + np.arange(ends[-1])]
+        whole = np.zeros(len(a), dtype=bool)
+        if len(strange):
+            whole[np.searchsorted(a, s[strange])] = True
+        long, out = self._pieces(key, said, a, b, whole)
         return out, np.bincount(T.owner(starts, a), weights=long, minlength=n).astype(np.int64)
 
 

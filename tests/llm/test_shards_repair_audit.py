@@ -65,6 +65,54 @@ def test_encoder_keeps_a_bounded_number_of_pieces(tokenizer, own, monkeypatch):
         assert len(own._young) <= 50 + 100 and len(own._old) <= 50 + 100
 
 
+def test_pieces_are_found_as_in_a_dict():
+    r = np.random.default_rng(3)
+    pool = np.concatenate((r.integers(0, 1 << 63, 4000, dtype=np.uint64), np.arange(5, dtype=np.uint64)))
+    held, want = S.Pieces(), {}
+    for k in range(40):
+        keys = np.unique(r.choice(pool, 150))
+        keys = keys[held.find(keys) < 0]
+        r.shuffle(keys)
+        size, kept = r.integers(1, 5, len(keys)), len(keys) - k % 4 if len(keys) > 3 else len(keys)
+        ids = r.integers(0, 49_406, int(size.sum())).astype(np.uint32)
+        held.add(keys, size, ids, kept)
+        cut = np.concatenate(([0], np.cumsum(size)))
+        each = [ids[x:y].tolist() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        n, got = held.ids(len(want) + np.arange(len(keys)))  # those that do not stay can be read too
+        assert n.tolist() == size.tolist() and got.tolist() == ids.tolist()
+        want |= dict(zip(keys[:kept].tolist(), each[:kept], strict=True))
+        row = held.find(pool)
+        assert len(held) == len(want) and [x >= 0 for x in row.tolist()] == [x in want for x in pool.tolist()]
+        assert held.ids(row[row >= 0])[1].tolist() == [i for x in pool.tolist() for i in want.get(x, [])]
+
+
+def test_encoder_takes_long_pieces_beside_kept_ones(tokenizer, own, monkeypatch):
+    monkeypatch.setattr(S, "KEPT", 8)
+    monkeypatch.setattr(own, "_old", {})
+    monkeypatch.setattr(own, "_young", {})
+    long = ["ab" * 33, "é" * 32 + "x", "q|" * 40, "日本" * 30, "=-" * 70, "Σ" + "y" * 64]
+    for k in range(12):
+        texts = [f"{long[k % 6]} the {'abcdef'[k % 6]}q {long[(k + 1) % 6]}", f"{long[k % 6]}{k}", "", f"the 'tis {'klm'[k % 3] * 3}", long[k % 6].upper()]
+        assert encoded(own, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own._young) <= 8 + 12 and len(own._old) <= 8 + 12
+
+
+def test_encoder_gives_new_plain_pieces_to_the_model_without_the_pattern(tokenizer, own, monkeypatch):
+    monkeypatch.setattr(own, "_old", {})
+    monkeypatch.setattr(own, "_young", {})
+    full, seen = own._tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **kind):
+            seen.extend(texts)
+            return full.encode_batch_fast(texts, **kind)
+
+    monkeypatch.setattr(own, "_tokenizer", Watched())
+    texts = ["Été, naïve Straße 2024!", "don't Übung's", "été 日本 x"]
+    assert encoded(own, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(seen) == ["don't", "Übung's", "日本"]
+
+
 @pytest.mark.parametrize("n, kinds", [(0, 1), (1, 1), (5, 2), (70_000, 1), (140_000, 3), (200_000, 3000)])
 def test_wavelet(n, kinds):
     r = np.random.default_rng(n)
