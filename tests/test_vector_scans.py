@@ -25,3 +25,13 @@ def test_the_driver_holds_one_scan(spark, monkeypatch):
     got = answers(I.nearest(I.build(table, DIMS), table.where("id % 20 = 0"), 3))
     assert got == {q: ids for q, (ids, _) in brute(v, 3, bar=2.0).items()}
     assert len(most) > 3 and max(most) <= 16 and not sent
+
+
+def test_probes_are_not_broadcast(spark):
+    """Thousands of probes stand for one query, so their join with the buckets is shuffled, however small Spark takes them for."""
+    v = np.random.default_rng(9).normal(size=(400, DIMS))
+    index = I.build(frame(spark, v), DIMS)
+    met = I.candidates(index, index.classes.where("cls % 20 = 0"), dense=1.0)
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [band" in plan and "BroadcastHashJoin [band" not in plan
